@@ -112,7 +112,7 @@ def orphan_counts(child: DataFrame, parent: DataFrame, column: str) -> DataFrame
     """Non-NULL references without a parent row."""
     # Counted per value first, so a hot reference is one row in the join.
     refs = child.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    missing = refs.join(parent.select(column).distinct(), column, "left_anti")
+    missing = refs.join(parent.select(column), column, "left_anti")
     return missing.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_keys")
     )
