@@ -42,7 +42,6 @@ def visible_counts(chunks: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
-def own_rows(rows: DataFrame, entitlements: DataFrame, user: str, column: str = "broker_name") -> DataFrame:
-    """Rows a broker user is entitled to."""
-    mine = entitlements.where(F.col("user_id") == user).select(column)
-    return rows.join(F.broadcast(mine), column, "left_semi")
+def entitled_rows(rows: DataFrame, entitlements: DataFrame, column: str = "broker_name") -> DataFrame:
+    """Every (user, row) pair a broker user may see; filter on ``user_id`` for one user."""
+    return rows.join(entitlements.select("user_id", column).distinct(), column)
