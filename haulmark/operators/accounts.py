@@ -9,6 +9,8 @@ many of them share one profile.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +49,18 @@ def historical_cohorts(insureds: DataFrame, loss_runs: DataFrame, policies: Data
 def profile_pairs(cohorts: DataFrame, tolerance_pct: int = 30, threshold: float = fv.SIMILARITY_THRESHOLD) -> DataFrame:
     """Profiles that pass the hard filter together, with their weighted agreement."""
     profiles = cohorts.select(*PROFILE).distinct()
-    other = profiles.select(*[F.col(c).alias(f"o_{c}") for c in PROFILE])
+    # Fleets within the tolerance lie in the same or a neighbouring step of a log scale.
+    width = -math.log(1 - tolerance_pct / 100) + 0.01
+    step = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / F.lit(width))
+    other = profiles.select(
+        *[F.col(c).alias(f"o_{c}") for c in PROFILE], step("fleet_size").alias("o_step")
+    )
+    profiles = profiles.withColumn("_step", step("fleet_size")).withColumn(
+        "_step", F.explode(F.array(F.col("_step") - 1, F.col("_step"), F.col("_step") + 1))
+    )
     near = (
-        (F.col("state_domicile") == F.col("o_state_domicile"))
+        (F.col("_step") == F.col("o_step"))
+        & (F.col("state_domicile") == F.col("o_state_domicile"))
         & (F.col("naics_sector") == F.col("o_naics_sector"))
         & (F.col("o_fleet_size") * 100 >= F.col("fleet_size") * (100 - tolerance_pct))
         & (F.col("o_fleet_size") * 100 <= F.col("fleet_size") * (100 + tolerance_pct))
@@ -67,6 +78,7 @@ def profile_pairs(cohorts: DataFrame, tolerance_pct: int = 30, threshold: float
         profiles.join(other, near)
         .withColumn("similarity", F.round(score / F.lit(float(total)), 4))
         .where(F.col("similarity") >= threshold)
+        .drop("_step", "o_step")
     )
 
 

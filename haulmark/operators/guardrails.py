@@ -99,16 +99,17 @@ def apply_guardrails(
         .when(F.size("_applied") > 0, "APPEND")
         .otherwise("PASS")
     )
-    return result.select(
-        *keys,
-        F.struct(
-            F.col("_answer").alias("answer"),
-            F.col("_blocked").alias("blocked"),
-            F.col("_applied").alias("applied_rules"),
-            F.col("_items").alias("redacted_items"),
-            action.alias("action"),
-        ).alias("guarded"),
+    outcome = F.struct(
+        F.col("_answer").alias("answer"),
+        F.col("_blocked").alias("blocked"),
+        F.col("_applied").alias("applied_rules"),
+        F.col("_items").alias("redacted_items"),
+        action.alias("action"),
     )
+    # A filter on the outcome must not be pushed through the stages: every stage reads its
+    # text several times, so the pushed condition would grow with the power of the stages.
+    # The optimizer does not push filters on generated columns below the generator.
+    return result.select(*keys, F.explode_outer(F.array(outcome)).alias("guarded"))
 
 
 def rule_metrics(guarded: DataFrame) -> DataFrame:
