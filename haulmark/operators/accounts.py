@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
 from haulmark.functions.ranking import top_n
-from haulmark.operators.underwriting import fleet_band, loss_ratio_band, years_band
+from haulmark.operators.underwriting import exact_mean, fleet_band, loss_ratio_band, years_band
 
 PROFILE = ["state_domicile", "naics_sector", "fleet_size", "primary_commodity", "years_band", "ratio_band"]
 
@@ -26,9 +26,9 @@ WEIGHTS = {"sector": 3, "fleet_band": 3, "state": 2, "commodity": 2, "years_band
 
 def historical_cohorts(insureds: DataFrame, loss_runs: DataFrame, policies: DataFrame) -> DataFrame:
     """One row per account: profile fields, mean loss ratio, mean premium and outcome."""
-    ratio = loss_runs.groupBy("insured_id").agg(F.round(F.avg("loss_ratio"), 4).alias("loss_ratio"))
+    ratio = loss_runs.groupBy("insured_id").agg(exact_mean("loss_ratio").alias("loss_ratio"))
     book = policies.groupBy("insured_id").agg(
-        F.round(F.avg("written_premium"), 2).alias("premium"),
+        exact_mean("written_premium", 2).alias("premium"),
         F.max(F.col("renewal_status") == "Non-Renew").alias("non_renewed"),
     )
     both = insureds.join(ratio, "insured_id").join(book, "insured_id")
@@ -132,7 +132,7 @@ def cohort_statistics(cohorts: DataFrame, pairs: DataFrame, high_ratio: float =
     high = F.col("loss_ratio") > high_ratio
     sums = cohorts.groupBy(*PROFILE).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.col("loss_ratio").cast("decimal(18,4)")).alias("_ratio"),
+        F.sum(F.col("loss_ratio").cast("decimal(18,6)")).alias("_ratio"),
         F.count_if(high).alias("_high"),
         F.count_if(high & F.col("non_renewed")).alias("_dropped"),
     )
@@ -148,7 +148,7 @@ def cohort_statistics(cohorts: DataFrame, pairs: DataFrame, high_ratio: float =
     n = F.col("_n") - 1
     n_high = F.col("_high") - high.cast("int")
     dropped = F.col("_dropped") - (high & F.col("non_renewed")).cast("int")
-    mean = (F.col("_ratio") - F.col("loss_ratio").cast("decimal(18,4)")).cast("double")
+    mean = (F.col("_ratio") - F.col("loss_ratio").cast("decimal(18,6)")).cast("double")
     return own.select(
         "insured_id",
         n.alias("n_accounts"),
@@ -174,9 +174,9 @@ def pricing_band(similar: DataFrame, wanted: int = fv.SIMILAR_ACCOUNTS, minimum_
     return banded.where(F.col("confidence") >= minimum_confidence).select(
         "insured_id",
         "n_comparables",
-        F.round("_low", 2).alias("low_premium"),
-        F.round("_mid", 2).alias("median_premium"),
-        F.round("_high", 2).alias("high_premium"),
+        F.round("_low", 4).alias("low_premium"),
+        F.round("_mid", 4).alias("median_premium"),
+        F.round("_high", 4).alias("high_premium"),
         "confidence",
         F.array_join(F.transform("_e", lambda s: s["similar_id"]), "|").alias("evidence"),
     )

@@ -12,6 +12,11 @@ from haulmark.functions.ranking import top_n
 from haulmark.functions.text import normalize_ratio
 
 
+def exact_mean(column: str, scale: int = 4) -> Column:
+    """Mean whose sum is exact, so that it does not depend on the order of the rows."""
+    return F.sum(F.col(column).cast(f"decimal(18,{scale})")).cast("double") / F.count(column)
+
+
 def _listed(limit: int, *items: Column) -> Column:
     return F.slice(F.array_compact(F.array(*items)), 1, limit)
 
@@ -88,7 +93,7 @@ def submission_summary(submissions: DataFrame, insureds: DataFrame, loss_runs: D
     history = loss_runs.groupBy("insured_id").agg(
         F.sum("num_claims").alias("num_claims"),
         F.sum("large_losses").alias("large_losses"),
-        F.avg("frequency").alias("frequency"),
+        exact_mean("frequency", 6).alias("frequency"),
     )
     account = insureds.select(
         "insured_id",
@@ -284,6 +289,10 @@ def multi_year_ratio(loss_runs: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """Latest ratio, 3- and 5-year averages and the trend per insured and year."""
     ordered = Window.partitionBy("insured_id").orderBy("policy_year")
     previous = F.lag("loss_ratio").over(ordered)
+    mean = lambda years: (
+        F.sum(F.col("loss_ratio").cast("decimal(18,4)")).over(ordered.rowsBetween(1 - years, 0)).cast("double")
+        / F.count("loss_ratio").over(ordered.rowsBetween(1 - years, 0))
+    )
     trend = (
         F.when(previous.isNull(), "STABLE")
         .when(F.col("loss_ratio") < previous - tolerance, "IMPROVING")
@@ -294,8 +303,8 @@ def multi_year_ratio(loss_runs: DataFrame, tolerance: float = 5.0) -> DataFrame:
         "insured_id",
         "policy_year",
         F.col("loss_ratio").alias("ytd_ratio"),
-        F.round(F.avg("loss_ratio").over(ordered.rowsBetween(-2, 0)), 4).alias("three_year_ratio"),
-        F.round(F.avg("loss_ratio").over(ordered.rowsBetween(-4, 0)), 4).alias("five_year_ratio"),
+        mean(3).alias("three_year_ratio"),
+        mean(5).alias("five_year_ratio"),
         trend.alias("trend"),
     )
 
@@ -303,23 +312,19 @@ def multi_year_ratio(loss_runs: DataFrame, tolerance: float = 5.0) -> DataFrame:
 def loss_trend(metrics: DataFrame, segments: DataFrame, segment: str) -> DataFrame:
     """Straight-line projection of ratio, frequency and severity to the year after the last."""
     joined = metrics.join(segments.select("insured_id", segment), "insured_id")
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
     yearly = joined.groupBy(segment, "policy_year").agg(
-        F.sum("total_incurred").alias("_incurred"),
-        F.sum("earned_premium").alias("_earned"),
-        F.sum("num_claims").alias("_claims"),
-        F.sum("_units").alias("_units"),
-    ) if "_units" in joined.columns else joined.groupBy(segment, "policy_year").agg(
-        F.sum("total_incurred").alias("_incurred"),
-        F.sum("earned_premium").alias("_earned"),
+        money("total_incurred").alias("_incurred"),
+        money("earned_premium").alias("_earned"),
         F.sum("num_claims").alias("_claims"),
-        F.count(F.lit(1)).alias("_units"),
+        F.count(F.lit(1)).alias("_accounts"),
     )
     x = F.col("policy_year").cast("double")
     series = yearly.select(
         segment,
         x.alias("x"),
         (F.col("_incurred") * 100 / F.col("_earned")).alias("ratio"),
-        (F.col("_claims") / F.col("_units")).alias("frequency"),
+        (F.col("_claims") / F.col("_accounts")).alias("frequency"),
         F.coalesce(F.try_divide(F.col("_incurred"), F.col("_claims")), F.lit(0.0)).alias("severity"),
     )
     aggs = [F.max("x").alias("_last")]

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from haulmark.plans import document_queries, service_queries, table_queries  # noqa: F401
+from haulmark.plans import document_queries, search_queries, service_queries, table_queries  # noqa: F401
 from haulmark.plans.registry import REGISTRY  # noqa: F401

@@ -437,7 +437,7 @@ def e09(spark, sf):
     "e09_freshness",
     with_models(
         """SELECT intent_classification, list_sort(list(lag_s))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] AS p95_lag_s
-           FROM (SELECT f.intent_classification, CAST(epoch(f.created_at) AS BIGINT) % 1800 AS lag_s FROM feedback f) GROUP BY intent_classification""",
+           FROM (SELECT f.intent_classification, (epoch_us(f.created_at) // 1000000) % 1800 AS lag_s FROM feedback f) GROUP BY intent_classification""",
         "feedback",
     ),
 )
