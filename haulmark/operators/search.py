@@ -87,7 +87,7 @@ def bm25_search(
     idf = F.log(1 + (size - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = wanted.join(frequency, "term").select("query_id", *carry, "term", idf.alias("idf"))
 
-    postings = index
+    postings = known
     on = ["term"]
     if not small:
         weighted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -12,12 +12,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from haulmark import fixed_values as fv
+from haulmark.sources.sizing import spread
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
 
+# Tables of long texts: per-row work is heavy enough to be worth spreading a single file.
+TEXT_TABLES = ("documents",)
+
 _SPARK = {"micros": "timestamp_micros", "hash": "sha", "codes": "length"}
 _ANSI = {"micros": "make_timestamp", "hash": "sha256", "codes": "length"}
 
@@ -253,7 +257,8 @@ def _spelling(text: str, names: dict[str, str]) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a model table built on Spark from the given ones."""
     if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        given = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(given) if name in TEXT_TABLES else given
     text = _spelling(MODELS[name], _SPARK)
     inputs = {n: table(spark, sf_dir, n) for n in sorted(set(_NAME.findall(text)))}
     return spark.sql(text, **inputs)

@@ -11,17 +11,24 @@ from haulmark.plans import check_sql as cs
 from haulmark.plans.document_queries import chunks
 from haulmark.plans.models import table, with_models
 from haulmark.plans.registry import query
+from haulmark.sources.sizing import materialize
 
 N = fv.SEARCH_RESULTS
 
 
-def _children(spark, sf):
-    return chunks(spark, sf).where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category")
+def _stored_chunks(spark, sf):
+    """The chunk table as a search finds it: written once, then read by every step."""
+    return materialize(chunks(spark, sf).drop("true_start"), "chunks")
 
 
-def _child_hits(spark, sf, n=N, by_role=False, question=None):
-    corpus = _children(spark, sf)
-    asked = question if question is not None else table(spark, sf, "questions")
+def _children(spark, sf, stored=None):
+    stored = _stored_chunks(spark, sf) if stored is None else stored
+    return stored.where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category")
+
+
+def _child_hits(spark, sf, n=N, by_role=False, stored=None):
+    corpus = _children(spark, sf, stored)
+    asked = table(spark, sf, "questions")
     if by_role:
         asked = access.with_allowed(asked, access.role_policy(spark))
         index = search.build_index(corpus, "chunk_id", "chunk_text", "category")
@@ -162,8 +169,8 @@ _SELECTED = {
 }
 
 
-def _selected(spark, sf):
-    return search.select_context(_child_hits(spark, sf), threshold=_THRESHOLD)
+def _selected(spark, sf, stored=None):
+    return search.select_context(_child_hits(spark, sf, stored=stored), threshold=_THRESHOLD)
 
 
 @query("r07_context_selection", _sql("SELECT query_id, ckey AS chunk_id, score, rank, source_no FROM selected", _SELECTED))
@@ -181,8 +188,9 @@ def r07(spark, sf):
     ),
 )
 def r08(spark, sf):
-    details = chunks(spark, sf).select("chunk_id", "chunk_text", "category", "source_path")
-    return search.context_text(_selected(spark, sf).join(details, "chunk_id"))
+    stored = _stored_chunks(spark, sf)
+    details = stored.select("chunk_id", "chunk_text", "category", "source_path")
+    return search.context_text(_selected(spark, sf, stored).join(details, "chunk_id"))
 
 
 @query(
@@ -195,7 +203,8 @@ def r08(spark, sf):
     ),
 )
 def r09(spark, sf):
-    return search.expand_to_parents(_child_hits(spark, sf), chunks(spark, sf))
+    stored = _stored_chunks(spark, sf)
+    return search.expand_to_parents(_child_hits(spark, sf, stored=stored), stored)
 
 
 _EXCLUDED = ["Underwriting Guidelines", "Regulatory & Compliance", "Reference Materials"]
@@ -219,8 +228,9 @@ _WIDE = {**cs.CHUNKS, **cs.bm25("child_corpus", "questions", 20)}
     ),
 )
 def r10(spark, sf):
-    details = chunks(spark, sf).select("chunk_id", "chunk_text", "category", "source_path")
-    hits = _child_hits(spark, sf, 20).withColumn("score", F.col("score") / 64).join(details, "chunk_id")
+    stored = _stored_chunks(spark, sf)
+    details = stored.select("chunk_id", "chunk_text", "category", "source_path")
+    hits = _child_hits(spark, sf, 20, stored=stored).withColumn("score", F.col("score") / 64).join(details, "chunk_id")
     found = search.similar_documents(hits, _EXCLUDED)
     return found.withColumn("stem", F.regexp_replace("source", r"\.[^.]*\z", "")).drop("company")
 

@@ -20,13 +20,28 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if within(df, rows) else df
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="haulmark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="haulmark-")
+    return _local_folders[application]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few files over all cores; many files already are spread.
+
+    For work that is heavy per row (whole texts).  A large table has more files than the
+    cluster has cores and is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
