@@ -244,7 +244,7 @@ def loss_metrics(policies: DataFrame, claims: DataFrame, insureds: DataFrame) ->
         premium.alias("earned_premium"),
         F.round(F.try_divide(incurred * 100, premium), 4).alias("loss_ratio"),
         F.round(F.try_divide(n.cast("double"), F.col("fleet_size").cast("double")), 6).alias("frequency"),
-        F.round(F.coalesce(F.try_divide(incurred, n.cast("double")), F.lit(0.0)), 4).alias("severity"),
+        F.coalesce(F.try_divide(incurred, n.cast("double")), F.lit(0.0)).alias("severity"),
     )
 
 

@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from haulmark.plans import document_queries, search_queries, service_queries, table_queries  # noqa: F401
+from haulmark.plans import (  # noqa: F401
+    document_queries,
+    question_queries,
+    search_queries,
+    service_queries,
+    table_queries,
+    underwriting_queries,
+)
 from haulmark.plans.registry import REGISTRY  # noqa: F401
