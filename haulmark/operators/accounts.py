@@ -152,7 +152,7 @@ def cohort_statistics(cohorts: DataFrame, pairs: DataFrame, high_ratio: float =
     return own.select(
         "insured_id",
         n.alias("n_accounts"),
-        F.round(F.try_divide(mean, n.cast("double")), 4).alias("avg_ratio"),
+        F.try_divide(mean, n.cast("double")).alias("avg_ratio"),
         F.round(F.try_divide(dropped * F.lit(100.0), n_high.cast("double")), 4).alias("non_renewal_pct"),
     ).where(F.col("n_accounts") > 0)
 

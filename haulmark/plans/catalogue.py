@@ -5,6 +5,7 @@ from haulmark.plans import (  # noqa: F401
     question_queries,
     search_queries,
     service_queries,
+    stream_queries,
     table_queries,
     underwriting_queries,
 )

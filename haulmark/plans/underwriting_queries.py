@@ -10,6 +10,7 @@ from haulmark.operators import underwriting as uw
 from haulmark.plans import check_sql as cs
 from haulmark.plans.models import table, with_models
 from haulmark.plans.registry import query
+from haulmark.sources.sizing import materialize
 
 # ---- queue -------------------------------------------------------------------
 
@@ -382,7 +383,8 @@ _BOOK = ("insureds", "loss_runs", "policies")
 
 
 def _cohorts(spark, sf):
-    cohorts = accounts.historical_cohorts(*[table(spark, sf, t) for t in _BOOK])
+    # The cohort table is a snapshot that is refreshed now and then, not a live view.
+    cohorts = materialize(accounts.historical_cohorts(*[table(spark, sf, t) for t in _BOOK]), "cohorts")
     return cohorts, accounts.profile_pairs(cohorts, threshold=0.6)
 
 
@@ -394,7 +396,7 @@ def u14(spark, sf):
 @query(
     "u15_cohort_statistics",
     _sql(
-        """SELECT insured_id, count(*) AS n_accounts, round(CAST(sum(CAST(similar_ratio AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 4) AS avg_ratio,
+        """SELECT insured_id, count(*) AS n_accounts, CAST(sum(CAST(similar_ratio AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS avg_ratio,
                   round(count(*) FILTER (WHERE similar_ratio > 80 AND similar_non_renewed) * 100.0 / NULLIF(count(*) FILTER (WHERE similar_ratio > 80), 0), 4) AS non_renewal_pct
            FROM comparable GROUP BY insured_id""",
         *_BOOK,
