@@ -11,40 +11,50 @@ from pyspark.sql import functions as F
 from haulmark import fixed_values as fv
 from haulmark.functions.ranking import top_n
 from haulmark.functions.text import terms
-from haulmark.sources.sizing import within
+from haulmark.sources.sizing import fresh_path, within
 
 QUERY_TERM_ROWS = 200_000
 SALTS = 64
 
 
-def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "chunk_text", *carry: str) -> DataFrame:
-    """Postings: key, carried columns, length of the chunk in terms, term, frequency.
+def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "chunk_text", *carry: str, buckets: int | None = None) -> DataFrame:
+    """One row per chunk: key, carried columns, its terms and their number.
 
-    Rows are placed by ``key`` once.  Counting terms here and summing scores per chunk later
-    both find a chunk complete inside one partition, so neither shuffles again.
+    Rows are placed by ``key`` once.  Counting terms per chunk and summing scores per chunk
+    later both find a chunk complete inside one partition, so neither shuffles again.
     """
-    placed = chunks.select(key, *carry, text).repartition(key)
-    words = placed.select(key, *carry, terms(F.col(text)).alias("_terms"))
-    tokens = words.select(
-        key, *carry, F.size("_terms").alias("n_terms"), F.explode_outer("_terms").alias("term")
-    )
-    return (
-        tokens.where(F.col("term").isNotNull())
-        .groupBy(key, *carry, "n_terms", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    rows = chunks.select(key, *carry, text)
+    placed = rows.repartition(buckets, key) if buckets else rows.repartition(key)
+    words = placed.select(key, *carry, terms(F.col(text)).alias("terms"))
+    return words.withColumn("n_terms", F.size("terms"))
+
+
+def store_index(index: DataFrame, key: str, buckets: int, name: str = "search-index") -> DataFrame:
+    """Write an index bucketed by ``key`` to the shared folder and return the stored table.
+
+    Built with the same number of buckets, every task writes one bucket, and a search over
+    the stored table keeps the placement by ``key``.
+    """
+    spark = index.sparkSession
+    path = fresh_path(spark, name)
+    table = "haulmark_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    index.write.option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
 
 
-def index_stats(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
+def index_stats(index: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean length in terms."""
-    return chunks.select(F.size(terms(F.col(text))).alias("n")).agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.avg("n").alias("avg_terms")
-    )
+    return index.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_terms").alias("avg_terms"))
 
 
-def save_index(index: DataFrame, table: str, key: str = "chunk_id", buckets: int = 512) -> None:
-    """Store postings bucketed by chunk, so that searches read them without a shuffle."""
-    index.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def postings(index: DataFrame, key: str = "chunk_id", *carry: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Term frequencies per chunk, of the terms in ``vocabulary`` when one is given."""
+    tokens = index.select(key, *carry, "n_terms", F.explode_outer("terms").alias("term")).where(
+        F.col("term").isNotNull()
+    )
+    if vocabulary is not None:
+        tokens = tokens.join(vocabulary, "term", "left_semi")
+    return tokens.groupBy(key, *carry, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, question: str = "question", *carry: str) -> DataFrame:
@@ -55,7 +65,6 @@ def query_terms(queries: DataFrame, question: str = "question", *carry: str) ->
 
 def bm25_search(
     index: DataFrame,
-    stats: DataFrame,
     queries: DataFrame,
     n: int = fv.SEARCH_RESULTS,
     key: str = "chunk_id",
@@ -79,21 +88,23 @@ def bm25_search(
     small = within(wanted, query_term_rows)
     hint = F.broadcast if small else (lambda df: df)
 
-    vocabulary = wanted.select("term").distinct()
-    known = index.join(hint(vocabulary), "term", "left_semi")
+    vocabulary = hint(wanted.select("term").distinct())
+    distinct = index.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
+    known = distinct.join(vocabulary, "term", "left_semi")
     frequency = known.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = index_stats(index)
     size = stats.select("n_chunks").scalar()
     mean = stats.select("avg_terms").scalar()
     idf = F.log(1 + (size - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = wanted.join(frequency, "term").select("query_id", *carry, "term", idf.alias("idf"))
 
-    postings = known
+    found = postings(index, key, *([category] if category else []), vocabulary=vocabulary)
     on = ["term"]
     if not small:
         weighted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        postings = postings.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        found = found.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
         on.append("_salt")
-    hits = postings.join(hint(weighted), on)
+    hits = found.join(hint(weighted), on)
     if category:
         hits = hits.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col(category)))
     tf = F.col("tf").cast("double")

@@ -21,22 +21,23 @@ def _stored_chunks(spark, sf):
     return materialize(chunks(spark, sf).drop("true_start"), "chunks")
 
 
-def _children(spark, sf, stored=None):
-    stored = _stored_chunks(spark, sf) if stored is None else stored
-    return stored.where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category")
+def _buckets(spark):
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _stored_index(corpus, key, text, *carry):
+    buckets = _buckets(corpus.sparkSession)
+    return search.store_index(search.build_index(corpus, key, text, *carry, buckets=buckets), key, buckets)
 
 
 def _child_hits(spark, sf, n=N, by_role=False, stored=None):
-    corpus = _children(spark, sf, stored)
+    source = chunks(spark, sf) if stored is None else stored
+    corpus = source.where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category")
+    index = _stored_index(corpus, "chunk_id", "chunk_text", *(["category"] if by_role else []))
     asked = table(spark, sf, "questions")
     if by_role:
         asked = access.with_allowed(asked, access.role_policy(spark))
-        index = search.build_index(corpus, "chunk_id", "chunk_text", "category")
-    else:
-        index = search.build_index(corpus)
-    return search.bm25_search(
-        index, search.index_stats(corpus), asked, n, category="category" if by_role else None
-    )
+    return search.bm25_search(index, asked, n, category="category" if by_role else None)
 
 
 _CHILD_RANK = {**cs.CHUNKS, **cs.ROLE_POLICY, **cs.bm25("child_corpus", "questions", N)}
@@ -58,8 +59,8 @@ def _sql(body: str, ctes: dict[str, str], *models: str) -> str:
     ),
 )
 def r01(spark, sf):
-    index = search.build_index(_children(spark, sf).drop("category"))
-    return index.groupBy("term").agg(
+    index = search.build_index(chunks(spark, sf).where("chunk_type = 'child'"))
+    return search.postings(index).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum("tf").alias("n_uses"), F.max("tf").alias("max_tf")
     )
 
@@ -116,9 +117,9 @@ _HYBRID = {
 
 def _document_hits(spark, sf, n=N, asked=None):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    index = search.build_index(docs, "doc_id", "text")
+    index = _stored_index(docs, "doc_id", "text")
     asked = asked if asked is not None else table(spark, sf, "questions")
-    return search.bm25_search(index, search.index_stats(docs, "text"), asked, n, key="doc_id")
+    return search.bm25_search(index, asked, n, key="doc_id")
 
 
 def _fused(spark, sf, asked=None):

@@ -16,12 +16,16 @@ from haulmark.streaming import intake, sessions, trends
 
 @query(
     "s01_scan_files",
-    """SELECT concat('page_id=', page_id) AS category_id, strlen(html) + 1 AS length, sha256(html || chr(10)) AS content_hash FROM pages""",
+    """SELECT concat('folder=', page_id // 100) AS category_id, CAST(sum(strlen(html) + 1) AS BIGINT) AS length,
+              sha256(string_agg(concat(html, chr(10)), '' ORDER BY page_id)) AS content_hash FROM pages GROUP BY 1""",
 )
 def s01(spark, sf):
-    folder = fresh_path(spark, "page-files")
-    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(folder)
-    scanned = path_metadata(files.scan_files(spark, folder, "*.txt"))
+    # A hundred pages per file, one folder per file.
+    target = fresh_path(spark, "page-files")
+    pages = table(spark, sf, "pages").select(F.expr("page_id div 100").alias("folder"), "page_id", "html")
+    placed = pages.repartition("folder").sortWithinPartitions("folder", "page_id").drop("page_id")
+    placed.write.partitionBy("folder").text(target)
+    scanned = path_metadata(files.scan_files(spark, target, "*.txt"))
     return scanned.select("category_id", "length", F.sha2("content", 256).alias("content_hash"))
 
 
