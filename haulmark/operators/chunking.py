@@ -151,6 +151,13 @@ def chunk_documents(
     )
 
 
+def sync_chunks(stored: DataFrame, docs: DataFrame, changes: DataFrame, **sizes: int) -> DataFrame:
+    """Chunk table after a change feed (doc_id, change): only changed documents are chunked."""
+    stale = changes.where(F.col("change") != "insert").select("doc_id")
+    fresh = docs.join(changes.where(F.col("change") != "delete").select("doc_id"), "doc_id", "left_semi")
+    return stored.join(stale, "doc_id", "left_anti").unionByName(chunk_documents(fresh, **sizes))
+
+
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_type", "category").agg(
         F.count(F.lit(1)).alias("n_chunks"),

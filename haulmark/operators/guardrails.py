@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
-from haulmark.functions.text import contains_any, strip
+from haulmark.functions.text import contains_any
 
 
 def _topics(names: list[str]) -> list[str]:
@@ -139,7 +139,17 @@ def answer_metrics(guarded: DataFrame) -> DataFrame:
     )
 
 
-def mask_pii(text, role_has_access):
+def mask_driver(drivers: DataFrame, role_has_access: Column) -> DataFrame:
+    """Driver rows with birth date and licence number hidden from roles without access."""
+    return drivers.withColumns(
+        {
+            "date_of_birth": F.when(role_has_access, F.col("date_of_birth")),
+            "cdl_number": F.when(role_has_access, F.col("cdl_number")).otherwise(F.mask("cdl_number")),
+        }
+    )
+
+
+def mask_pii(text: Column, role_has_access: Column) -> Column:
     """Text as a role without PII access sees it."""
     ssn = fv.GUARDRAIL_RULES[2]["patterns"][0]
     return F.when(role_has_access, text).otherwise(

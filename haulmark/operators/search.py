@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from haulmark import fixed_values as fv
 from haulmark.functions.ranking import top_n
 from haulmark.functions.text import terms
-from haulmark.sources.sizing import fresh_path, within
+from haulmark.sources.sizing import BROADCAST_ROWS, fresh_path, within
 
 QUERY_TERM_ROWS = 200_000
 SALTS = 64
@@ -164,18 +164,30 @@ def context_text(selected: DataFrame) -> DataFrame:
     )
 
 
-def expand_to_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def hits_hint(max_hits: int | None):
+    """Broadcast hits only when the caller knows how many there can be (questions times n)."""
+    return F.broadcast if max_hits is not None and max_hits <= BROADCAST_ROWS else (lambda df: df)
+
+
+def with_details(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None) -> DataFrame:
+    """Hits with text, category and path of their chunk; the chunk table is only scanned."""
+    details = chunks.select("chunk_id", "chunk_text", "category", "source_path")
+    return details.join(hits_hint(max_hits)(hits), "chunk_id")
+
+
+def expand_to_parents(hits: DataFrame, chunks: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Parent chunks of child hits, each once per question with its best child score."""
+    hint = hits_hint(max_hits)
     children = chunks.where(F.col("chunk_type") == "child").select("chunk_id", "parent_id")
     best = (
-        hits.join(children, "chunk_id")
+        children.join(hint(hits), "chunk_id")
         .groupBy("query_id", "parent_id")
         .agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_children"))
     )
     parents = chunks.where(F.col("chunk_type") == "parent").select(
         F.col("chunk_id").alias("parent_id"), F.col("chunk_text").alias("parent_text"), "category", "source_path"
     )
-    return best.join(parents, "parent_id")
+    return parents.join(hint(best), "parent_id")
 
 
 def similar_documents(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulmark.sources.sizing import broadcast_if_small
+from haulmark.sources.sizing import broadcast_if_small, within
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str, compare: str | None = None) -> DataFrame:
@@ -19,10 +19,12 @@ def upsert(target: DataFrame, source: DataFrame, key: str, compare: str | None =
     """
     left = target.select(F.col(key), *([F.col(compare).alias("_old")] if compare else []))
     right = source.select(F.col(key), *([F.col(compare).alias("_new")] if compare else []))
-    matched = left.join(broadcast_if_small(right), key)
+    # Matched and changed keys are source keys, so the one count bounds all three.
+    hint = F.broadcast if within(right) else (lambda df: df)
+    matched = left.join(hint(right), key)
     changed = matched.where(F.col("_old") != F.col("_new")) if compare else matched
-    changed = broadcast_if_small(changed.select(key))
-    seen = matched.select(key)
+    changed = hint(changed.select(key))
+    seen = hint(matched.select(key))
     return (
         target.join(changed, key, "left_anti")
         .unionByName(source.join(changed, key, "left_semi"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
 from haulmark.functions import text as tx
-from haulmark.operators import chunking, documents, guardrails
+from haulmark.operators import chunking, documents, guardrails, tables
 from haulmark.plans import check_sql as cs
 from haulmark.plans.models import table, with_models
 from haulmark.plans.registry import query
+from haulmark.sources.sizing import materialize
 
 
 # ---- documents ---------------------------------------------------------------
@@ -334,3 +335,33 @@ def u22(spark, sf):
     return answers.select("answer_id", "answer", roles).select(
         "answer_id", "_r.role", guardrails.mask_pii(F.col("answer"), F.col("_r.sees")).alias("answer")
     )
+
+
+@query(
+    "u22_masked_drivers",
+    with_models(
+        """SELECT driver_id, CASE WHEN driver_status = 'Active' THEN date_of_birth END AS date_of_birth,
+                  CASE WHEN driver_status = 'Active' THEN cdl_number ELSE regexp_replace(regexp_replace(cdl_number, '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g') END AS cdl_number
+           FROM drivers""",
+        "drivers",
+    ),
+)
+def u22_drivers(spark, sf):
+    masked = guardrails.mask_driver(table(spark, sf, "drivers"), F.col("driver_status") == "Active")
+    return masked.select("driver_id", "date_of_birth", "cdl_number")
+
+
+# Labelled documents are indexed already; the toxic ones among them have another text now.
+@query(
+    "r01_incremental_sync",
+    with_models("SELECT parent_id, chunk_type, chunk_id, chunk_text, doc_id, category, source_path, char_start, char_end FROM chunks", "parsed_documents", extra=cs.CHUNKS),
+)
+def r01_sync(spark, sf):
+    docs = table(spark, sf, "parsed_documents").select("doc_id", "category", "source_path", "parsed_text")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), "toxic")
+    before = docs.join(labels, "doc_id").withColumn(
+        "parsed_text", F.when(F.col("toxic") == 1, F.concat("parsed_text", F.lit(" (old)"))).otherwise(F.col("parsed_text"))
+    ).drop("toxic")
+    stored = materialize(chunking.chunk_documents(before), "chunks")
+    changes = tables.snapshot_changes(before, docs, "doc_id")
+    return chunking.sync_chunks(stored, docs, changes).drop("true_start")

@@ -238,6 +238,11 @@ MODELS: dict[str, str] = {
                CASE WHEN p.p_partkey % 10 = 3 THEN NULL ELSE CAST(40 + p.p_partkey % 60 AS DOUBLE) END AS telematics_score
         FROM {part} p JOIN (SELECT c_custkey, concat('INS-', CAST(1000 + c_custkey AS STRING)) AS insured_id FROM {customer}) c
           ON p.p_partkey % 150 = c.c_custkey""",
+    "vehicles": """
+        SELECT concat('VEH-', CAST(p_partkey AS STRING)) AS vehicle_id, concat('POL-', CAST(p_partkey AS STRING)) AS policy_id,
+               CAST(2000 + p_size % 25 AS INT) AS year, p_brand AS make, p_type AS vehicle_type, p_retailprice AS stated_value,
+               p_partkey % 3 = 0 AS has_dashcam, p_partkey % 8 <> 0 AS has_eld
+        FROM {part}""",
     "referrals": """
         SELECT concat('REF-', CAST(o_orderkey AS STRING)) AS referral_id, concat('SUB-', CAST(o_orderkey AS STRING)) AS submission_id,
                concat('INS-', CAST(1000 + o_custkey AS STRING)) AS insured_id, CAST(o_orderdate AS DATE) AS referral_date,

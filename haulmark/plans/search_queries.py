@@ -21,6 +21,10 @@ def _stored_chunks(spark, sf):
     return materialize(chunks(spark, sf).drop("true_start"), "chunks")
 
 
+def _max_hits(spark, sf, n=N):
+    return table(spark, sf, "questions").count() * n
+
+
 def _buckets(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -190,8 +194,8 @@ def r07(spark, sf):
 )
 def r08(spark, sf):
     stored = _stored_chunks(spark, sf)
-    details = stored.select("chunk_id", "chunk_text", "category", "source_path")
-    return search.context_text(_selected(spark, sf, stored).join(details, "chunk_id"))
+    chosen = _selected(spark, sf, stored)
+    return search.context_text(search.with_details(chosen, stored, _max_hits(spark, sf)))
 
 
 @query(
@@ -205,7 +209,7 @@ def r08(spark, sf):
 )
 def r09(spark, sf):
     stored = _stored_chunks(spark, sf)
-    return search.expand_to_parents(_child_hits(spark, sf, stored=stored), stored)
+    return search.expand_to_parents(_child_hits(spark, sf, stored=stored), stored, _max_hits(spark, sf))
 
 
 _EXCLUDED = ["Underwriting Guidelines", "Regulatory & Compliance", "Reference Materials"]
@@ -230,9 +234,8 @@ _WIDE = {**cs.CHUNKS, **cs.bm25("child_corpus", "questions", 20)}
 )
 def r10(spark, sf):
     stored = _stored_chunks(spark, sf)
-    details = stored.select("chunk_id", "chunk_text", "category", "source_path")
-    hits = _child_hits(spark, sf, 20, stored=stored).withColumn("score", F.col("score") / 64).join(details, "chunk_id")
-    found = search.similar_documents(hits, _EXCLUDED)
+    hits = _child_hits(spark, sf, 20, stored=stored).withColumn("score", F.col("score") / 64)
+    found = search.similar_documents(search.with_details(hits, stored, _max_hits(spark, sf, 20)), _EXCLUDED)
     return found.withColumn("stem", F.regexp_replace("source", r"\.[^.]*\z", "")).drop("company")
 
 

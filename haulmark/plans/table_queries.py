@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from haulmark.operators import access, tables
 from haulmark.plans.models import table, with_models
 from haulmark.plans.registry import query
+from haulmark.sources import files, schemas
+from haulmark.sources.sizing import fresh_path
 
 # The older snapshot holds the documents that are already labelled; of those, the toxic
 # ones have another text in it.  The newer snapshot is the whole document table.
@@ -168,7 +170,7 @@ def s14(spark, sf):
     return tables.snapshot_changes(_old(spark, sf), _new(spark, sf), "doc_id")
 
 
-_COUNTED = ["insureds", "policies", "drivers", "claims", "submissions", "loss_runs", "referrals"]
+_COUNTED = ["insureds", "policies", "drivers", "vehicles", "claims", "submissions", "loss_runs", "referrals"]
 
 
 @query(
@@ -213,3 +215,30 @@ def u23(spark, sf):
         F.concat(F.lit("user "), F.right("broker_name", F.lit(1))).alias("user_id"), "broker_name"
     ).distinct()
     return access.entitled_rows(submissions, entitled)
+
+
+@query(
+    "s10_overwrite_partitions",
+    """SELECT doc_id, lang, n_chars FROM documents WHERE lang <> 'en'
+       UNION ALL SELECT doc_id, lang, n_chars + 1 FROM documents WHERE lang = 'en'""",
+)
+def s10(spark, sf):
+    # The whole table is stored by language, then one language is replaced.
+    path = fresh_path(spark, "by-language")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    files.overwrite(docs, path, ["lang"])
+    files.overwrite(docs.where("lang = 'en'").withColumn("n_chars", F.col("n_chars") + 1), path, ["lang"])
+    return spark.read.parquet(path).select("doc_id", "lang", "n_chars")
+
+
+@query(
+    "s11_append_turns",
+    with_models("SELECT session_id, role, content, user_id FROM sessions", "sessions"),
+)
+def s11(spark, sf):
+    # Turns are appended as one frame per role, never row by row.
+    path = fresh_path(spark, "turns")
+    turns = table(spark, sf, "sessions")
+    for role in ("user", "assistant", "system"):
+        files.append(turns.where(F.col("role") == role), path)
+    return spark.read.schema(schemas.CONVERSATIONS).parquet(path).drop("created_at")
