@@ -80,8 +80,9 @@ def bm25_search(
     chunks outside it are dropped before they are scored.
 
     A set of query terms of counted size is broadcast: a chunk is then scored where it lies
-    and only ``n`` rows per question and task are shuffled.  A larger set is joined on the
-    term plus a salt from the chunk key, so that a frequent term is spread over many tasks.
+    and only ``n`` rows per question and task are shuffled, however frequent a term is.  A
+    larger set is joined on the term plus a salt from the chunk key, so that a frequent term
+    is spread over many tasks.
     """
     carry = ["allowed"] if category else []
     wanted = query_terms(queries, question, *carry)
