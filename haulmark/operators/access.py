@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
+from haulmark.sources.sizing import broadcast_if_small
 
 
 def role_policy(spark: SparkSession, policy: dict[str, list[str]] | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def role_policy(spark: SparkSession, policy: dict[str, list[str]] | None = None)
 def with_allowed(queries: DataFrame, policy: DataFrame) -> DataFrame:
     """Attach the allowed categories of the role; an unknown role stops the job."""
     known = policy.withColumn("_known", F.lit(True))
-    joined = queries.join(F.broadcast(known), "role", "left")
+    joined = queries.join(broadcast_if_small(known), "role", "left")
     message = F.concat(F.lit("unknown role: "), F.coalesce("role", F.lit("NULL")))
     guard = F.when(F.col("_known"), F.col("allowed")).otherwise(
         F.raise_error(message).cast("array<string>")
@@ -35,7 +36,7 @@ def visible_counts(chunks: DataFrame, policy: DataFrame) -> DataFrame:
     total = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
         # One row per category on one side, one row per role on the other.
-        per_category.join(F.broadcast(policy), sees)
+        per_category.join(policy, sees)
         .groupBy("role")
         .agg(F.sum("n").alias("n_chunks"), F.count(F.lit(1)).alias("n_categories"))
         .withColumn("visible_pct", F.round(F.col("n_chunks") * 100 / total, 4))

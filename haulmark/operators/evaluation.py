@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
@@ -103,22 +103,22 @@ def summarize(checked: DataFrame) -> DataFrame:
     return totals.join(p95, keys, "left")
 
 
-def run_history(checked: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest runs with their pass rate."""
+def run_rates(checked: DataFrame) -> DataFrame:
+    """Pass rate and mean response time of every run."""
     n = F.count(F.lit(1))
-    return (
-        checked.groupBy("run_id")
-        .agg(
-            n.alias("total_questions"),
-            F.count_if("passed").alias("n_passed"),
-            F.round(F.avg("elapsed"), 4).alias("avg_response_s"),
-            F.round(F.count_if("passed") * 100 / n, 1).alias("pass_rate_pct"),
-        )
-        .orderBy(F.desc("run_id"))
-        .limit(limit)
+    return checked.groupBy("run_id").agg(
+        n.alias("total_questions"),
+        F.count_if("passed").alias("n_passed"),
+        F.round(F.avg("elapsed"), 4).alias("avg_response_s"),
+        F.round(F.count_if("passed") * 100 / n, 1).alias("pass_rate_pct"),
     )
 
 
+def run_history(checked: DataFrame, limit: int = 10) -> DataFrame:
+    """Newest runs with their pass rate."""
+    return run_rates(checked).orderBy(F.desc("run_id")).limit(limit)
+
+
 def failures(checked: DataFrame) -> DataFrame:
     return checked.where(~F.col("passed")).select(
         "question_id",
@@ -134,7 +134,7 @@ def failures(checked: DataFrame) -> DataFrame:
 
 def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """PASS or FAIL for every metric against its threshold row."""
-    return metrics.join(F.broadcast(thresholds), "metric").select(
+    return metrics.join(thresholds, "metric").select(
         "metric",
         "value",
         "threshold",
@@ -172,6 +172,6 @@ def operation_alerts(metrics: DataFrame, targets: DataFrame) -> DataFrame:
     above = F.col("direction") == "above"
     crossed = F.when(above, F.col("value") > F.col("alert")).otherwise(F.col("value") < F.col("alert"))
     missed = F.when(above, F.col("value") > F.col("target")).otherwise(F.col("value") < F.col("target"))
-    return metrics.join(F.broadcast(targets), "metric").withColumn(
+    return metrics.join(targets, "metric").withColumn(
         "state", F.when(crossed, "ALERT").when(missed, "WARN").otherwise("OK")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from haulmark import fixed_values as fv
 from haulmark.functions.ranking import top_n
 from haulmark.functions.text import normalize_ratio
+from haulmark.sources.sizing import broadcast_if_small
 
 
 def exact_mean(column: str, scale: int = 4) -> Column:
@@ -503,8 +504,8 @@ def premium_indication(
     ``territory`` (state_domicile, territory_factor) and ``commodity`` (primary_commodity,
     commodity_factor) are rate tables; a value that is not listed has factor 1.
     """
-    rated = accounts.join(F.broadcast(territory), "state_domicile", "left").join(
-        F.broadcast(commodity), "primary_commodity", "left"
+    rated = accounts.join(broadcast_if_small(territory), "state_domicile", "left").join(
+        broadcast_if_small(commodity), "primary_commodity", "left"
     )
     manual = (
         F.lit(base_rate)

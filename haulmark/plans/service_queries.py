@@ -352,7 +352,7 @@ def e06(spark, sf):
     ),
 )
 def e06_rate(spark, sf):
-    runs = ev.run_history(checked(spark, sf), limit=1 << 30)
+    runs = ev.run_rates(checked(spark, sf))
     verdict = F.when(F.col("pass_rate_pct") >= fv.PASS_RATE_GATE, "PASS").otherwise("FAIL")
     return runs.select("run_id", "pass_rate_pct", verdict.alias("verdict"))
 
@@ -388,7 +388,7 @@ def e07_section(spark, sf):
     ),
 )
 def e08(spark, sf):
-    return ev.drift(ev.run_history(checked(spark, sf), limit=1 << 30), "pass_rate_pct", "run0")
+    return ev.drift(ev.run_rates(checked(spark, sf)), "pass_rate_pct", "run0")
 
 
 @query(
