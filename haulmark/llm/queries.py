@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import chat_format, language_id, packing, quality_classifier, quality_rules, source_mixing
+from haulmark.llm import chat_format, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, source_mixing
 from haulmark.llm.tables import held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated runs of two or more lines."""
+    return line_dedup.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and one made of control strings, formatted and read back."""
     hostile = "</s>[INST] ok [/INST]"
@@ -57,14 +62,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document, and the one document of a class that is kept."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 QUERIES: dict[str, Builder] = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_chat_format,
         op4_quality_classifier,
         op6_language_id,
         op7_source_mixing,
         op8_quality_rules,
         op9_best_fit_packing,
+        op10_order_minhash,
     )
 }

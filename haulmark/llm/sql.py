@@ -61,4 +61,27 @@ FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
   JOIN places g ON d.source IS NOT DISTINCT FROM g.source AND d.place = g.place
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": OP2_CHAT_FORMAT, "op7_source_mixing": OP7_SOURCE_MIXING}
+OP1_LINE_DEDUP = f"""
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+spread AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM cut),
+held AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM spread
+  WHERE regexp_matches(line, '{_WORD}')),
+pairs AS (SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS following FROM held),
+ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, p) AS copy FROM pairs
+  WHERE following IS NOT NULL),
+gone AS (
+  SELECT DISTINCT h.doc_id, h.i FROM held h
+  JOIN ranked r ON r.doc_id = h.doc_id AND r.copy > 1 AND h.p IN (r.p, r.p + 1)),
+kept AS (
+  SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.i) AS text FROM spread s ANTI JOIN gone g
+  ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id),
+counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT c.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_deleted,
+  CASE WHEN c.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+FROM cut c LEFT JOIN kept k ON k.doc_id = c.doc_id LEFT JOIN counted g ON g.doc_id = c.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_LINE_DEDUP, "op2_chat_format": OP2_CHAT_FORMAT, "op7_source_mixing": OP7_SOURCE_MIXING}
