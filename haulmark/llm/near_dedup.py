@@ -13,8 +13,9 @@ need, so it loses nothing.  A pair at 0.8 is missed by all sketches about once i
 
 Classes are the connected components of the links.  Equal texts are one node.  In the first round a
 member of a bucket is compared with the bucket's first and with the one before it; in the second
-round only members that are still in different components are compared, in blocks of ``BLOCK``
-members, so a bucket of copies gives as many pairs as it has members, and no bucket is gathered.
+round members of a bucket that are still in different components meet in blocks of ``BLOCK``, and
+only pairs with enough shingles in common leave the task.  So no bucket is gathered, and a group
+gives pairs in proportion to its members and its links.
 
 Defined results: a null text is a class of its own; equal texts, also empty ones, are one class;
 texts of white space or empty are linked only to equal ones; a class is named by its smallest
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,18 @@ def shingle_runs(part: TextSlice) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(docs, np.arange(part.n_docs + 1))
 
 
+def labelled_occurrences(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes that also tell the first, second, ... occurrence of a shingle in its text apart."""
+    keys = keys_by_doc(hashes, owner)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    place = np.arange(len(keys))
+    occurrence = np.empty(len(keys), dtype=np.uint64)
+    occurrence[order] = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
+    return mix(hashes + occurrence * np.uint64(0xD6E8FEB86659FD93))
+
+
 def order_sketches(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """``SKETCHES`` keys for every text with a shingle (zeros for the others)."""
     n_docs = len(ptr) - 1
@@ -69,14 +83,7 @@ def order_sketches(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         return out
     begin, lengths = ptr[:-1][filled], np.diff(ptr)[filled]
     owner = np.repeat(np.arange(len(filled)), lengths)
-    keys = keys_by_doc(hashes, owner)
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    place = np.arange(len(keys))
-    occurrence = np.empty(len(keys), dtype=np.uint64)
-    occurrence[order] = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
-    labelled = mix(hashes + occurrence * np.uint64(0xD6E8FEB86659FD93))
+    labelled = labelled_occurrences(hashes, owner)
     for j, seed in enumerate(_SEEDS):
         value = labelled * seed
         value ^= value >> np.uint64(32)
@@ -194,7 +201,7 @@ def _fits(n1, n2, threshold: float):
 
 def first_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
     """Every member of a bucket with the bucket's first and with the one before it, by length."""
-    in_order = Window.partitionBy("key").orderBy("n", "node")
+    in_order = Window.partitionBy("sketch", "key").orderBy("n", "node")
     seen = buckets.select(
         "node", "n",
         F.first(F.struct("node", "n")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
@@ -205,36 +212,111 @@ def first_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
     return fitting.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs of a bucket whose members are in different components, block against block."""
-    member = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    sizes = member.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-    split = sizes.where("low < high").select("key", F.ceil(F.col("members") / block).alias("blocks"))
-    dealt = member.join(split, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    grouped = dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "label")).alias("rows"))
+def split_members(buckets: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of buckets that hold more than one component, dealt into blocks."""
+    member = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = member.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
+    split = sizes.where("low < high").select("sketch", "key", F.ceil(F.col("members") / block).alias("blocks"))
+    return member.join(split, ["sketch", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """node and marks: a 32-bit hash of every occurrence-labelled shingle, in rising order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, part in slices(batch.column("text")):
+                hashes, ptr = shingle_runs(part)
+                owner = np.repeat(np.arange(part.n_docs), np.diff(ptr))
+                marks = (labelled_occurrences(hashes, owner) >> np.uint64(32)).astype(np.uint32)
+                order = np.lexsort((marks, owner))
+                lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(marks[order].view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, last - first), lists], names=["node", "marks"])
+
+    return texts.mapInArrow(run, "node long, marks array<int>")
+
+
+def _block(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    node, n, label = (rows.field(c).to_numpy() for c in ("node", "n", "label"))
+    keys = rows.field("keys").flatten().to_numpy().reshape(len(node), SKETCHES)
+    marks = rows.field("marks")
+    owner = np.repeat(np.arange(len(node)), pa.compute.list_value_length(marks).to_numpy())
+    return node, n, label, keys, marks.flatten().to_numpy(), owner
+
+
+def _shared(x_marks: np.ndarray, x_owner: np.ndarray, y_marks: np.ndarray, y_owner: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """How many marks every text of one block has in common with every text of another."""
+    known, x_at = np.unique(x_marks, return_inverse=True)
+    at = np.searchsorted(known, y_marks)
+    at[at == len(known)] = 0
+    held = known[at] == y_marks
+    y_at, y_owner = at[held], y_owner[held]
+    total = np.zeros(shape)
+    for begin in range(0, len(known), 1 << 15):
+        width = min(1 << 15, len(known) - begin)
+        sides = []
+        for marks_at, owner, rows in ((x_at, x_owner, shape[0]), (y_at, y_owner, shape[1])):
+            inside = (marks_at >= begin) & (marks_at < begin + width)
+            side = np.zeros((rows, width), dtype=np.float32)
+            side[owner[inside], marks_at[inside] - begin] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def cross_pairs(members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components that share enough shingles to be linked.
+
+    ``members`` are those of ``split_members``, ``signed`` has node, keys and marks.  Blocks of a
+    bucket meet in tasks; a pair is looked at where it first meets, and only pairs whose count of
+    common shingles reaches what a link needs leave the task.
+    """
+    rows = members.join(signed, "node")
+    grouped = rows.groupBy("key", "sketch", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "label", "keys", "marks")).alias("rows"))
     met = grouped.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "rows"
+        "key", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "rows"
     )
-    sides = met.groupBy("key", "i", "j").agg(
+    sides = met.groupBy("key", "sketch", "i", "j").agg(
         F.first(F.when(F.col("left"), F.col("rows")), ignorenulls=True).alias("xs"),
         F.first(F.when(~F.col("left") | (F.col("i") == F.col("j")), F.col("rows")), ignorenulls=True).alias("ys"),
-    )
-    pairs = sides.select(F.explode("xs").alias("x"), "ys").where("ys IS NOT NULL")
-    differing = F.filter(
-        "ys", lambda y: (y["label"] != F.col("x.label")) & _fits(y["n"], F.col("x.n"), threshold)
-    )
-    found = pairs.select("x", F.explode(differing).alias("y"))
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    ).where("xs IS NOT NULL AND ys IS NOT NULL").select("sketch", "i", "j", "xs", "ys")
 
-
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and text of the texts that occur in the pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_key"), "node")
-    found = docs.select("text", text_key().alias("text_key")).join(broadcast_if_small(wanted), "text_key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                sketch = batch.column("sketch")[r].as_py()
+                same = batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
+                x, n_x, label_x, keys_x, marks_x, owner_x = _block(batch.column("xs")[r].values)
+                y, n_y, label_y, keys_y, marks_y, owner_y = _block(batch.column("ys")[r].values)
+                earlier = (keys_x[:, None, :sketch] == keys_y[None, :, :sketch]).any(-1)
+                possible = ~earlier & (label_x[:, None] != label_y[None, :])
+                if same:
+                    possible &= x[:, None] < y[None, :]
+                n = n_x[:, None] + n_y[None, :]
+                need = np.ceil(threshold * n / (1 + threshold) - 1e-9)
+                possible &= np.minimum(n_x[:, None], n_y[None, :]) >= need
+                if possible.any():
+                    enough = _shared(marks_x, owner_x, marks_y, owner_y, possible.shape) >= need
+                    i, j = np.nonzero(possible & enough)
+                    low, high = np.minimum(x[i], y[j]), np.maximum(x[i], y[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+
+    return sides.mapInArrow(run, "a long, b long").distinct()
+
+
+def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the wanted nodes."""
+    keyed = nodes.select("node", "text_key", F.col("doc_id").alias("first_id")).join(wanted, "node")
+    given = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key"))
+    found = given.join(broadcast_if_small(keyed), "text_key").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_key, class_id and kept (one row of each class) for every row of ``docs``."""
     sketches = keep(sketch(docs), "sketches")
@@ -242,15 +324,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")
     )
     nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    entries = nodes.select("node", "n", F.posexplode("keys").alias("sketch", "key")).select("node", "n", F.xxhash64("sketch", "key").alias("key"))
-    alone = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    buckets = keep(entries.join(alone, "key"), "buckets")
+    entries = nodes.select("node", "n", F.posexplode("keys").alias("sketch", "key"))
+    shared = entries.groupBy("sketch", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("sketch", "key")
+    buckets = keep(entries.join(shared, ["sketch", "key"]), "buckets")
     pairs = keep(first_pairs(buckets, threshold), "pairs")
-    links = keep(verified(pairs, _texts_of(pairs, nodes, docs), threshold), "links")
+    links = keep(verified(pairs, _texts_of(_nodes_of(pairs), nodes, docs), threshold), "links")
     labels = components(links)
-    more = keep(cross_pairs(buckets, labels, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    members = keep(split_members(buckets, labels), "members")
+    texts = _texts_of(members.select("node").distinct(), nodes, docs)
+    signed = keep(signatures(texts).join(nodes.select("node", "keys"), "node"), "signed")
+    more = keep(cross_pairs(members, signed, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        late = keep(verified(more, _texts_of(more, nodes, docs), threshold), "links")
+        late = keep(verified(more, _texts_of(_nodes_of(more), nodes, docs), threshold), "links")
         if not late.isEmpty():
             links = keep(links.unionByName(late), "links")
             labels = components(links)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import chat_format, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, source_mixing
+from haulmark.llm import chat_format, language_id, line_dedup, metric_search, near_dedup, packing, quality_classifier, quality_rules, source_mixing, substring_dedup
 from haulmark.llm.tables import held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(given.unionByName(planted)))
 
 
+def op3_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the largest inner product for every row whose id is divisible by 20."""
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; rows with crc32 = 2 modulo 4 are never learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -37,6 +42,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds, too."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -72,7 +82,9 @@ QUERIES: dict[str, Builder] = {
     for f in (
         op1_line_dedup,
         op2_chat_format,
+        op3_metric_search,
         op4_quality_classifier,
+        op5_substring_dedup,
         op6_language_id,
         op7_source_mixing,
         op8_quality_rules,

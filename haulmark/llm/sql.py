@@ -84,4 +84,15 @@ SELECT c.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coales
 FROM cut c LEFT JOIN kept k ON k.doc_id = c.doc_id LEFT JOIN counted g ON g.doc_id = c.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_LINE_DEDUP, "op2_chat_format": OP2_CHAT_FORMAT, "op7_source_mixing": OP7_SOURCE_MIXING}
+OP3_METRIC_SEARCH = """
+WITH points AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(q.v, p.v) AS BIGINT) AS score
+  FROM points q JOIN points p ON p.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_LINE_DEDUP, "op2_chat_format": OP2_CHAT_FORMAT, "op3_metric_search": OP3_METRIC_SEARCH, "op7_source_mixing": OP7_SOURCE_MIXING}
