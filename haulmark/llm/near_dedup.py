@@ -12,8 +12,7 @@ an alignment matches.  The alignment is banded; the band is as wide as a pair at
 need, so it loses nothing.  A pair at 0.8 is missed by all sketches about once in 100,000 times.
 
 Classes are the connected components of the links.  Equal texts are one node.  In the first round a
-member of a bucket is compared with the bucket's first and with the one before it; in the second
-round members of a bucket that are still in different components meet in blocks of ``BLOCK``, and
+member of a bucket is compared with the bucket's first; in the second round members of a bucket that are still in different components meet in blocks of ``BLOCK``, and
 only pairs with enough shingles in common leave the task.  So no bucket is gathered, and a group
 gives pairs in proportion to its members and its links.
 
@@ -31,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm.components import components
@@ -200,16 +199,10 @@ def _fits(n1, n2, threshold: float):
 
 
 def first_pairs(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Every member of a bucket with the bucket's first and with the one before it, by length."""
-    in_order = Window.partitionBy("sketch", "key").orderBy("n", "node")
-    seen = buckets.select(
-        "node", "n",
-        F.first(F.struct("node", "n")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"),
-        F.lag(F.struct("node", "n")).over(in_order).alias("before"),
-    )
-    pairs = seen.select("node", "n", F.explode(F.array("first", "before")).alias("other"))
-    fitting = pairs.where((F.col("other.node") != F.col("node")) & _fits(F.col("n"), F.col("other.n"), threshold))
-    return fitting.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
+    """Every member of a bucket with the bucket's first."""
+    first = buckets.groupBy("sketch", "key").agg(F.min(F.struct("node", "n")).alias("first"))
+    seen = buckets.join(first, ["sketch", "key"]).where((F.col("first.node") != F.col("node")) & _fits(F.col("n"), F.col("first.n"), threshold))
+    return seen.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def split_members(buckets: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -350,3 +343,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         (own | (F.col("best") & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of every class."""
+    found = near_duplicates(docs, threshold)
+    counted = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"), F.first("kept").alias("kept"))
+    # What goes is less than what stays; a row that stays is found by not being on the list.
+    marked = keep(counted.where("NOT kept OR (rows > 1 AND text_key IS NOT NULL)"), "classes")
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("key", text_key("row.text"))
+    joined = wrapped.alias("r").join(
+        broadcast_if_small(marked.alias("m")), F.expr("CAST(r.row.doc_id AS BIGINT) <=> m.doc_id AND r.key <=> m.text_key"), "left"
+    )
+    single = joined.where("kept IS NULL").select("row.*")
+    repeated = joined.where("kept").groupBy("m.doc_id", "m.text_key").agg(F.first("row").alias("row")).select("row.*")
+    return single.unionByName(repeated)
