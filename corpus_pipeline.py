@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haulmark.llm import line_dedup, near_dedup, packing, quality_classifier, source_mixing
 from haulmark.llm.tables import keep, table
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars, where the documents have it, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine accepts; it learns from ``docs`` and the labels."""
     machine = quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -16,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of repeated runs of lines."""
-    return line_dedup.deduplicated(docs)
+    return _measured(line_dedup.deduplicated(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return source_mixing.mixed(docs)
+    return _measured(source_mixing.mixed(docs))
 
 
 def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
