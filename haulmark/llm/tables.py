@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from haulmark.sources.sizing import materialize
 
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -21,6 +24,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def in_batches(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES``.
+
+    A batch lies in the JVM and in the Python worker at once, so its size, not the number of its
+    rows, has to be bounded where texts differ in length by orders of magnitude.  The limit is a
+    setting of the session; it is only ever lowered.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH, "64m").rstrip("bB").replace("m", "0" * 6)) not in range(1, BATCH_BYTES + 1):
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df.mapInArrow(function, schema)
+
+
 def text_key(column: str = "text") -> Column:
     """128-bit key of a text as a string of 32 hex digits; null for a null text."""
     return F.md5(F.col(column))
