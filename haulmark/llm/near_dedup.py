@@ -12,9 +12,11 @@ an alignment matches.  The alignment is banded; the band is as wide as a pair at
 need, so it loses nothing.  A pair at 0.8 is missed by all sketches about once in 100,000 times.
 
 Classes are the connected components of the links.  Equal texts are one node.  In the first round a
-member of a bucket is compared with the bucket's first; in the second round members of a bucket that are still in different components meet in blocks of ``BLOCK``, and
-only pairs with enough shingles in common leave the task.  So no bucket is gathered, and a group
-gives pairs in proportion to its members and its links.
+member of a bucket is compared with the bucket's first.  Members of a bucket that are then still in
+different components are dealt into blocks of ``BLOCK``; in the second round they meet inside their
+block, in the third those of different blocks.  A task verifies its pairs itself and returns only
+links that join components, fewer than it has members.  So no bucket is gathered, and a group of
+texts that are all alike gives links in proportion to its members.
 
 Defined results: a null text is a class of its own; equal texts, also empty ones, are one class;
 texts of white space or empty are linked only to equal ones; a class is named by its smallest
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.llm.components import components
-from haulmark.llm.tables import keep, text_key
+from haulmark.llm.tables import in_batches, keep, text_key
 from haulmark.llm.tokens import SHINGLE, TextSlice, keys_by_doc, mix, run_hash, slices
 from haulmark.sources.sizing import broadcast_if_small
 
@@ -213,28 +215,31 @@ def split_members(buckets: DataFrame, labels: DataFrame, block: int = BLOCK) ->
     return member.join(split, ["sketch", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """node and marks: a 32-bit hash of every occurrence-labelled shingle, in rising order."""
+def sequences_of(texts: DataFrame) -> DataFrame:
+    """node and seq: the shingle hashes of every text in text order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, part in slices(batch.column("text")):
                 hashes, ptr = shingle_runs(part)
-                owner = np.repeat(np.arange(part.n_docs), np.diff(ptr))
-                marks = (labelled_occurrences(hashes, owner) >> np.uint64(32)).astype(np.uint32)
-                order = np.lexsort((marks, owner))
-                lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(marks[order].view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, last - first), lists], names=["node", "marks"])
+                lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, last - first), lists], names=["node", "seq"])
 
-    return texts.mapInArrow(run, "node long, marks array<int>")
+    return in_batches(texts, run, "node long, seq array<long>")
 
 
-def _block(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
-    node, n, label = (rows.field(c).to_numpy() for c in ("node", "n", "label"))
-    keys = rows.field("keys").flatten().to_numpy().reshape(len(node), SKETCHES)
-    marks = rows.field("marks")
-    owner = np.repeat(np.arange(len(node)), pa.compute.list_value_length(marks).to_numpy())
-    return node, n, label, keys, marks.flatten().to_numpy(), owner
+class _Block:
+    """Members of a bucket that meet others in one task."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.node, self.n, self.label = (rows.field(c).to_numpy() for c in ("node", "n", "label"))
+        self.keys = rows.field("keys").flatten().to_numpy().reshape(len(self.node), SKETCHES)
+        column = rows.field("seq")
+        lengths = pa.compute.list_value_length(column).to_numpy()
+        flat = column.flatten().to_numpy().view(np.uint64)
+        self.seqs = np.split(flat, np.cumsum(lengths)[:-1])
+        self.owner = np.repeat(np.arange(len(self.node)), lengths)
+        self.marks = labelled_occurrences(flat, self.owner)
 
 
 def _shared(x_marks: np.ndarray, x_owner: np.ndarray, y_marks: np.ndarray, y_owner: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -257,45 +262,66 @@ def _shared(x_marks: np.ndarray, x_owner: np.ndarray, y_marks: np.ndarray, y_own
     return total
 
 
-def cross_pairs(members: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share enough shingles to be linked.
+def _spanning(x: _Block, y: _Block, possible: np.ndarray, need: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the components of the two blocks as all links of the possible pairs would.
 
-    ``members`` are those of ``split_members``, ``signed`` has node, keys and marks.  Blocks of a
-    bucket meet in tasks; a pair is looked at where it first meets, and only pairs whose count of
-    common shingles reaches what a link needs leave the task.
+    Pairs whose components are joined by then are passed over, so there are fewer links than
+    components, however many pairs are alike.
     """
-    rows = members.join(signed, "node")
-    grouped = rows.groupBy("key", "sketch", "blocks", "block").agg(F.collect_list(F.struct("node", "n", "label", "keys", "marks")).alias("rows"))
-    met = grouped.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select(
-        "key", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "rows"
-    )
-    sides = met.groupBy("key", "sketch", "i", "j").agg(
-        F.first(F.when(F.col("left"), F.col("rows")), ignorenulls=True).alias("xs"),
-        F.first(F.when(~F.col("left") | (F.col("i") == F.col("j")), F.col("rows")), ignorenulls=True).alias("ys"),
-    ).where("xs IS NOT NULL AND ys IS NOT NULL").select("sketch", "i", "j", "xs", "ys")
+    common = _shared(x.marks, x.owner, y.marks, y.owner, possible.shape)
+    i, j = np.nonzero(possible & (common >= need))
+    order = np.argsort(-common[i, j], kind="stable")
+    root: dict[int, int] = {}
+
+    def find(label: int) -> int:
+        while label in root:
+            label = root[label]
+        return label
+
+    found = []
+    for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        one, other = find(int(x.label[p])), find(int(y.label[q]))
+        if one != other and similarity(x.seqs[p], y.seqs[q], threshold) > 0:
+            root[max(one, other)] = min(one, other)
+            found.append((int(x.node[p]), int(y.node[q])))
+    return found
+
+
+def block_links(members: DataFrame, signed: DataFrame, threshold: float, within: bool) -> DataFrame:
+    """Verified links (a, b) that join different components, inside blocks or between two blocks.
+
+    ``members`` are those of ``split_members``, ``signed`` has node, keys and seq.  A pair is looked
+    at in the first bucket both are in.  Blocks that hold one and the same component don't meet.
+    """
+    bucket = ["key", "sketch"]
+    rows = members.join(signed, "node").groupBy(*bucket, "block").agg(F.collect_list(F.struct("node", "n", "label", "keys", "seq")).alias("rows"))
+    spans = members.groupBy(*bucket, "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    if within:
+        sides = rows.join(spans.where("low < high").select(*bucket, "block"), [*bucket, "block"]).select("sketch", F.col("rows").alias("xs"), F.col("rows").alias("ys"))
+    else:
+        one = spans.select(*bucket, F.col("block").alias("i"), "low", "high")
+        two = spans.select(*bucket, F.col("block").alias("j"), F.col("low").alias("low_2"), F.col("high").alias("high_2"))
+        met = one.join(two, bucket).where("i < j AND least(low, low_2) < greatest(high, high_2)").select(*bucket, "i", "j")
+        sides = met.join(rows.select(*bucket, F.col("block").alias("i"), F.col("rows").alias("xs")), [*bucket, "i"])
+        sides = sides.join(rows.select(*bucket, F.col("block").alias("j"), F.col("rows").alias("ys")), [*bucket, "j"]).select("sketch", "xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 sketch = batch.column("sketch")[r].as_py()
-                same = batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
-                x, n_x, label_x, keys_x, marks_x, owner_x = _block(batch.column("xs")[r].values)
-                y, n_y, label_y, keys_y, marks_y, owner_y = _block(batch.column("ys")[r].values)
-                earlier = (keys_x[:, None, :sketch] == keys_y[None, :, :sketch]).any(-1)
-                possible = ~earlier & (label_x[:, None] != label_y[None, :])
-                if same:
-                    possible &= x[:, None] < y[None, :]
-                n = n_x[:, None] + n_y[None, :]
-                need = np.ceil(threshold * n / (1 + threshold) - 1e-9)
-                possible &= np.minimum(n_x[:, None], n_y[None, :]) >= need
+                x = _Block(batch.column("xs")[r].values)
+                y = x if within else _Block(batch.column("ys")[r].values)
+                earlier = (x.keys[:, None, :sketch] == y.keys[None, :, :sketch]).any(-1)
+                possible = ~earlier & (x.label[:, None] != y.label[None, :])
+                if within:
+                    possible &= x.node[:, None] < y.node[None, :]
+                need = np.ceil(threshold * (x.n[:, None] + y.n[None, :]) / (1 + threshold) - 1e-9)
+                possible &= np.minimum(x.n[:, None], y.n[None, :]) >= need
                 if possible.any():
-                    enough = _shared(marks_x, owner_x, marks_y, owner_y, possible.shape) >= need
-                    i, j = np.nonzero(possible & enough)
-                    low, high = np.minimum(x[i], y[j]), np.maximum(x[i], y[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+                    found = np.array(_spanning(x, y, possible, need, threshold), dtype=np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], names=["a", "b"])
 
-    return sides.mapInArrow(run, "a long, b long").distinct()
+    return in_batches(sides, run, "a long, b long").distinct()
 
 
 def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -325,13 +351,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = components(links)
     members = keep(split_members(buckets, labels), "members")
     texts = _texts_of(members.select("node").distinct(), nodes, docs)
-    signed = keep(signatures(texts).join(nodes.select("node", "keys"), "node"), "signed")
-    more = keep(cross_pairs(members, signed, threshold).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        late = keep(verified(more, _texts_of(_nodes_of(more), nodes, docs), threshold), "links")
+    signed = keep(sequences_of(texts).join(nodes.select("node", "keys"), "node"), "signed")
+    for within in (True, False):
+        late = keep(block_links(members, signed, threshold, within), "links")
         if not late.isEmpty():
             links = keep(links.unionByName(late), "links")
             labels = components(links)
+            members = keep(split_members(buckets, labels), "members")
     grouped = nodes.join(labels, "node", "left").select("text_key", "doc_id", F.coalesce("label", "node").alias("label"))
     named = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_key")).alias("best"))
     classes = grouped.join(named, "label").select("text_key", "class_id", (F.col("best.text_key") == F.col("text_key")).alias("best"))
