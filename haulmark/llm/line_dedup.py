@@ -128,7 +128,8 @@ def deleted_lines(table: DataFrame, later: DataFrame, min_lines: int) -> DataFra
     islands = islands.withColumn("begin", F.last("begin", ignorenulls=True).over(order))
     spans = islands.groupBy("doc", "begin").agg((F.max("pos") + min_lines - 1).alias("end"))
     by_doc = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    found = table.join(by_doc, F.col("start") == F.col("doc"))
+    # A text without lines begins where the next one does.
+    found = table.where("n > 0").join(by_doc, F.col("start") == F.col("doc"))
     number = lambda place: F.element_at("lines", (place - F.col("start") + 1).cast("int"))["i"]
     return found.select("doc_id", "text_key", F.transform("spans", lambda s: F.struct(number(s["begin"]).alias("first"), number(s["end"]).alias("last"))).alias("spans"))
 
