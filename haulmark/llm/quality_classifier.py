@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from haulmark.llm import textstats
 from haulmark.llm.tables import bounded_sample, held_out
@@ -186,9 +187,10 @@ def keep_good(docs: DataFrame, machine: Machine, accept: float = ACCEPT) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.names.index("text"))
-            score = [machine.score(part) for _, _, part in slices(column)]
+            score = [machine.score(part) for _, _, part in slices(batch.column("row").field("text"))]
             if score:
                 yield batch.filter(pa.array(np.concatenate(score) >= accept))
 
-    return docs.mapInArrow(run, docs.schema)
+    # As one column, rows go through whatever the names of their columns are.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, StructType([StructField("row", rows.schema["row"].dataType)])).select("row.*")
