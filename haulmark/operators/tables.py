@@ -93,8 +93,8 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def purge_before(df: DataFrame, column: str, as_of: Column, days: int) -> DataFrame:
-    """Keep rows no older than ``days`` before ``as_of``."""
-    return df.where(F.col(column) >= as_of - F.make_interval(days=F.lit(days)))
+    """Delete rows older than ``days`` before ``as_of``; rows without a time stay."""
+    return delete_where(df, F.col(column) < as_of - F.make_interval(days=F.lit(days)))
 
 
 def unique_violations(df: DataFrame, keys: list[str]) -> DataFrame:

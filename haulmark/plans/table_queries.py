@@ -194,7 +194,7 @@ def s17(spark, sf):
 
 @query(
     "s18_purge_sessions",
-    """SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE ts >= TIMESTAMP '2024-04-10 00:00:00' - INTERVAL '90' DAY""",
+    """SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-04-10 00:00:00' - INTERVAL '90' DAY""",
 )
 def s18(spark, sf):
     events = table(spark, sf, "events")

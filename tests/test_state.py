@@ -276,3 +276,9 @@ def test_sizes_and_folders(spark):
     assert within(spark.range(10), 10) and not within(spark.range(11), 10)
     assert shared_folder(spark) == shared_folder(spark)
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_retention_keeps_rows_without_a_time(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01'), (2, TIMESTAMP '2024-03-31'), (3, NULL) AS t(id, ts)")
+    kept = tables.purge_before(rows, "ts", F.lit("2024-04-10").cast("timestamp"), 90)
+    assert sorted(r.id for r in kept.collect()) == [2, 3]
