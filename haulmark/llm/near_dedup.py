@@ -44,6 +44,7 @@ SKETCHES = 16
 PICK = 3
 THRESHOLD = 0.8
 BLOCK = 64
+COPY_PAIRS = 256
 
 _TOP = np.uint64(2**64 - 1)
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -176,11 +177,20 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return found if found >= threshold - 1e-12 else 0.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of ``texts`` (node, text) that are linked."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, copy_pairs: int = COPY_PAIRS) -> DataFrame:
+    """The pairs (a, b) of ``texts`` (node, text) that are linked.
+
+    A text ``a`` with many pairs is copied once per ``copy_pairs`` of them, and its pairs are dealt
+    over the copies, so no task reads all pairs of a large bucket's first.
+    """
+    copies = F.ceil(F.count(F.lit(1)) / copy_pairs).cast("int").alias("copies")
+    many = keep(pairs.groupBy("a").agg(copies).where("copies > 1"), "many-pairs")
+    copied = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(broadcast_if_small(many), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copied).cast("int").alias("copy"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(broadcast_if_small(many), "a", "left")
+    left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), copied - 1)).alias("copy"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = dealt.join(left, ["a", "copy"]).join(right, "b").select("a", "b", "text_a", "text_b")
 
     def sequences(column: pa.Array) -> Iterator[np.ndarray]:
         for _, _, part in slices(column):

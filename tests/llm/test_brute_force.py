@@ -99,6 +99,16 @@ def test_near_dedup_of_one_large_group_keeps_one(spark):
     assert near_dedup.deduplicated(docs).columns == docs.columns
 
 
+def test_pairs_of_one_text_are_dealt_over_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [(n, " ".join([*words, f"end{n}"])) for n in range(40)] + [(40, "nothing of this is alike at all")]
+    pairs = spark.createDataFrame([(0, n) for n in range(1, 41)], "a long, b long")
+    nodes = spark.createDataFrame(texts, "node long, text string")
+    for copy_pairs in (1, 7, 1000):
+        found = near_dedup.verified(pairs, nodes, copy_pairs=copy_pairs).collect()
+        assert sorted((r.a, r.b) for r in found) == [(0, n) for n in range(1, 40)]
+
+
 def test_blocks_return_fewer_links_than_members(spark):
     """A bucket of 200 equal-sized texts that are all alike, none linked before."""
     rng = random.Random(6)
