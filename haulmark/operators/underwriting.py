@@ -477,10 +477,10 @@ def portfolio_mix(policies: DataFrame, insureds: DataFrame, segment: str) -> Dat
 
 
 def submission_funnel(submissions: DataFrame) -> DataFrame:
-    """Counts, premium change and days to quote by status."""
+    """Counts, premium change and days to quote by status; new business without an expiring premium has no change."""
     n = F.count(F.lit(1))
     total = submissions.agg(F.count(F.lit(1)).alias("n")).scalar()
-    change = (F.col("quoted_premium") - F.col("expiring_premium")) * 100 / F.col("expiring_premium")
+    change = F.try_divide((F.col("quoted_premium") - F.col("expiring_premium")) * 100, F.col("expiring_premium"))
     return submissions.groupBy("submission_status").agg(
         n.alias("n_submissions"),
         F.round(n * 100 / total, 4).alias("share_pct"),
