@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import chat_format, language_id, line_dedup, metric_search, near_dedup, packing, quality_classifier, quality_rules, source_mixing, substring_dedup
-from haulmark.llm.tables import held_out, table
+from haulmark.llm import chat_format, language_id, line_dedup, metric_search, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, source_mixing, substring_dedup
+from haulmark.llm.tables import WORD, held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,29 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document; in a tenth of them a tail is first made periodic, as the contract says."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, h = F.size("words").cast("long"), F.col("h")
+    start = F.floor(h / 10) % n
+    docs = docs.withColumn("h", chosen).withColumn("words", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), words))
+    docs = docs.withColumn("a", F.when(n > 0, start)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.floor(h / 10) % 8)))
+    looped = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.element_at("words", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int"))))
+    planted = docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(planted).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Builder] = {
     f.__name__: f
     for f in (
@@ -90,5 +113,6 @@ QUERIES: dict[str, Builder] = {
         op8_quality_rules,
         op9_best_fit_packing,
         op10_order_minhash,
+        op13_periodic_runs,
     )
 }
