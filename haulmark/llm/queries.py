@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import chat_format, language_id, line_dedup, metric_search, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, source_mixing, substring_dedup
+from haulmark.llm import chat_format, language_id, line_dedup, metric_search, near_dedup, packing, periodic_runs, prefix_trie, quality_classifier, quality_rules, source_mixing, substring_dedup
 from haulmark.llm.tables import WORD, held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,21 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, each beginning with up to three turns of its block's first one."""
+    own = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    convs = own.select("conv_id").distinct()
+    heads = own.where("conv_id % 20 = 0 AND place < 3").withColumnRenamed("conv_id", "donor")
+    given = convs.withColumn("donor", F.expr("conv_id - conv_id % 20")).join(heads, "donor").where(F.col("place") < taken)
+    # Own turns follow those that are given, whose places are below zero.
+    given = given.select("conv_id", (F.col("place") - 3).alias("place"), "role", "text")
+    nodes, ends = prefix_trie.prefix_trie(given.unionByName(own.where(F.col("place") >= taken)), convs)
+    return prefix_trie.with_ends(nodes, ends).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document; in a tenth of them a tail is first made periodic, as the contract says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -113,6 +128,7 @@ QUERIES: dict[str, Builder] = {
         op8_quality_rules,
         op9_best_fit_packing,
         op10_order_minhash,
+        op11_prefix_trie,
         op13_periodic_runs,
     )
 }

@@ -95,4 +95,38 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_LINE_DEDUP, "op2_chat_format": OP2_CHAT_FORMAT, "op3_metric_search": OP3_METRIC_SEARCH, "op7_source_mixing": OP7_SOURCE_MIXING}
+# CRC-32 of the decimal id, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda x: CAST(ascii(x) AS BIGINT))), lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+OP11_PREFIX_TRIE = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS donor, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+parts AS (
+  SELECT c.conv_id, 0 AS part, place, role, text FROM convs c JOIN own d ON d.conv_id = c.donor AND d.place <= h
+  UNION ALL SELECT o.conv_id, 1, place, role, text FROM own o JOIN convs c ON c.conv_id = o.conv_id WHERE place > h),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY part, place) FILTER (place IS NOT NULL), []) AS turns
+  FROM convs c LEFT JOIN parts p ON p.conv_id = c.conv_id GROUP BY c.conv_id),
+prefixes AS (
+  SELECT conv_id, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+  SELECT list_slice(turns, 1, depth) AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) = depth AS is_leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY list_slice(turns, 1, depth), depth),
+valued AS (
+  SELECT *, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(node[depth].text, '{_WORD}')) END AS saved FROM nodes),
+above AS (SELECT list_slice(node, 1, up) AS node, is_leaf, saved, depth - up AS down
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM valued)),
+summed AS (
+  SELECT node, sum(saved) AS saved_tokens, count(*) FILTER (is_leaf) AS n_leaves, count(*) FILTER (down = 1) AS n_children FROM above GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN summed s ON s.node = n.node LEFT JOIN nodes p ON n.depth > 0 AND p.node = list_slice(n.node, 1, n.depth - 1)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_LINE_DEDUP, "op2_chat_format": OP2_CHAT_FORMAT, "op3_metric_search": OP3_METRIC_SEARCH, "op7_source_mixing": OP7_SOURCE_MIXING, "op11_prefix_trie": OP11_PREFIX_TRIE}
