@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulmark.llm import chat_format, language_id, line_dedup, metric_search, near_dedup, packing, periodic_runs, prefix_trie, quality_classifier, quality_rules, source_mixing, substring_dedup
+from haulmark.llm import chat_format, language_id, line_dedup, metric_search, near_dedup, packing, periodic_runs, prefix_trie, quality_classifier, quality_rules, source_mixing, substring_dedup, suffix_dedup
 from haulmark.llm.tables import WORD, held_out, table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,20 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that no string of 200 bytes found elsewhere covers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    found = suffix_dedup.repeated_strings(docs).withColumn("n_removed", length)
+    return found.select(
+        "doc_id",
+        (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"),
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document; in a tenth of them a tail is first made periodic, as the contract says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,6 +143,7 @@ QUERIES: dict[str, Builder] = {
         op9_best_fit_packing,
         op10_order_minhash,
         op11_prefix_trie,
+        op12_suffix_dedup,
         op13_periodic_runs,
     )
 }
