@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys of the left side are returned."""
+    other = right.select(*[F.col(k).alias(f"_same_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows of every group.
 
@@ -34,7 +43,7 @@ def bucketed_rank(
         F.sum("_n").over(by_key).alias(total),
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
-    ranked = placed.withColumn("_local", local).join(offsets, [*keys, "_bucket"])
+    ranked = join_same(placed.withColumn("_local", local), offsets, [*keys, "_bucket"])
     return ranked.withColumn(rank, F.col("_before") + F.col("_local")).drop(
         "_bucket", "_local", "_before"
     )
@@ -45,10 +54,10 @@ def nearest_rank(
 ) -> DataFrame:
     """Exact element at position floor(n * fraction) of the sorted values of every group.
 
-    Works on counts per distinct value.  Counts per ``width`` wide band find the band that
+    Null values are left out; rows with a null group are a group.  Works on counts per distinct value.  Counts per ``width`` wide band find the band that
     holds the position, and only the values of that band are put in order.
     """
-    values = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    values = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
     values = values.withColumn("_band", F.floor(F.col(value) / F.lit(width)))
     bands = values.groupBy(*groups, "_band").agg(F.sum("_n").alias("_size"))
     by_group = Window.partitionBy(*groups)
@@ -63,7 +72,7 @@ def nearest_rank(
         (F.col("_before") < F.col("_position"))
         & (F.col("_position") <= F.col("_before") + F.col("_size"))
     )
-    inside = values.join(bands.drop("_size"), [*groups, "_band"])
+    inside = join_same(values, bands.drop("_size"), [*groups, "_band"])
     seen = F.sum("_n").over(Window.partitionBy(*groups).orderBy(value)) + F.col("_before")
     return (
         inside.withColumn("_seen", seen)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulmark.operators.underwriting import exact_mean
+from haulmark.sources.sizing import broadcast_if_small
+
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -108,11 +110,14 @@ def account_overview(loss_runs: DataFrame, drivers: DataFrame, insureds: DataFra
     return both.withColumn("n_drivers", F.coalesce("n_drivers", F.lit(0)))
 
 
-def compare_accounts(loss_runs: DataFrame, insureds: DataFrame, years: list[int]) -> DataFrame:
-    """Loss ratio per year side by side, one row per account."""
-    return ratio_by_period(loss_runs, insureds).groupBy("company_name").pivot("policy_year", years).agg(
-        F.max("loss_ratio")
+def compare_accounts(loss_runs: DataFrame, insureds: DataFrame) -> DataFrame:
+    """Loss ratio of every account and year, each next to the mean of all accounts in that year."""
+    rows = ratio_by_period(loss_runs, insureds).groupBy("company_name", "policy_year").agg(F.max("loss_ratio").alias("loss_ratio"))
+    year = rows.groupBy("policy_year").agg(
+        (F.sum(F.col("loss_ratio").cast("decimal(18,4)")).cast("double") / F.count("loss_ratio")).alias("year_ratio")
     )
+    # One row per year.
+    return rows.join(broadcast_if_small(year), "policy_year", "left")
 
 
 def claims_in_month(claims: DataFrame, as_of: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from haulmark import fixed_values as fv
 from haulmark.functions.ranking import bucketed_rank, top_n
 
-SUMMARY_MESSAGES = 1000
+PART_MESSAGES = 1000
 
 
 def history(messages: DataFrame, n: int = fv.HISTORY_MESSAGES, mode: str = "last") -> DataFrame:
@@ -45,12 +45,13 @@ def compact(
     threshold: int = fv.COMPACTION_THRESHOLD,
     preview: int = 100,
     bucket: str = "hour",
-    summary_messages: int = SUMMARY_MESSAGES,
+    part_messages: int = PART_MESSAGES,
 ) -> DataFrame:
     """Replace the oldest half of every long session by a summary message.
 
-    Ranks come from time buckets, so a session of any length is spread over tasks.  A half
-    of more than ``summary_messages`` messages gives several summary rows in order.
+    Ranks come from time buckets, so a session of any length is spread over tasks.  Lines are
+    joined in parts of ``part_messages`` first, and the parts in order into the one summary of
+    a session.  Messages without a time are the oldest; those without a session form one.
     """
     ranked = bucketed_rank(
         messages,
@@ -63,24 +64,26 @@ def compact(
     half = F.expr("_total div 2")
     old = (F.col("_total") >= threshold) & (F.col("_rank") <= half)
     kept = ranked.where(~old).select(*messages.columns)
-    line = F.concat(F.lit("["), "role", F.lit("] "), F.substring("content", 1, preview))
-    part = F.expr(f"(_rank - 1) div {summary_messages}")
+    shown = F.substring(F.coalesce("content", F.lit("")), 1, preview)
+    line = F.concat(F.lit("["), F.coalesce("role", F.lit("")), F.lit("] "), shown)
+    in_order = lambda number: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct(number, "_line"))), lambda m: m["_line"]), "; "
+    )
     parts = (
         ranked.where(old)
-        .groupBy("session_id", part.alias("_part"))
-        .agg(
-            F.array_sort(F.collect_list(F.struct("_rank", line.alias("line")))).alias("_lines"),
-            F.max("created_at").alias("created_at"),
-        )
+        .select("session_id", "_rank", "created_at", line.alias("_line"), F.expr(f"(_rank - 1) div {part_messages}").alias("_part"))
+        .groupBy("session_id", "_part")
+        .agg(in_order("_rank").alias("_line"), F.max("created_at").alias("created_at"))
     )
-    summary = parts.select(
-        "session_id",
-        F.lit("system").alias("role"),
-        F.concat(
-            F.lit("Earlier conversation summary: "),
-            F.array_join(F.transform("_lines", lambda m: m["line"]), "; "),
-        ).alias("content"),
-        F.lit("system").alias("user_id"),
-        "created_at",
+    summary = (
+        parts.groupBy("session_id")
+        .agg(in_order("_part").alias("_lines"), F.max("created_at").alias("created_at"))
+        .select(
+            "session_id",
+            F.lit("system").alias("role"),
+            F.concat(F.lit("Earlier conversation summary: "), "_lines").alias("content"),
+            F.lit("system").alias("user_id"),
+            "created_at",
+        )
     )
     return kept.unionByName(summary)

@@ -222,35 +222,7 @@ def short_verdict(assessment: Column) -> Column:
     )
 
 
-# ---- loss metrics ------------------------------------------------------------
-
-
-def loss_metrics(policies: DataFrame, claims: DataFrame, insureds: DataFrame) -> DataFrame:
-    """Loss ratio, frequency and severity per insured and policy year."""
-    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
-    earned = policies.groupBy("insured_id", "policy_year").agg(money("written_premium").alias("_earned"))
-    losses = claims.groupBy("insured_id", F.col("loss_year").alias("policy_year")).agg(
-        F.count(F.lit(1)).alias("_claims"), money("total_incurred").alias("_incurred")
-    )
-    units = insureds.select("insured_id", "fleet_size")
-    both = earned.join(losses, ["insured_id", "policy_year"], "left").join(units, "insured_id")
-    n = F.coalesce("_claims", F.lit(0))
-    incurred = F.coalesce(F.col("_incurred").cast("double"), F.lit(0.0))
-    premium = F.col("_earned").cast("double")
-    return both.select(
-        "insured_id",
-        "policy_year",
-        n.cast("bigint").alias("num_claims"),
-        incurred.alias("total_incurred"),
-        premium.alias("earned_premium"),
-        F.round(F.try_divide(incurred * 100, premium), 4).alias("loss_ratio"),
-        F.round(F.try_divide(n.cast("double"), F.col("fleet_size").cast("double")), 6).alias("frequency"),
-        F.coalesce(F.try_divide(incurred, n.cast("double")), F.lit(0.0)).alias("severity"),
-    )
-
-
-def combined_ratio(loss_ratio: Column, expense_ratio: Column) -> Column:
-    return loss_ratio + expense_ratio
+# ---- bands -------------------------------------------------------------------
 
 
 def band(value: Column, bounds: list[float], names: list[str], closed_right: bool = False) -> Column:

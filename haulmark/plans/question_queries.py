@@ -216,19 +216,16 @@ def overview(loss_runs, drivers, insureds):
     return qs.account_overview(loss_runs, drivers, insureds)
 
 
-_YEARS = [1996, 1997, 1998, 1999]
-
-
 @_ask(
     "q106_compare_accounts",
-    "SELECT i.company_name, "
-    + ", ".join(f'max(loss_ratio) FILTER (WHERE policy_year = {y}) AS "{y}"' for y in _YEARS)
-    + " FROM loss_runs l JOIN insureds i ON l.insured_id = i.insured_id GROUP BY i.company_name",
+    """SELECT company_name, policy_year, loss_ratio, CAST(sum(CAST(loss_ratio AS DECIMAL(18, 4))) OVER y AS DOUBLE) / count(loss_ratio) OVER y AS year_ratio
+       FROM (SELECT i.company_name, policy_year, max(loss_ratio) AS loss_ratio FROM loss_runs l JOIN insureds i ON l.insured_id = i.insured_id GROUP BY ALL)
+       WINDOW y AS (PARTITION BY policy_year)""",
     "loss_runs",
     "insureds",
 )
 def compare(loss_runs, insureds):
-    return qs.compare_accounts(loss_runs, insureds, _YEARS)
+    return qs.compare_accounts(loss_runs, insureds)
 
 
 @_ask(

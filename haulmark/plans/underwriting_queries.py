@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
-from haulmark.operators import accounts, questions as qs
+from haulmark.operators import accounts, experience, questions as qs
 from haulmark.operators import underwriting as uw
 from haulmark.plans import check_sql as cs
 from haulmark.plans.models import table, with_models
@@ -215,16 +215,81 @@ def u07(spark, sf):
 # ---- loss metrics ------------------------------------------------------------
 
 
+# Premium by calendar year, claims by loss date: written from the definitions of the ratios.
+_EXPERIENCE = {
+    "earned_days": """
+        SELECT insured_id, y AS year, written_premium, date_diff('day', effective_date, expiration_date) AS term_days,
+               date_diff('day', greatest(effective_date, make_date(y, 1, 1)), least(expiration_date, make_date(y + 1, 1, 1))) AS year_days
+        FROM policies, range(1980, 2030) AS years(y)
+        WHERE y BETWEEN year(effective_date) AND year(expiration_date - INTERVAL 1 DAY)""",
+    "earned_years": """
+        SELECT insured_id, year, sum(CAST(written_premium * (CAST(year_days AS DOUBLE) / term_days) AS DECIMAL(24, 6))) AS earned FROM earned_days GROUP BY ALL""",
+    "loss_years": """
+        SELECT insured_id, year(loss_date) AS year, count(*) AS n, CAST(sum(CAST(total_incurred AS DECIMAL(18, 2))) AS DOUBLE) AS incurred FROM claims GROUP BY ALL""",
+    "metrics": """
+        SELECT coalesce(e.insured_id, l.insured_id) AS insured_id, coalesce(e.year, l.year) AS year, coalesce(n, 0) AS num_claims,
+               coalesce(incurred, 0) AS total_incurred, CAST(earned AS DOUBLE) AS earned_premium
+        FROM earned_years e FULL OUTER JOIN loss_years l ON e.insured_id IS NOT DISTINCT FROM l.insured_id AND e.year = l.year""",
+}
+
+
 @query(
     "u08_loss_metrics",
     _sql(
-        """SELECT r.insured_id, r.policy_year, r.num_claims, r.total_incurred, r.earned_premium, r.loss_ratio,
-                  r.frequency, CASE WHEN r.num_claims = 0 THEN 0 ELSE r.total_incurred / r.num_claims END AS severity FROM loss_runs r""",
-        "loss_runs",
+        """SELECT m.*, round(total_incurred * 100 / nullif(earned_premium, 0), 4) AS loss_ratio, round(CAST(num_claims AS DOUBLE) / fleet_size, 6) AS frequency,
+                  CASE WHEN num_claims = 0 THEN 0 ELSE total_incurred / num_claims END AS severity
+           FROM metrics m LEFT JOIN insureds i ON i.insured_id = m.insured_id""",
+        "policies",
+        "claims",
+        "insureds",
+        **_EXPERIENCE,
     ),
 )
 def u08(spark, sf):
-    return uw.loss_metrics(table(spark, sf, "policies"), table(spark, sf, "claims"), table(spark, sf, "insureds"))
+    return experience.loss_metrics(table(spark, sf, "policies"), table(spark, sf, "claims"), table(spark, sf, "insureds"))
+
+
+_EXPENSE_RATIO = 30.0
+
+
+@query(
+    "u08_year_results",
+    _sql(
+        f"""SELECT year, CAST(sum(num_claims) AS BIGINT) AS num_claims, CAST(sum(CAST(total_incurred AS DECIMAL(18, 2))) AS DOUBLE) AS total_incurred,
+                   CAST(sum(CAST(earned_premium AS DECIMAL(24, 6))) AS DOUBLE) AS earned_premium,
+                   round(CAST(sum(CAST(total_incurred AS DECIMAL(18, 2))) AS DOUBLE) * 100 / CAST(sum(CAST(earned_premium AS DECIMAL(24, 6))) AS DOUBLE), 4) AS loss_ratio,
+                   round(CAST(sum(CAST(total_incurred AS DECIMAL(18, 2))) AS DOUBLE) * 100 / CAST(sum(CAST(earned_premium AS DECIMAL(24, 6))) AS DOUBLE) + {_EXPENSE_RATIO}, 4) AS combined_ratio
+            FROM metrics GROUP BY year""",
+        "policies",
+        "claims",
+        **_EXPERIENCE,
+    ),
+)
+def u08_years(spark, sf):
+    metrics = experience.loss_metrics(table(spark, sf, "policies"), table(spark, sf, "claims"), table(spark, sf, "insureds"))
+    return experience.year_results(metrics, _EXPENSE_RATIO)
+
+
+@query(
+    "u08_term_losses",
+    _sql(
+        """SELECT p.policy_id, coalesce(p.insured_id, l.insured_id) AS insured_id, coalesce(n, 0) AS num_claims, coalesce(incurred, 0) AS total_incurred,
+                  CAST(CAST(written_premium AS DECIMAL(18, 2)) AS DOUBLE) AS written_premium,
+                  round(coalesce(incurred, 0) * 100 / nullif(CAST(CAST(written_premium AS DECIMAL(18, 2)) AS DOUBLE), 0), 4) AS loss_ratio
+           FROM policies p FULL OUTER JOIN (
+             SELECT term, CASE WHEN term IS NULL THEN insured_id END AS insured_id, count(*) AS n, CAST(sum(CAST(total_incurred AS DECIMAL(18, 2))) AS DOUBLE) AS incurred
+             FROM in_force GROUP BY ALL) l ON l.term = p.policy_id""",
+        "policies",
+        "claims",
+        in_force="""
+            SELECT c.claim_id, c.insured_id, c.total_incurred, p.policy_id AS term
+            FROM claims c LEFT JOIN policies p ON (p.policy_id = c.policy_id OR p.insured_id = c.insured_id)
+              AND c.loss_date >= p.effective_date AND c.loss_date < p.expiration_date
+            QUALIFY row_number() OVER (PARTITION BY c.claim_id ORDER BY p.policy_id = c.policy_id DESC NULLS LAST, p.effective_date DESC, p.policy_id DESC) = 1""",
+    ),
+)
+def u08_terms(spark, sf):
+    return experience.term_losses(table(spark, sf, "claims"), table(spark, sf, "policies"))
 
 
 @query(
@@ -393,6 +458,15 @@ def u14(spark, sf):
     return accounts.similar_accounts(*_cohorts(spark, sf))
 
 
+_CLOSE = {**_COHORTS, "comparable": _COHORTS["comparable"].replace("similarity >= 0.6", f"similarity >= {fv.SIMILARITY_THRESHOLD}")}
+
+
+@query("u14_close_accounts", _sql("SELECT * FROM similar_rows", *_BOOK, **_CLOSE))
+def u14_close(spark, sf):
+    cohorts = materialize(accounts.historical_cohorts(*[table(spark, sf, t) for t in _BOOK]), "cohorts")
+    return accounts.similar_accounts(cohorts, accounts.profile_pairs(cohorts))
+
+
 @query(
     "u15_cohort_statistics",
     _sql(

@@ -29,21 +29,36 @@ def talk(spark, sizes):
 
 
 def test_compaction_of_short_and_hot_sessions(spark):
-    out = sessions.compact(talk(spark, {"a": 19, "b": 20, "hot": 401}), summary_messages=50).collect()
+    out = sessions.compact(talk(spark, {"a": 19, "b": 20, "hot": 401}), part_messages=50).collect()
     by = lambda s, role=None: [r for r in out if r.session_id == s and (role is None or r.role == role)]
     assert len(by("a")) == 19
     assert len(by("b")) == 11 and len(by("b", "system")) == 1
     text = by("b", "system")[0].content
     assert text.startswith("Earlier conversation summary: [user] b-00000 ") and text.count("; ") == 9
     assert by("b", "system")[0].user_id == "system"
-    # 200 of 401 are summarised, 50 to a row, and nothing is lost.
-    assert len(by("hot")) == 201 + 4
-    parts = sorted(by("hot", "system"), key=lambda r: r.created_at)
-    lines = [l for p in parts for l in p.content.removeprefix("Earlier conversation summary: ").split("; ")]
+    # 200 of 401 are summarised in parts of 50, which end up in one summary in order.
+    assert len(by("hot")) == 201 + 1
+    lines = by("hot", "system")[0].content.removeprefix("Earlier conversation summary: ").split("; ")
     assert [l.split("] ")[1][:9] for l in lines] == [f"hot-{i:05d}" for i in range(200)]
     assert all(len(l.split("] ")[1]) == 100 for l in lines)
 
 
+def test_compaction_keeps_messages_without_time_or_session(spark):
+    rows = talk(spark, {"a": 5000, "b": 3}).collect()
+    rows += [("b", "user", "no time", "u", None), (None, "user", "no session", "u", rows[0].created_at), (None, None, None, None, None)]
+    out = sessions.compact(spark.createDataFrame(rows, MESSAGE), threshold=20).collect()
+    assert sum(r.session_id == "a" and r.role == "system" for r in out) == 1
+    assert len(out) == 2500 + 1 + 4 + 2
+    assert {r.content for r in out if r.session_id is None} == {"no session", None}
+
+
+def test_ranks_of_null_groups(spark):
+    df = spark.createDataFrame([(None, None), (None, 3.0), ("g", 1.0), (None, 5.0)], "g string, v double")
+    got = bucketed_rank(df, ["g"], F.floor(F.col("v")), [F.asc("v")], "r", "n").collect()
+    assert sorted((r.g or "", r.v or 0.0, r.r, r.n) for r in got) == [("", 0.0, 1, 3), ("", 3.0, 2, 3), ("", 5.0, 3, 3), ("g", 1.0, 1, 1)]
+    assert {r.g: r.p for r in nearest_rank(df, ["g"], "v", 0.5, "p").collect()} == {None: 5.0, "g": 1.0}
+
+
 def test_history_modes(spark):
     df = talk(spark, {"a": 15, "b": 3})
     last = sessions.history(df, 10).where("session_id = 'a'").orderBy("position").collect()
