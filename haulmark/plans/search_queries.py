@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
 from haulmark.functions import text as tx
-from haulmark.operators import access, search, vectors
+from haulmark.operators import access, chunking, postings, search, tables, vectors
 from haulmark.plans import check_sql as cs
 from haulmark.plans.document_queries import chunks
 from haulmark.plans.models import table, with_models
@@ -25,23 +25,14 @@ def _max_hits(spark, sf, n=N):
     return table(spark, sf, "questions").count() * n
 
 
-def _buckets(spark):
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _stored_index(corpus, key, text, *carry):
-    buckets = _buckets(corpus.sparkSession)
-    return search.store_index(search.build_index(corpus, key, text, *carry, buckets=buckets), key, buckets)
-
-
 def _child_hits(spark, sf, n=N, by_role=False, stored=None):
     source = chunks(spark, sf) if stored is None else stored
     corpus = source.where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category")
-    index = _stored_index(corpus, "chunk_id", "chunk_text", *(["category"] if by_role else []))
+    index = postings.build(corpus, category="category" if by_role else None)
     asked = table(spark, sf, "questions")
     if by_role:
         asked = access.with_allowed(asked, access.role_policy(spark))
-    return search.bm25_search(index, asked, n, category="category" if by_role else None)
+    return postings.search(index, asked, n, allowed="allowed" if by_role else None)
 
 
 _CHILD_RANK = {**cs.CHUNKS, **cs.ROLE_POLICY, **cs.bm25("child_corpus", "questions", N)}
@@ -69,6 +60,47 @@ def r01(spark, sf):
     )
 
 
+def _old_and_new_chunks(spark, sf):
+    """Chunks before and after a change of documents: some new, some changed, some deleted."""
+    docs = table(spark, sf, "parsed_documents").select("doc_id", "category", "source_path", "parsed_text")
+    number = F.col("doc_id").cast("long") % 10
+    before = docs.where(number != 0).withColumn("parsed_text", F.when(number == 7, F.concat("parsed_text", F.lit(" was another"))).otherwise(F.col("parsed_text")))
+    gone = docs.where(number == 3).withColumn("doc_id", F.concat(F.lit("old-"), "doc_id"))
+    child = lambda df: chunking.chunk_documents(df).where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category")
+    return materialize(child(before.unionByName(gone)), "chunks"), materialize(child(docs), "chunks")
+
+
+def _refreshed(spark, sf):
+    old, new = _old_and_new_chunks(spark, sf)
+    index = postings.build(old, category="category")
+    changes = materialize(tables.snapshot_changes(old, new, "chunk_id"), "changes")
+    removed = old.join(changes.where("change <> 'insert'"), "chunk_id", "left_semi")
+    added = new.join(changes.where("change <> 'delete'"), "chunk_id", "left_semi")
+    return postings.refresh(index, removed, added, category="category")
+
+
+@query(
+    "r01_refreshed_index",
+    with_models(
+        """SELECT term, count(*) AS df, count(*) AS n_chunks, CAST(sum(tf) AS BIGINT) AS n_uses, (SELECT count(*) FROM child_corpus) AS index_chunks
+           FROM (SELECT ckey, term, count(*) AS tf FROM (SELECT ckey, unnest(regexp_extract_all(lower(body), '[\\p{L}\\p{N}_-]+')) AS term FROM child_corpus) GROUP BY ckey, term)
+           GROUP BY term""",
+        "parsed_documents",
+        extra=cs.CHUNKS,
+    ),
+)
+def r01_refreshed(spark, sf):
+    index = _refreshed(spark, sf)
+    used = postings.live_postings(index).groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("tf").alias("n_uses"))
+    return postings.frequencies(index).join(used, "term", "full_outer").withColumn("index_chunks", F.lit(postings.sizes(index)[0]))
+
+
+@query("r02_refreshed_search", _sql("SELECT query_id, ckey AS chunk_id, score, rank FROM ranked", _ROLE_RANK))
+def r02_refreshed(spark, sf):
+    asked = access.with_allowed(table(spark, sf, "questions"), access.role_policy(spark))
+    return postings.search(_refreshed(spark, sf), asked, N, allowed="allowed")
+
+
 @query("r02_bm25_topk", _sql("SELECT query_id, ckey AS chunk_id, score, rank FROM ranked", _CHILD_RANK))
 def r02(spark, sf):
     return _child_hits(spark, sf)
@@ -120,10 +152,8 @@ _HYBRID = {
 
 
 def _document_hits(spark, sf, n=N, asked=None):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    index = _stored_index(docs, "doc_id", "text")
-    asked = asked if asked is not None else table(spark, sf, "questions")
-    return search.bm25_search(index, asked, n, key="doc_id")
+    index = postings.build(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return postings.search(index, asked if asked is not None else table(spark, sf, "questions"), n)
 
 
 def _fused(spark, sf, asked=None):
