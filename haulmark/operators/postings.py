@@ -37,10 +37,21 @@ class Postings:
     spark: SparkSession
     path: str
     key: str
+    key_type: str
     parts: int
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table of the index; the types of folder names are not left to inference."""
+        key = f"`{self.key}` {self.key_type}"
+        columns = {
+            "postings": f"term string, {key}, tf long, n_terms int, segment long, category string, part int",
+            "terms": "term string, df long, segment long, part int",
+            "gone": f"{key}, segment long",
+            "segments": "segment long, n_chunks long, n_terms long",
+        }
+        df = self.spark.read.schema(columns[name]).parquet(f"{self.path}/{name}")
+        # An empty folder name comes back as null.
+        return df.withColumn("category", F.coalesce("category", F.lit(""))) if name == "postings" else df
 
     def segments(self) -> list[int]:
         """Numbers of the finished segments; one a refresh, so a short list."""
@@ -95,7 +106,7 @@ def build(
 ) -> Postings:
     """Index of all chunks, written to the shared folder."""
     spark = chunks.sparkSession
-    index = Postings(spark, fresh_path(spark, name), key, parts)
+    index = Postings(spark, fresh_path(spark, name), key, dict(chunks.dtypes)[key], parts)
     words = _words(chunks, key, text, category)
     # Nothing is deleted yet; the empty table gives the folder its columns.
     _append(words.select(key, F.lit(0).cast("long").alias("segment")).limit(0), f"{index.path}/gone")
@@ -141,7 +152,7 @@ def sizes(index: Postings) -> tuple[int, int]:
 
 def compacted(index: Postings, name: str = "postings") -> Postings:
     """A new index of one segment with the live rows of ``index``."""
-    new = Postings(index.spark, fresh_path(index.spark, name), index.key, index.parts)
+    new = Postings(index.spark, fresh_path(index.spark, name), index.key, index.key_type, index.parts)
     zero = F.lit(0).cast("long")
     rows = live_postings(index).withColumn("segment", zero).hint("rebalance", "category", "part")
     _append(rows.sortWithinPartitions("category", "part", "term"), f"{new.path}/postings", "category", "part")

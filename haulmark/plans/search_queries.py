@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
 from haulmark.functions import text as tx
-from haulmark.operators import access, chunking, postings, search, tables, vectors
+from haulmark.operators import access, chunking, postings, retrieval, search, tables, vector_index, vectors
 from haulmark.plans import check_sql as cs
 from haulmark.plans.document_queries import chunks
 from haulmark.plans.models import table, with_models
@@ -129,8 +129,11 @@ def _query_vectors(spark, sf):
     return items.join(vecs, "query_id")
 
 
-def _vector_hits(spark, sf, n=N):
-    return vectors.cosine_top_n(_query_vectors(spark, sf), table(spark, sf, "embeddings"), n)
+def _vector_hits(spark, sf, n=N, asked=None):
+    wanted = _query_vectors(spark, sf)
+    if asked is not None:
+        wanted = wanted.join(asked.select("query_id"), "query_id", "left_semi")
+    return vectors.cosine_top_n(wanted, table(spark, sf, "embeddings"), n)
 
 
 @query("r03_vector_topk", with_models("SELECT query_id, vec_id, score, rank FROM vranked", extra=_VECTORS))
@@ -138,6 +141,26 @@ def r03(spark, sf):
     return _vector_hits(spark, sf)
 
 
+@query("r03_vector_index", with_models("SELECT query_id, vec_id, score, rank FROM vranked", extra=_VECTORS))
+def r03_index(spark, sf):
+    # As many probes as cells give the exact result.
+    index = vector_index.build(table(spark, sf, "embeddings"))
+    return vector_index.search(index, _query_vectors(spark, sf), N, probes=index.cells)
+
+
+_RECALL = 0.9
+
+
+@query(
+    "r03_index_recall",
+    with_models("SELECT count(*) AS n_queries, TRUE AS enough FROM (SELECT DISTINCT query_id FROM vranked)", extra=_VECTORS),
+)
+def r03_recall(spark, sf):
+    index = vector_index.build(table(spark, sf, "embeddings"))
+    shares = vector_index.recall(vector_index.search(index, _query_vectors(spark, sf), N), _vector_hits(spark, sf), "vec_id")
+    return shares.agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("recall") >= _RECALL).alias("enough"))
+
+
 _DOC_RANK = {
     "doc_corpus": "SELECT doc_id AS ckey, text AS body, source AS category FROM documents",
     **cs.bm25("doc_corpus", "questions", N, "dranked"),
@@ -182,11 +205,9 @@ def r06(spark, sf):
     # Questions for the structured path are dropped before anything is scored.
     searched = routed.where("intent <> 'sql'")
     words = _document_hits(spark, sf, asked=searched)
-    near = _vector_hits(spark, sf).withColumnRenamed("vec_id", "doc_id")
     hybrid = intents.where("intent = 'hybrid'")
-    fused = search.fuse(
-        [words.join(hybrid, "query_id", "left_semi"), near.join(hybrid, "query_id", "left_semi")], "doc_id"
-    )
+    near = _vector_hits(spark, sf, asked=hybrid).withColumnRenamed("vec_id", "doc_id")
+    fused = search.fuse([words.join(hybrid, "query_id", "left_semi"), near], "doc_id")
     keyword = words.join(intents.where("intent = 'keyword'"), "query_id", "left_semi")
     found = fused.select("query_id", "doc_id", "rank").unionByName(keyword.select("query_id", "doc_id", "rank"))
     return found.join(intents, "query_id")
@@ -228,6 +249,70 @@ def r08(spark, sf):
     return search.context_text(search.with_details(chosen, stored, _max_hits(spark, sf)))
 
 
+# ---- one flow: role, route, search by words and vectors, context ----------------
+# A chunk has the vector with the id of its document; chunks of a document share it.
+
+_FLOW = {
+    **_ROLE_RANK,
+    "qv": _VECTORS["qv"],
+    "sees": """SELECT q.query_id, q.question, c.category FROM questions q JOIN (SELECT DISTINCT category FROM chunks) c
+        ON EXISTS (SELECT 1 FROM role_policy p WHERE p.role = q.role AND p.category IN ('all', c.category))""",
+    "nscore": """SELECT q.query_id, c.chunk_id AS ckey, round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 4) AS score
+        FROM qv q JOIN sees s ON s.query_id = q.query_id JOIN chunks c ON c.category = s.category AND c.chunk_type = 'child'
+        JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = c.doc_id""",
+    "nranked": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ckey) AS rank FROM nscore) WHERE rank <= {N}""",
+    "routes": f"SELECT query_id, {cs.intent('question')} AS intent FROM questions",
+    "nvotes": """SELECT v.query_id, ckey, round(sum(1.0e0 / (60 + rank)), 6) AS score FROM (SELECT query_id, ckey, rank FROM ranked UNION ALL SELECT query_id, ckey, rank FROM nranked) v
+        JOIN routes r ON r.query_id = v.query_id AND r.intent = 'hybrid' GROUP BY v.query_id, ckey""",
+    "flow": f"""
+        SELECT query_id, 'hybrid' AS intent, ckey, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ckey) AS rank FROM nvotes) WHERE rank <= {N}
+        UNION ALL SELECT k.query_id, 'keyword', ckey, score, rank FROM ranked k JOIN routes r ON r.query_id = k.query_id AND r.intent = 'keyword'""",
+}
+
+
+def _flow(spark, sf, stored):
+    child = stored.where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category", "doc_id")
+    words = postings.build(child, category="category")
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
+    near = vector_index.build(child.join(vecs, "doc_id"), "chunk_id", category="category")
+    asked = retrieval.routed(table(spark, sf, "questions"), access.role_policy(spark))
+    return retrieval.retrieve(asked, words, near, _query_vectors(spark, sf), N, probes=near.cells)
+
+
+@query("r05_retrieval_flow", _sql("SELECT query_id, intent, ckey AS chunk_id, score, rank FROM flow", _FLOW))
+def r05_flow(spark, sf):
+    return _flow(spark, sf, _stored_chunks(spark, sf))
+
+
+@query(
+    "r05_role_vectors",
+    _sql("SELECT query_id, ckey AS chunk_id, score, rank FROM nranked", _FLOW),
+)
+def r05_vectors(spark, sf):
+    child = _stored_chunks(spark, sf).where("chunk_type = 'child'").select("chunk_id", "category", "doc_id")
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
+    index = vector_index.build(child.join(vecs, "doc_id"), "chunk_id", category="category")
+    asked = access.with_allowed(table(spark, sf, "questions"), access.role_policy(spark)).select("query_id", "allowed")
+    return vector_index.search(index, asked.join(_query_vectors(spark, sf), "query_id"), N, allowed="allowed", probes=index.cells)
+
+
+@query(
+    "r08_flow_context",
+    _sql(
+        f"""SELECT query_id, concat('## Retrieved Context', chr(10), chr(10), chr(10), string_agg(concat('### Source ', source_no, ': ',
+                  string_split(source_path, '/')[-1], ' (', category, ')', chr(10), chunk_text), chr(10) || chr(10) ORDER BY source_no)) AS context
+           FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS source_no
+                 FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM flow)
+                 WHERE CASE WHEN best >= {fv.SIMILARITY_THRESHOLD} THEN score >= {fv.SIMILARITY_THRESHOLD} ELSE rank <= 3 END) s
+           JOIN chunks c ON c.chunk_id = s.ckey WHERE source_no <= 6 GROUP BY query_id""",
+        _FLOW,
+    ),
+)
+def r08_flow(spark, sf):
+    stored = _stored_chunks(spark, sf)
+    return retrieval.context(_flow(spark, sf, stored), stored, max_hits=_max_hits(spark, sf))
+
+
 @query(
     "r09_parent_expansion",
     _sql(
