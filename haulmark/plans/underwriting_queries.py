@@ -447,15 +447,48 @@ _COHORTS = {
 _BOOK = ("insureds", "loss_runs", "policies")
 
 
+# A submission takes state, sector and years from its insured and everything else from itself.
+_FOR_SUBMISSIONS = {
+    "probes": """
+        SELECT s.submission_id, s.insured_id AS own_id, i.state_domicile, i.naics_sector, s.fleet_size, s.primary_commodity,
+               CASE WHEN s.fleet_size <= 10 THEN 1 WHEN s.fleet_size <= 25 THEN 2 WHEN s.fleet_size <= 50 THEN 3 WHEN s.fleet_size <= 100 THEN 4 ELSE 5 END AS fband,
+               CASE WHEN years_in_business < 2 THEN '<2' WHEN years_in_business < 5 THEN '2-5' WHEN years_in_business < 10 THEN '5-10' ELSE '10+' END AS years_band,
+               CASE WHEN ratio < 50 THEN '<50%' WHEN ratio < 75 THEN '50-75%' WHEN ratio < 100 THEN '75-100%' WHEN ratio >= 100 THEN '>100%' END AS ratio_band
+        FROM (SELECT *, CASE WHEN loss_ratio_3yr > 1 THEN loss_ratio_3yr / 100 ELSE loss_ratio_3yr END * 100 AS ratio FROM submissions) s JOIN insureds i ON i.insured_id = s.insured_id""",
+    **_COHORTS,
+    "comparable": f"""SELECT * FROM (SELECT a.submission_id AS insured_id, b.insured_id AS similar_id, b.fleet_size AS similar_fleet, b.loss_ratio AS similar_ratio, b.premium AS similar_premium, b.non_renewed AS similar_non_renewed,
+               round((5 + CASE WHEN a.fband = b.fband THEN 3 ELSE 0 END + CASE WHEN a.primary_commodity = b.primary_commodity THEN 2 ELSE 0 END
+                 + CASE WHEN a.years_band = b.years_band THEN 1 ELSE 0 END + CASE WHEN a.ratio_band = b.ratio_band THEN 3 ELSE 0 END) / 14.0e0, 4) AS similarity
+        FROM probes a JOIN cohorts b ON a.state_domicile = b.state_domicile AND a.naics_sector = b.naics_sector AND a.own_id <> b.insured_id
+          AND b.fleet_size * 100 BETWEEN a.fleet_size * 70 AND a.fleet_size * 130) WHERE similarity >= {fv.SIMILARITY_THRESHOLD}""",
+}
+_STATISTICS = """SELECT insured_id{0}, count(*) AS n_accounts, CAST(sum(CAST(similar_ratio AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS avg_ratio,
+                  round(count(*) FILTER (WHERE similar_ratio > 80 AND similar_non_renewed) * 100.0 / NULLIF(count(*) FILTER (WHERE similar_ratio > 80), 0), 4) AS non_renewal_pct
+           FROM comparable GROUP BY insured_id"""
+_BAND = """SELECT insured_id{0}, count(*) AS n_comparables, round(quantile_cont(similar_premium, 0.25), 4) AS low_premium, round(quantile_cont(similar_premium, 0.5), 4) AS median_premium,
+                  round(quantile_cont(similar_premium, 0.75), 4) AS high_premium, round(avg(similarity) * least(count(*) / 10.0e0, 1), 4) AS confidence,
+                  string_agg(concat(similar_id, ': ', similar_fleet, ' u., $', CAST(round(similar_premium, 0) AS BIGINT), ', ', CAST(round(similar_ratio, 0) AS BIGINT), '% LR, ',
+                             CASE WHEN similar_non_renewed THEN 'Non-renewed' ELSE 'Renewed' END), '|' ORDER BY rank) AS evidence
+           FROM similar_rows GROUP BY insured_id HAVING round(avg(similarity) * least(count(*) / 10.0e0, 1), 4) >= 0.6"""
+
+
 def _cohorts(spark, sf):
     # The cohort table is a snapshot that is refreshed now and then, not a live view.
-    cohorts = materialize(accounts.historical_cohorts(*[table(spark, sf, t) for t in _BOOK]), "cohorts")
-    return cohorts, accounts.profile_pairs(cohorts, threshold=0.6)
+    return materialize(accounts.historical_cohorts(*[table(spark, sf, t) for t in _BOOK]), "cohorts")
+
+
+def _similar(spark, sf, threshold=fv.SIMILARITY_THRESHOLD):
+    cohorts = _cohorts(spark, sf)
+    return accounts.similar(accounts.account_probes(cohorts), cohorts, threshold=threshold).withColumnRenamed("probe_id", "insured_id")
+
+
+def _submission_probes(spark, sf):
+    return accounts.submission_probes(table(spark, sf, "submissions"), table(spark, sf, "insureds"))
 
 
 @query("u14_similar_accounts", _sql("SELECT * FROM similar_rows", *_BOOK, **_COHORTS))
 def u14(spark, sf):
-    return accounts.similar_accounts(*_cohorts(spark, sf))
+    return _similar(spark, sf, 0.6)
 
 
 _CLOSE = {**_COHORTS, "comparable": _COHORTS["comparable"].replace("similarity >= 0.6", f"similarity >= {fv.SIMILARITY_THRESHOLD}")}
@@ -463,37 +496,38 @@ _CLOSE = {**_COHORTS, "comparable": _COHORTS["comparable"].replace("similarity >
 
 @query("u14_close_accounts", _sql("SELECT * FROM similar_rows", *_BOOK, **_CLOSE))
 def u14_close(spark, sf):
-    cohorts = materialize(accounts.historical_cohorts(*[table(spark, sf, t) for t in _BOOK]), "cohorts")
-    return accounts.similar_accounts(cohorts, accounts.profile_pairs(cohorts))
+    return _similar(spark, sf)
 
 
 @query(
-    "u15_cohort_statistics",
-    _sql(
-        """SELECT insured_id, count(*) AS n_accounts, CAST(sum(CAST(similar_ratio AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS avg_ratio,
-                  round(count(*) FILTER (WHERE similar_ratio > 80 AND similar_non_renewed) * 100.0 / NULLIF(count(*) FILTER (WHERE similar_ratio > 80), 0), 4) AS non_renewal_pct
-           FROM comparable GROUP BY insured_id""",
-        *_BOOK,
-        **_COHORTS,
-    ),
+    "u14_similar_for_submissions",
+    _sql("SELECT * RENAME (insured_id AS submission_id) FROM similar_rows", *_BOOK, "submissions", **_FOR_SUBMISSIONS),
 )
+def u14_submissions(spark, sf):
+    return accounts.similar(_submission_probes(spark, sf), _cohorts(spark, sf)).withColumnRenamed("probe_id", "submission_id")
+
+
+@query("u15_cohort_statistics", _sql(_STATISTICS.format(""), *_BOOK, **_COHORTS))
 def u15(spark, sf):
-    return accounts.cohort_statistics(*_cohorts(spark, sf))
+    cohorts = _cohorts(spark, sf)
+    return accounts.cohort_statistics(accounts.account_probes(cohorts), cohorts, 0.6).withColumnRenamed("probe_id", "insured_id")
 
 
-@query(
-    "u16_pricing_band",
-    _sql(
-        """SELECT insured_id, count(*) AS n_comparables, round(quantile_cont(similar_premium, 0.25), 4) AS low_premium, round(quantile_cont(similar_premium, 0.5), 4) AS median_premium,
-                  round(quantile_cont(similar_premium, 0.75), 4) AS high_premium, round(avg(similarity) * least(count(*) / 10.0e0, 1), 4) AS confidence,
-                  string_agg(similar_id, '|' ORDER BY rank) AS evidence
-           FROM similar_rows GROUP BY insured_id HAVING round(avg(similarity) * least(count(*) / 10.0e0, 1), 4) >= 0.6""",
-        *_BOOK,
-        **_COHORTS,
-    ),
-)
+@query("u15_submission_statistics", _sql(_STATISTICS.format(" AS submission_id"), *_BOOK, "submissions", **_FOR_SUBMISSIONS))
+def u15_submissions(spark, sf):
+    return accounts.cohort_statistics(_submission_probes(spark, sf), _cohorts(spark, sf)).withColumnRenamed("probe_id", "submission_id")
+
+
+@query("u16_pricing_band", _sql(_BAND.format(""), *_BOOK, **_COHORTS))
 def u16(spark, sf):
-    return accounts.pricing_band(accounts.similar_accounts(*_cohorts(spark, sf)))
+    found = _similar(spark, sf, 0.6).withColumnRenamed("insured_id", "probe_id")
+    return accounts.pricing_band(found).withColumnRenamed("probe_id", "insured_id")
+
+
+@query("u16_submission_band", _sql(_BAND.format(" AS submission_id"), *_BOOK, "submissions", **_FOR_SUBMISSIONS))
+def u16_submissions(spark, sf):
+    found = accounts.similar(_submission_probes(spark, sf), _cohorts(spark, sf))
+    return accounts.pricing_band(found).withColumnRenamed("probe_id", "submission_id")
 
 
 _TERRITORY = [("NATION_1", 1.25), ("NATION_2", 1.1), ("NATION_7", 0.9)]

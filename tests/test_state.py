@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulmark.functions.ranking import bucketed_rank, nearest_rank, top_n
-from haulmark.operators import accounts, feedback, search, sessions, tables, vectors
+from haulmark.operators import feedback, search, sessions, tables, vectors
 from haulmark.sources import files
 from haulmark.sources.sizing import fresh_path, shared_folder, within
 from haulmark.streaming import intake
@@ -209,35 +209,6 @@ def test_vector_search_with_copies_and_zero_vectors(spark, block):
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
 
 
-def test_similar_accounts_with_a_hot_profile(spark):
-    rnd = random.Random(8)
-    data = []
-    for i in range(150):
-        hot = i % 3 == 0
-        data.append((f"A{i:03d}", "S1", "T1", 20 if hot else rnd.randint(1, 60), "C1" if hot else rnd.choice(["C1", "C2"]), "2-5",
-                     "<50%", float(i), 100.0 + i, i % 4 == 0))
-    schema = "insured_id string, state_domicile string, naics_sector string, fleet_size int, primary_commodity string, years_band string, ratio_band string, loss_ratio double, premium double, non_renewed boolean"
-    cohorts = spark.createDataFrame(data, schema)
-    pairs = accounts.profile_pairs(cohorts)
-    band = lambda f: sum(f > b for b in (10, 25, 50, 100))
-
-    def score(a, b):
-        return round((9 + 3 * (band(a[3]) == band(b[3])) + 2 * (a[4] == b[4])) / 14, 4)
-
-    got = accounts.similar_accounts(cohorts, pairs).collect()
-    stats = {r.insured_id: r for r in accounts.cohort_statistics(cohorts, pairs).collect()}
-    for a in data:
-        near = [b for b in data if b[0] != a[0] and a[3] * 70 <= b[3] * 100 <= a[3] * 130 and score(a, b) >= 0.75]
-        want = sorted(near, key=lambda b: (-score(a, b), b[0]))[:10]
-        mine = sorted((r for r in got if r.insured_id == a[0]), key=lambda r: r.rank)
-        assert [r.similar_id for r in mine] == [b[0] for b in want]
-        if near:
-            assert stats[a[0]].n_accounts == len(near)
-            assert stats[a[0]].avg_ratio == pytest.approx(sum(b[7] for b in near) / len(near))
-        else:
-            assert a[0] not in stats
-
-
 # ---- files and streams --------------------------------------------------------
 
 
