@@ -157,31 +157,41 @@ def _reach(text: bytes, at: int) -> tuple[int, int]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """gram, context digest (k1, k2) and place (t1, t2, at) of every anchor whose gram is repeated."""
+    """gram, context digest (k1, k2) and place (t1, t2, at) of anchors whose gram is repeated.
+
+    Where a text has the same context again (a stretch of one character has it at every place), the
+    other places are in ``more``.
+    """
     for batch in batches:
         texts = _texts(_column(batch, "text"))
         t1, t2 = (_column(batch, c).to_numpy() for c in ("t1", "t2"))
         wanted = _column(batch, "grams")
-        found, places, owner, digests = [], [], [], []
+        grams, places, more, owner, digests = [], [], [], [], []
         for k, at, gram in anchors(texts):
             text = texts[k]
             known = np.isin(gram.view(np.int64), wanted[k].values.to_numpy())
-            at, gram = at[known], gram[known]
-            found.append(gram)
-            places.append(at)
-            owner.append(np.full(len(at), k))
-            for a in at.tolist():
+            own: dict[bytes, list[int]] = {}
+            of = gram[known].tolist()
+            for g, a in zip(of, at[known].tolist()):
                 before, end = _reach(text, a)
-                digests.append(hashlib.md5(before.to_bytes(1, "little") + text[a - before : end]).digest())
+                found = own.setdefault(hashlib.md5(before.to_bytes(1, "little") + text[a - before : end]).digest(), [])
+                if not found:
+                    grams.append(g)
+                found.append(a)
+            digests += own
+            places += [found[0] for found in own.values()]
+            more += [found[1:] or None for found in own.values()]
+            owner += [k] * len(own)
         if digests:
             key = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            of = np.concatenate(owner)
-            columns = [_longs(np.concatenate(found)), _longs(key[:, 0]), _longs(key[:, 1]), _longs(t1[of]), _longs(t2[of]), _longs(np.concatenate(places).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "k1", "k2", "t1", "t2", "at"])
+            columns = [_longs(np.array(grams, dtype=np.uint64)), _longs(key[:, 0]), _longs(key[:, 1]), _longs(t1[owner]), _longs(t2[owner])]
+            columns += [pa.array(places, pa.int64()), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "k1", "k2", "t1", "t2", "at", "more"])
 
 
-_PLACE = "gram long, k1 long, k2 long, t1 long, t2 long, at long"
+_PLACE = "gram long, k1 long, k2 long, t1 long, t2 long, at long, more array<long>"
 _OPEN = "gram long, needed boolean, t1 long, t2 long, at long, before int, context binary"
+_ID = ["t1", "t2", "at"]
 _MARKS = "t1 long, t2 long, at long, mask binary"
 
 
@@ -201,39 +211,69 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def refine(contexts: list[bytes], before: list[int], needed: list[bool]) -> list[int]:
-    """For every context of a bucket the set of its repeated strings, as bits by their number."""
+    """For every context of a bucket that is needed the set of its repeated strings, as bits by number."""
     low = [max(0, LENGTH - (len(c) - b)) for c, b in zip(contexts, before)]
     marks = [0] * len(contexts)
-    todo = [(0, FLANK, list(range(len(contexts))), [0] * len(contexts))]
+    todo = [(0, FLANK, [(i, 0, open_) for i, open_ in enumerate(needed)])]
     while todo:
-        x, y, members, buckets = todo.pop()
-        if x == y:
-            for i in members:
-                marks[i] |= 1 << x
+        x, y, members = todo.pop()
+        # Members that agree in all strings of the interval are done; one of them stays to be met.
+        same: dict[bytes | int, list[tuple[int, int, bool]]] = {}
+        for m in members:
+            i = m[0]
+            whole = low[i] <= x and before[i] >= y
+            same.setdefault(contexts[i][before[i] - y : before[i] + LENGTH - x] if whole else i, []).append(m)
+        left = []
+        for group in same.values():
+            if len(group) > 1:
+                for i, _, open_ in group:
+                    if open_:
+                        marks[i] |= ((1 << (y - x + 1)) - 1) << x
+                left.append((group[0][0], group[0][1], False))
+            else:
+                left += group
+        if x == y or not any(m[2] for m in left):
             continue
         middle = (x + y) // 2
         for first, last, a, b in ((x, middle, LENGTH - y, LENGTH - middle), (middle + 1, y, -middle - 1, -x)):
             # Bucket of a half: the bucket so far and the bytes at the further offset.
-            split: dict[tuple[int, bytes], list[int]] = {}
-            for i, bucket in zip(members, buckets):
+            split: dict[tuple[int, bytes], list[tuple[int, int, bool]]] = {}
+            for m in left:
+                i = m[0]
                 if low[i] <= last and before[i] >= first:
-                    split.setdefault((bucket, contexts[i][before[i] + a : before[i] + b]), []).append(i)
-            kept = [g for g in split.values() if len(g) > 1 and any(needed[i] for i in g)]
+                    split.setdefault((m[1], contexts[i][before[i] + a : before[i] + b]), []).append(m)
+            kept = [g for g in split.values() if len(g) > 1 and any(m[2] for m in g)]
             if kept:
-                todo.append((first, last, [i for g in kept for i in g], [k for k, g in enumerate(kept) for _ in g]))
+                todo.append((first, last, [(i, k, open_) for k, g in enumerate(kept) for i, _, open_ in g]))
     return marks
 
 
-def _refined(table: pa.Table) -> pa.Table:
-    rows = table.to_pydict()
-    marks = refine(rows["context"], rows["before"], rows["needed"])
-    hit = [k for k, m in enumerate(marks) if m and rows["needed"][k]]
-    columns = [pa.array([rows[c][k] for k in hit], pa.int64()) for c in ("t1", "t2", "at")]
-    return pa.Table.from_arrays([*columns, pa.array([marks[k].to_bytes(_MASK, "little") for k in hit], pa.binary())], names=["t1", "t2", "at", "mask"])
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of the needed contexts of all buckets; rows come sorted by bucket."""
+    names = ["gram", "needed", *_ID, "before", "context"]
+    held: list[tuple] = []
+
+    def marks(rows: list[tuple]) -> list[tuple]:
+        found = refine([r[6] for r in rows], [r[5] for r in rows], [r[1] for r in rows])
+        return [(*r[2:5], m.to_bytes(_MASK, "little")) for r, m in zip(rows, found) if m and r[1]]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 3 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[*_ID, "mask"])
+
+    for batch in batches:
+        out = []
+        for row in zip(*(_column(batch, c).to_pylist() for c in names)):
+            if held and held[0][0] != row[0]:
+                out += marks(held)
+                held = []
+            held.append(row)
+        yield batch_of(out)
+    if held:
+        yield batch_of(marks(held))
 
 
 _NUMBERS = ", ".join(str(k) for k in range(0, FLANK + 1, BLOCK))
-_ID = ["t1", "t2", "at"]
 
 
 def _large_buckets(opened: DataFrame) -> DataFrame:
@@ -273,44 +313,57 @@ def _removed(as_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(_column(batch, "text"))
-            spans, kept = [], []
-            for text, t2, marks in zip(texts, _column(batch, "t2").to_pylist(), _column(batch, "marks")):
-                found = _spans(text, t2, marks.as_py() or [])
-                spans.append([{"start": a, "end": b} for a, b in found])
-                edges = [0, *[e for s in found for e in s], len(text)]
-                kept.append(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])]) if found else text)
+            marks = _column(batch, "marks")
+            bounds, parts = marks.offsets.to_numpy(), marks.values
+            of, at = (parts.field(c).to_numpy() for c in ("t2", "at"))
+            masks, more = parts.field("mask"), parts.field("more")
+            sizes, edges, kept = [0], [], []
+            for k, t2 in enumerate(_column(batch, "t2").to_numpy()):
+                a, b = bounds[k], bounds[k + 1]
+                found = np.zeros((0, 2), dtype=np.int64)
+                if a < b:
+                    mine = of[a:b] == t2
+                    which = pa.array(mine)
+                    again = more.slice(a, b - a).filter(which).flatten().to_numpy()
+                    found = _spans(len(texts[k]), at[a:b][mine], again, masks.slice(a, b - a).filter(which))
+                sizes.append(sizes[-1] + len(found))
+                if len(found):
+                    edges.append(found)
+                    cut = [0, *found.ravel().tolist(), len(texts[k])]
+                    kept.append(b"".join([texts[k][i:j] for i, j in zip(cut[::2], cut[1::2])]))
+                else:
+                    kept.append(texts[k])
             if as_text:
                 kept = [x.decode("utf-8", "ignore") for x in kept]
+            flat = np.concatenate(edges) if edges else np.zeros((0, 2), dtype=np.int64)
+            fields = [pa.field(c, pa.int64()) for c in ("start", "end")]
+            spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, c])) for c in (0, 1)], fields=fields)
+            spans = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), spans)
             names = ["row", "spans", "kept"]
-            kinds = (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary())
-            yield pa.RecordBatch.from_arrays([_column(batch, "row"), pa.array(spans, kinds[0]), pa.array(kept, kinds[1])], names=names)
+            yield pa.RecordBatch.from_arrays([_column(batch, "row"), spans, pa.array(kept, pa.string() if as_text else pa.binary())], names=names)
 
     return run
 
 
-def _spans(text: bytes, t2: int, marks: list[dict]) -> list[tuple[int, int]]:
-    """Maximal stretches of bytes that the marked strings cover."""
-    begins = []
-    for m in marks:
-        if m["t2"] != t2:
-            continue
-        at = m["at"]
-        if m["mask"] is None:
-            before, end = _reach(text, at)
-            begins.append((at - before, end))
-        else:
-            bits = int.from_bytes(m["mask"], "little")
-            while bits:
-                last = bits.bit_length() - 1
-                bits ^= 1 << last
-                begins.append((at - last, at - last + LENGTH))
-    out: list[list[int]] = []
-    for a, b in sorted(begins):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+def _spans(size: int, at: np.ndarray, again: np.ndarray, masks: pa.Array) -> np.ndarray:
+    """Maximal stretches of bytes (start, end) that the marked strings of a text cover.
+
+    Around anchors without a mask, and those ``again``, all strings are marked.
+    """
+    whole = masks.is_null().to_numpy(zero_copy_only=False)
+    every = np.concatenate((at[whole], again))
+    starts, ends = [np.maximum(every - FLANK, 0)], [np.minimum(every + LENGTH, size)]
+    if not whole.all():
+        packed = np.frombuffer(b"".join(masks.filter(pa.array(~whole)).to_pylist()), dtype=np.uint8).reshape(-1, _MASK)
+        row, number = np.nonzero(np.unpackbits(packed, axis=1, bitorder="little"))
+        starts.append(at[~whole][row] - number)
+        ends.append(starts[-1] + LENGTH)
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    first = np.concatenate(([True], start[1:] > reach[:-1]))
+    last = np.concatenate((first[1:], [True]))
+    return np.column_stack([start[first], reach[last]])
 
 
 def _keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -327,14 +380,18 @@ def _marked(docs: DataFrame, columns: list[str], bucket: int, as_text: bool = Fa
     keyed = _keyed(docs, columns)
     grams = in_batches(keyed.select("t1", "text"), _grams, "gram long, t1 long")
     repeated = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    lists = grams.join(repeated, "gram").groupBy("t1").agg(F.collect_set("gram").alias("grams"))
+    # The small sides of joins on grams and contexts are dealt out anew, so that a hot key can be split.
+    lists = grams.join(repeated.repartition("gram"), "gram").groupBy("t1").agg(F.collect_set("gram").alias("grams"))
     lists = keep(lists, "repeated-grams")
 
     # All looks at the texts use the same columns, so that the plan shuffles them once.
     texts = lambda asked: keyed.join(asked, "t1").select("row", "text", "t1", "t2", asked.columns[1])
     places = in_batches(texts(lists), _contexts, _PLACE)
     key = ["gram", "k1", "k2"]
-    contexts = places.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_ID)).alias("rep"))
+    copies = F.sum(1 + F.when(F.col("more").isNotNull(), F.size("more")).otherwise(0)).alias("n")
+    contexts = places.groupBy(*key).agg(copies, F.min(F.struct(*_ID)).alias("rep"))
+    # Asking for the place keeps it in the plan, so that all uses share one pass and one exchange.
+    contexts = contexts.where(F.col("rep").isNotNull())
     buckets = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).where("members > 1 AND least = 1")
     asked = contexts.join(buckets.select("gram", "members"), "gram").select("rep.*", "gram", "members", (F.col("n") == 1).alias("needed"))
 
@@ -342,12 +399,14 @@ def _marked(docs: DataFrame, columns: list[str], bucket: int, as_text: bool = Fa
         lists = asked.where(which).groupBy("t1").agg(F.collect_list(F.struct("t2", "at", "gram", "needed")).alias("asked"))
         return in_batches(texts(lists), _cut_out, _OPEN)
 
-    small = opened(F.col("members") <= bucket).groupBy("gram").applyInArrow(_refined, _MARKS)
+    small = opened(F.col("members") <= bucket).repartition("gram").sortWithinPartitions("gram")
+    small = in_batches(small, _refined, _MARKS)
     large = _large_buckets(opened(F.col("members") > bucket).repartition("t1", "at"))
-    folded = places.join(contexts.where("n > 1").select(*key), key).select(*_ID, F.lit(None).cast("binary").alias("mask"))
-    marks = folded.unionByName(small).unionByName(large)
-    marks = marks.groupBy("t1").agg(F.collect_list(F.struct("t2", "at", "mask")).alias("marks"))
-    found = keyed.join(marks, "t1", "left").select("row", "text", "t1", "t2", "marks")
+    no_mask, no_more = F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("array<long>").alias("more")
+    folded = places.join(contexts.where("n > 1").select(*key).repartition(*key), key).select(*_ID, "more", no_mask)
+    marks = folded.unionByName(small.unionByName(large).withColumn("more", no_more))
+    marks = marks.groupBy("t1").agg(F.collect_list(F.struct("t2", "at", "more", "mask")).alias("marks"))
+    found = keyed.join(marks, "t1", "left").select("row", "text", "t1", "t2", F.coalesce("marks", F.array().cast(marks.schema["marks"].dataType)).alias("marks"))
     schema = StructType([found.schema["row"], StructField("spans", _SPANS)]).add("kept", "string" if as_text else "binary")
     return in_batches(found, _removed(as_text), schema)
 
