@@ -369,8 +369,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             labels = components(links)
             members = keep(split_members(buckets, labels), "members")
     grouped = nodes.join(labels, "node", "left").select("text_key", "doc_id", F.coalesce("label", "node").alias("label"))
-    named = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_key")).alias("best"))
-    classes = grouped.join(named, "label").select("text_key", "class_id", (F.col("best.text_key") == F.col("text_key")).alias("best"))
+    # The smallest id of the class and the text that has it; ids that are null come last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key"))
+    named = grouped.groupBy("label").agg(first.alias("best"))
+    classes = grouped.join(named, "label").select("text_key", F.col("best.doc_id").alias("class_id"), (F.col("best.text_key") == F.col("text_key")).alias("best"))
     rows = sketches.select("doc_id", "text_key").join(classes, "text_key", "left")
     own = F.col("text_key").isNull()
     return rows.select(
