@@ -47,6 +47,29 @@ def s02(spark, sf):
     return stored.join(copies, "content_hash").select("first_id", "text")
 
 
+_LARGEST = 30_000
+
+
+@query(
+    "s02_file_deliveries",
+    f"""SELECT category_id, length, CASE WHEN length <= {_LARGEST} THEN content_hash END AS content_hash, length > {_LARGEST} AS too_large,
+               CASE WHEN folder % 2 = 0 THEN 'first' ELSE 'second' END AS delivery
+        FROM (SELECT page_id // 20 AS folder, concat('folder=', page_id // 20) AS category_id, CAST(sum(strlen(html) + 1) AS BIGINT) AS length,
+                     sha256(string_agg(concat(html, chr(10)), '' ORDER BY page_id)) AS content_hash FROM pages GROUP BY ALL)""",
+)
+def s02_files(spark, sf):
+    # Twenty pages a file; half of the files arrive after the first run of the stream.
+    path, checkpoint = intake.scratch(spark, "file-stream")
+    target = fresh_path(spark, "deliveries")
+    pages = table(spark, sf, "pages").select(F.expr("page_id div 20").alias("folder"), "page_id", "html")
+    for number, delivery in enumerate(("first", "second")):
+        placed = pages.where(F.col("folder") % 2 == number).repartition("folder").sortWithinPartitions("folder", "page_id")
+        placed.drop("page_id").write.mode("append").partitionBy("folder").text(target)
+        intake.intake_files(files.stream_files(spark, target, "*.txt"), path, checkpoint, delivery, _LARGEST)
+    found = path_metadata(spark.read.parquet(path))
+    return found.select("category_id", "length", F.sha2("content", 256).alias("content_hash"), "too_large", "delivery")
+
+
 def _arriving(docs):
     return docs.select(
         F.col("doc_id").cast("string").alias("doc_id"),

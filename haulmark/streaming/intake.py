@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulmark.operators.chunking import chunk_documents
-from haulmark.operators.tables import insert_new
 from haulmark.sources.sizing import fresh_path
 
+PREFIXES = 64
+MAX_FILE_BYTES = 250 * 1000 * 1000
+
 
 def table_stream(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
     """Parquet files of one table as a stream."""
@@ -34,30 +36,54 @@ def chunk_stream(docs: DataFrame, path: str, checkpoint: str) -> None:
     run_available(chunk_documents(docs), path, checkpoint)
 
 
-def intake_new(stream: DataFrame, path: str, checkpoint: str, key: str) -> None:
-    """Insert rows whose key the table lacks.
+def key_store(path: str) -> str:
+    """Folder of the keys that the table at ``path`` holds."""
+    return f"{path.rstrip('/')}-keys"
+
+
+def known_keys(batch: DataFrame, store: str, key: str, batch_id: int, prefixes: int = PREFIXES) -> DataFrame:
+    """Stored keys that rows of ``batch`` could repeat: only the prefixes that occur in it are read.
+
+    Keys of the batch itself, stored by an attempt that failed, are not counted as known.
+    """
+    spark = batch.sparkSession
+    # At most ``prefixes`` numbers.
+    held = [r[0] for r in batch.select(_prefix(key, prefixes)).distinct().collect()]
+    keys = spark.read.schema(f"`{key}` {dict(batch.dtypes)[key]}, prefix int, batch_id bigint").parquet(store)
+    return keys.where(F.col("prefix").isin(held) & (F.col("batch_id") != batch_id)).select(key)
+
+
+def _prefix(key: str, prefixes: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(prefixes)).cast("int").alias("prefix")
+
 
-    Every micro-batch writes its own partition ``batch_id`` and replaces it when it is
-    repeated after a failure; rows of that partition are not counted as known.
+def insert_batch(batch: DataFrame, batch_id: int, path: str, key: str, prefixes: int = PREFIXES) -> None:
+    """Add the rows of a micro-batch whose key the table lacks, one row per key (null is a key).
+
+    Rows go to the partition ``batch_id`` of the table, their keys to the key store, which is
+    partitioned by a hash prefix of the key.  Both are replaced when the batch is repeated after a
+    failure, so a repeated batch adds nothing.
     """
+    known = known_keys(batch, key_store(path), key, batch_id, prefixes).withColumnRenamed(key, "_known")
+    one = batch.dropDuplicates([key])
+    fresh = one.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+
+    def replace(rows: DataFrame, folder: str, *by: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
 
-    def insert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema(f"{key} {dict(batch.dtypes)[key]}, batch_id bigint").parquet(path)
-        fresh = insert_new(known.where(F.col("batch_id") != batch_id), batch, key)
-        (
-            fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
-        )
-
-    # The folder exists from the start, so the first batch can read it.
+    replace(fresh, path, "batch_id")
+    stored = batch.sparkSession.read.schema(fresh.schema).parquet(path).where(F.col("batch_id") == batch_id)
+    replace(stored.select(key, _prefix(key, prefixes), "batch_id").repartition("prefix"), key_store(path), "prefix", "batch_id")
+
+
+def intake_new(stream: DataFrame, path: str, checkpoint: str, key: str, prefixes: int = PREFIXES) -> None:
+    """Insert everything that has arrived and whose key the table lacks, then stop."""
+    # The folders exist from the start, so the first batch can read them.
     empty = stream.sparkSession.createDataFrame([], stream.schema)
-    empty.write.mode("overwrite").parquet(f"{path}/batch_id=-1")
+    empty.write.mode("append").parquet(f"{path}/batch_id=-1")
+    empty.select(key).write.mode("append").parquet(f"{key_store(path)}/prefix=0/batch_id=-1")
     query = (
-        stream.writeStream.foreachBatch(insert)
+        stream.writeStream.foreachBatch(lambda batch, number: insert_batch(batch, number, path, key, prefixes))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -65,6 +91,23 @@ def intake_new(stream: DataFrame, path: str, checkpoint: str, key: str) -> None:
     query.awaitTermination()
 
 
+def intake_files(stream: DataFrame, path: str, checkpoint: str, delivery: str, max_bytes: int = MAX_FILE_BYTES) -> None:
+    """Take in the files that have arrived, then stop: path, length, content, too_large, delivery.
+
+    Files beyond ``max_bytes`` are listed without their content, which is not read.  A checkpointed
+    run sees only files that no earlier run has seen; each micro-batch replaces its own partition.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        fits = batch.where(F.col("length") <= max_bytes).select("path", "length", "content", F.lit(False).alias("too_large"))
+        large = batch.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("too_large"))
+        rows = fits.unionByName(large).withColumns({"delivery": F.lit(delivery), "batch_id": F.lit(number).cast("bigint")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:
     """A new output folder and its checkpoint folder in the shared folder."""
     base = fresh_path(spark, name)
