@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from haulmark import fixed_values as fv
 from haulmark.operators import evaluation as ev
 from haulmark.operators import feedback as fb
-from haulmark.operators import guardrails, sessions
+from haulmark.operators import guardrails, operations, sessions
 from haulmark.plans import check_sql as cs
 from haulmark.plans.models import table, with_models
 from haulmark.plans.registry import query
+from haulmark.sources.sizing import materialize
 
 # ---- conversations -----------------------------------------------------------
 
@@ -433,18 +434,78 @@ def e09(spark, sf):
     return ev.operation_alerts(metrics, targets)
 
 
+# A document is a file that arrived with the event of its number; the index takes files in every
+# half hour and commits some seconds later.  The last three half hours aren't committed yet.
+_FRESH = {
+    "arrivals": """SELECT d.source AS category, e.ts AS arrived_at, epoch_us(e.ts) // 1800000000 AS batch_id
+        FROM documents d JOIN events e ON e.event_id = d.doc_id""",
+    "commits": """SELECT batch_id, batch_id * 1800 + 1800 + batch_id % 240 AS committed_s FROM (SELECT DISTINCT batch_id FROM arrivals)
+        WHERE batch_id < (SELECT max(batch_id) FROM arrivals) - 2""",
+    "lags": """SELECT a.category, epoch_us(a.arrived_at) // 1000000 AS arrived_s, committed_s FROM arrivals a LEFT JOIN commits c ON c.batch_id = a.batch_id""",
+}
+
+
 @query(
     "e09_freshness",
     with_models(
-        """SELECT intent_classification, list_sort(list(lag_s))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] AS p95_lag_s
-           FROM (SELECT f.intent_classification, (epoch_us(f.created_at) // 1000000) % 1800 AS lag_s FROM feedback f) GROUP BY intent_classification""",
-        "feedback",
+        """SELECT category, count(committed_s) AS n_indexed, count(*) - count(committed_s) AS n_open,
+                  list_sort(list(committed_s - arrived_s) FILTER (committed_s IS NOT NULL))[CAST(floor(count(committed_s) * 0.95) AS BIGINT) + 1] AS p95_lag_s,
+                  max((SELECT max(arrived_s) FROM lags) - arrived_s) FILTER (committed_s IS NULL) AS oldest_open_s
+           FROM lags GROUP BY category""",
+        extra=_FRESH,
     ),
 )
 def e09_freshness(spark, sf):
-    from haulmark.functions.ranking import nearest_rank
+    events = table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("arrived_at"))
+    batch = F.floor(F.unix_micros("arrived_at") / 1800000000)
+    files = table(spark, sf, "documents").select("doc_id", F.col("source").alias("category")).join(events, "doc_id").withColumn("batch_id", batch)
+    last = files.agg(F.max("batch_id").alias("b"), F.max("arrived_at").alias("t")).first()
+    commits = files.select("batch_id").distinct().where(F.col("batch_id") < F.lit(last.b) - 2)
+    commits = commits.withColumn("committed_at", F.timestamp_seconds(F.col("batch_id") * 1800 + 1800 + F.col("batch_id") % 240))
+    return operations.freshness(files, commits, F.lit(last.t))
+
+
+# Answers, ratings and searches carry the time of their turn or event.
+_TURN = "make_timestamp(CAST(1704067200000000 AS BIGINT) + CAST(split_part(answer_id, '-', 1) AS BIGINT) * 3600000000 + CAST(split_part(answer_id, '-', 2) AS BIGINT) * 60000000)"
+_SERIES = {
+    **cs.guardrails(),
+    "told": f"""SELECT CAST({_TURN} AS DATE) AS day, applied_rules, NOT contains(applied_rules, 'CITATION REMINDER') AS cited FROM guarded""",
+    "looked": """SELECT CAST(ts AS DATE) AS day, value >= 20 AS hit FROM events WHERE event_type = 'view'""",
+    "waited": """SELECT CAST(ts AS DATE) AS day, CAST(round(value / 10 * 1000) AS BIGINT) AS ms FROM events WHERE event_type IN ('view', 'click')""",
+}
+
 
-    # Seconds from arrival to the previous half-hour index build stand in for the lag.
-    seconds = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 1000000)
-    lags = table(spark, sf, "feedback").select("intent_classification", (seconds % 1800).alias("lag_s"))
-    return nearest_rank(lags, ["intent_classification"], "lag_s", 0.95, "p95_lag_s", width=60)
+def _period(unit: str) -> str:
+    at = "day" if unit == "day" else f"CAST(date_trunc('{unit}', day) AS DATE)"
+    share = lambda part, whole: f"round(100.0e0 * count(*) FILTER ({part}) / {whole}, 4)"
+    return f"""
+        SELECT {at} AS day, 'citation_coverage_pct' AS metric, {share("cited", "count(*)")} AS value FROM told GROUP BY 1
+        UNION ALL SELECT {at}, 'guardrail_trigger_pct', {share("applied_rules <> ''", "count(*)")} FROM told GROUP BY 1
+        UNION ALL SELECT {at}, 'binding_block_pct', {share("contains(applied_rules, 'binding_opinion')", "count(*)")} FROM told GROUP BY 1
+        UNION ALL SELECT {at}, 'satisfaction_pct', {share("rating = 1", "count(*)")} FROM (SELECT CAST(created_at AS DATE) AS day, rating FROM feedback) GROUP BY 1
+        UNION ALL SELECT {at}, 'vector_hit_pct', {share("hit", "count(*)")} FROM looked GROUP BY 1
+        UNION ALL SELECT {at}, 'response_p95_s', list_sort(list(ms))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1] / 1000.0e0 FROM waited GROUP BY 1"""
+
+
+def _stored_days(spark, sf):
+    part = lambda i: F.split_part("answer_id", F.lit("-"), F.lit(i)).cast("long")
+    at = F.timestamp_micros(F.lit(1704067200000000) + part(1) * 3600000000 + part(2) * 60000000)
+    guarded = guardrails.apply_guardrails(table(spark, sf, "answers")).select(at.alias("at"), F.col("guarded.applied_rules").alias("applied_rules"))
+    told = guarded.withColumn("cited", ~F.exists("applied_rules", lambda r: r.contains("CITATION REMINDER")))
+    events = table(spark, sf, "events").select(F.col("ts").alias("at"), "event_type", "value")
+    ratings = table(spark, sf, "feedback").select(F.col("created_at").alias("at"), "rating")
+    searches = events.where("event_type = 'view'").select("at", (F.col("value") >= 20).alias("hit"))
+    waits = events.where("event_type IN ('view', 'click')").select("at", (F.col("value") / 10).alias("elapsed"))
+    return materialize(operations.daily_counts(told, ratings, searches), "daily-counts"), materialize(operations.daily_times(waits), "daily-times")
+
+
+@query("e09_daily_series", with_models(_period("day"), "answers", "feedback", extra=_SERIES))
+def e09_daily(spark, sf):
+    return operations.series(*_stored_days(spark, sf))
+
+
+@query("e09_weekly_series", with_models(_period("week"), "answers", "feedback", extra=_SERIES))
+def e09_weekly(spark, sf):
+    # Weeks come from the stored days alone.
+    counts, times = _stored_days(spark, sf)
+    return operations.series(operations.rolled_up(counts, "week"), operations.rolled_up(times, "week", ["ms"]))
