@@ -145,3 +145,32 @@ def c06(spark, sf):
     # A session shows the history of the last batch that touched it.
     last = rows.groupBy("session_id").agg(F.max_by(F.struct("n_messages", "history"), "batch_id").alias("_r"))
     return last.select("session_id", "_r.n_messages", "_r.history")
+
+
+@query(
+    "c06_compaction_stream",
+    with_models(
+        """SELECT session_id, count(*) AS n_messages, CASE WHEN max(total) >= 4 THEN max(total) // 2 ELSE 0 END AS n_summarised,
+                  'Earlier conversation summary: ' || string_agg(concat('[', role, '] ', left(content, 100)), '; ' ORDER BY rn) FILTER (total >= 4 AND rn <= total // 2) AS summary,
+                  string_agg(concat('[', role, '] ', content), chr(10) ORDER BY rn) FILTER (total < 4 OR rn > total // 2) AS kept
+           FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, content) AS rn, count(*) OVER (PARTITION BY session_id) AS total FROM sessions)
+           GROUP BY session_id""",
+        "sessions",
+    ),
+)
+def c06_compaction(spark, sf):
+    # Messages arrive in two deliveries, the first three turns of every session before the others.
+    path, checkpoint = intake.scratch(spark, "compaction-stream")
+    arriving = fresh_path(spark, "messages")
+    given = table(spark, sf, "sessions")
+    turn = F.expr("row_number() OVER (PARTITION BY session_id ORDER BY created_at)")
+    numbered = given.withColumn("turn", turn)
+    with sessions.rocksdb(spark):
+        for part in (F.col("turn") <= 3, F.col("turn") > 3):
+            numbered.where(part).drop("turn").write.mode("append").parquet(arriving)
+            stream = spark.readStream.schema(given.schema).parquet(arriving)
+            # The history spans days; no session may be forgotten between the deliveries.
+            sessions.store_updates(sessions.compacted_sessions(stream, 4, idle_s=10**9, delay="1000 days"), path, checkpoint)
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("session_id").agg(F.max_by(F.struct("n_messages", "n_summarised", "summary", "kept"), "batch_id").alias("_r"))
+    return last.select("session_id", "_r.*")
