@@ -57,6 +57,40 @@ def driver_counts(drivers: DataFrame, insureds: DataFrame, condition: Column, ac
     return of_account(counted, insureds, account)
 
 
+def driver_list(drivers: DataFrame, insureds: DataFrame, condition: Column, account: str | None = None) -> DataFrame:
+    """The drivers that meet a condition, with their account."""
+    columns = ["insured_id", "driver_id", "first_name", "driver_status", "mvr_points", "accidents_3yr"]
+    return of_account(drivers.where(condition).select(*columns), insureds, account)
+
+
+def claim_list(claims: DataFrame, insureds: DataFrame, condition: Column, account: str | None = None) -> DataFrame:
+    """The claims that meet a condition, with their account; claims of unknown accounts stay."""
+    columns = ["insured_id", "claim_id", "policy_id", "loss_date", "loss_type", "claim_status", "total_incurred"]
+    names = named(insureds, account).select("insured_id", "company_name")
+    return claims.where(condition).select(*columns).join(names, "insured_id", "left" if account is None else "inner")
+
+
+def policies_above_ratio(policies: DataFrame, loss_runs: DataFrame, percent: float = 100.0) -> DataFrame:
+    """Policies whose account and year have a loss ratio above ``percent``."""
+    bad = loss_runs.where(F.col("loss_ratio") > percent).select("insured_id", "policy_year", "loss_ratio")
+    return policies.select("policy_id", "insured_id", "policy_year", "line_of_business").join(bad, ["insured_id", "policy_year"])
+
+
+def safety_profile(insureds: DataFrame, drivers: DataFrame, claims: DataFrame, account: str | None = None) -> DataFrame:
+    """Safety figures of accounts side by side: ratings and scores, drivers, accidents, claims."""
+    crew = drivers.groupBy("insured_id").agg(
+        rows().alias("n_drivers"), exact_mean("mvr_points", 0).alias("avg_mvr"), F.sum("accidents_3yr").alias("accidents"), F.sum("violations_3yr").alias("violations")
+    )
+    losses = claims.groupBy("insured_id").agg(rows().alias("n_claims"))
+    wanted = named(insureds, account).select(
+        "insured_id", "company_name", "safety_rating", "csa_unsafe_driving", "csa_hos", "csa_vehicle_maint", "dashcam_coverage_pct", "fleet_size"
+    )
+    both = wanted.join(crew, "insured_id", "left").join(losses, "insured_id", "left")
+    return both.fillna(0, ["n_drivers", "accidents", "violations", "n_claims"]).withColumn(
+        "claims_per_unit", F.round(F.try_divide(F.col("n_claims").cast("double"), F.col("fleet_size").cast("double")), 6)
+    )
+
+
 def average_telematics(drivers: DataFrame) -> DataFrame:
     active = drivers.where(F.col("driver_status") == "Active")
     return active.agg(rows().alias("n_active"), exact_mean("telematics_score", 1).alias("avg_score"))

@@ -248,3 +248,74 @@ def last_month(claims):
 )
 def premium_share(policies, insureds):
     return qs.premium_share(policies, insureds)
+
+
+# ---- questions that ask for the rows, or for a number ------------------------------
+
+
+def _driver_list(name, where, condition):
+    sql = (
+        "SELECT d.insured_id, driver_id, first_name, driver_status, mvr_points, accidents_3yr, i.company_name FROM drivers d "
+        f"JOIN insureds i ON d.insured_id = i.insured_id WHERE {where}"
+    )
+    _ask(name, sql, "drivers", "insureds")(lambda drivers, insureds: qs.driver_list(drivers, insureds, condition()))
+
+
+_driver_list("q014_excluded_driver_list", "driver_status = 'Excluded'", lambda: F.col("driver_status") == "Excluded")
+_driver_list("q015_hazmat_driver_list", "hazmat_endorsement", lambda: F.col("hazmat_endorsement"))
+_driver_list("q017_accident_driver_list", "accidents_3yr >= 3", lambda: F.col("accidents_3yr") >= 3)
+
+
+def _claim_list(name, where, condition):
+    sql = (
+        "SELECT c.insured_id, claim_id, policy_id, loss_date, loss_type, claim_status, total_incurred, i.company_name FROM claims c "
+        f"LEFT JOIN insureds i ON c.insured_id = i.insured_id WHERE {where}"
+    )
+    _ask(name, sql, "claims", "insureds")(lambda claims, insureds: qs.claim_list(claims, insureds, condition()))
+
+
+_claim_list("q021_attorney_claim_list", "attorney_involved", lambda: F.col("attorney_involved"))
+_claim_list("q022_large_loss_list", "large_loss_flag", lambda: F.col("large_loss_flag"))
+_claim_list("q023_claim_list_of_accounts", "TRUE", lambda: F.lit(True))
+
+
+@_ask(
+    "q011_policies_above_100",
+    """SELECT p.policy_id, p.insured_id, p.policy_year, p.line_of_business, l.loss_ratio FROM policies p
+       JOIN loss_runs l ON l.insured_id = p.insured_id AND l.policy_year = p.policy_year WHERE l.loss_ratio > 100""",
+    "policies",
+    "loss_runs",
+)
+def policies_above_100(policies, loss_runs):
+    return qs.policies_above_ratio(policies, loss_runs)
+
+
+@_ask("q024_in_review_count", "SELECT count(*) AS n_submissions FROM submissions WHERE submission_status = 'In Review'", "submissions")
+def in_review_count(submissions):
+    return submissions.where("submission_status = 'In Review'").agg(F.count(F.lit(1)).alias("n_submissions"))
+
+
+@_ask("q033_pending_count", "SELECT count(*) AS n_referrals FROM referrals WHERE decision IS NULL", "referrals")
+def pending_count(referrals):
+    return referrals.where("decision IS NULL").agg(F.count(F.lit(1)).alias("n_referrals"))
+
+
+@_ask("q027_declined_all", "SELECT submission_id, company_name, submission_status, referral_required, decline_reason FROM submissions WHERE submission_status = 'Declined'", "submissions")
+def declined_all(submissions):
+    return qs.submissions_where(submissions, F.col("submission_status") == "Declined")
+
+
+@_ask(
+    "q106_compare_safety",
+    """SELECT i.insured_id, company_name, safety_rating, csa_unsafe_driving, csa_hos, csa_vehicle_maint, dashcam_coverage_pct, fleet_size,
+              coalesce(n_drivers, 0) AS n_drivers, avg_mvr, coalesce(accidents, 0) AS accidents, coalesce(violations, 0) AS violations,
+              coalesce(n_claims, 0) AS n_claims, round(CAST(coalesce(n_claims, 0) AS DOUBLE) / fleet_size, 6) AS claims_per_unit
+       FROM insureds i LEFT JOIN (SELECT insured_id, count(*) AS n_drivers, avg(mvr_points) AS avg_mvr, CAST(sum(accidents_3yr) AS BIGINT) AS accidents,
+                                         CAST(sum(violations_3yr) AS BIGINT) AS violations FROM drivers GROUP BY 1) d ON d.insured_id = i.insured_id
+       LEFT JOIN (SELECT insured_id, count(*) AS n_claims FROM claims GROUP BY 1) c ON c.insured_id = i.insured_id""",
+    "insureds",
+    "drivers",
+    "claims",
+)
+def compare_safety(insureds, drivers, claims):
+    return qs.safety_profile(insureds, drivers, claims)

@@ -25,10 +25,15 @@ def _max_hits(spark, sf, n=N):
     return table(spark, sf, "questions").count() * n
 
 
-def _child_hits(spark, sf, n=N, by_role=False, stored=None):
+def child_index(spark, sf, by_role=False, stored=None):
+    """Keyword index of all child chunks."""
     source = chunks(spark, sf) if stored is None else stored
     corpus = source.where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category")
-    index = postings.build(corpus, category="category" if by_role else None)
+    return postings.build(corpus, category="category" if by_role else None)
+
+
+def _child_hits(spark, sf, n=N, by_role=False, stored=None):
+    index = child_index(spark, sf, by_role, stored)
     asked = table(spark, sf, "questions")
     if by_role:
         asked = access.with_allowed(asked, access.role_policy(spark))

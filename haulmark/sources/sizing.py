@@ -23,11 +23,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 _local_folders: dict[str, str] = {}
 
 
+def on_one_machine(master: str) -> bool:
+    return master.startswith("local")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not on_one_machine(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     application = spark.sparkContext.applicationId
     if application not in _local_folders:
         _local_folders[application] = tempfile.mkdtemp(prefix="haulmark-")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from haulmark.functions.ranking import bucketed_rank, nearest_rank, top_n
 from haulmark.operators import feedback, search, sessions, tables, vectors
 from haulmark.sources import files
-from haulmark.sources.sizing import fresh_path, shared_folder, within
+from haulmark.sources.sizing import fresh_path, on_one_machine, shared_folder, within
 from haulmark.streaming import intake
 
 MESSAGE = "session_id string, role string, content string, user_id string, created_at timestamp"
@@ -268,3 +268,8 @@ def test_retention_keeps_rows_without_a_time(spark):
     rows = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01'), (2, TIMESTAMP '2024-03-31'), (3, NULL) AS t(id, ts)")
     kept = tables.purge_before(rows, "ts", F.lit("2024-04-10").cast("timestamp"), 90)
     assert sorted(r.id for r in kept.collect()) == [2, 3]
+
+
+def test_a_temporary_folder_serves_one_machine_only():
+    assert on_one_machine("local[8]") and on_one_machine("local-cluster[2,1,1024]")
+    assert not on_one_machine("yarn") and not on_one_machine("spark://host:7077") and not on_one_machine("k8s://host")
