@@ -43,6 +43,15 @@ def visible_counts(chunks: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
+def seen_categories(hits: DataFrame, policy: DataFrame) -> DataFrame:
+    """Categories that hits (role, category) show every role, in order, and those it may not see."""
+    seen = hits.groupBy("role").agg(F.array_sort(F.collect_set("category")).alias("categories"))
+    # One row per role on both sides.
+    both = policy.join(seen, "role", "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
+    unexpected = F.when(F.col("allowed").isNull(), F.array().cast("array<string>")).otherwise(F.array_except("categories", "allowed"))
+    return both.select("role", "categories", unexpected.alias("unexpected"))
+
+
 def entitled_rows(rows: DataFrame, entitlements: DataFrame, column: str = "broker_name") -> DataFrame:
     """Every (user, row) pair a broker user may see; filter on ``user_id`` for one user."""
     return rows.join(entitlements.select("user_id", column).distinct(), column)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
-from haulmark.functions.ranking import top_n
+from haulmark.functions.ranking import join_same, top_n
 from haulmark.functions.text import normalize_ratio
-from haulmark.sources.sizing import broadcast_if_small
+from haulmark.sources.sizing import broadcast_if_small, within
 
 
 def exact_mean(column: str, scale: int = 4) -> Column:
@@ -444,7 +444,63 @@ def portfolio_mix(policies: DataFrame, insureds: DataFrame, segment: str) -> Dat
         segment,
         "n_policies",
         F.col("_p").cast("double").alias("premium"),
-        F.round(F.col("_p").cast("double") * 100 / premium.cast("double"), 4).alias("premium_pct"),
+        F.round(F.try_divide(F.col("_p").cast("double") * 100, premium.cast("double")), 4).alias("premium_pct"),
+    )
+
+
+def segment_growth(policies: DataFrame, loss_runs: DataFrame, insureds: DataFrame, segment: str) -> DataFrame:
+    """Premium, growth and loss ratio per segment and year, and segments that outgrow their losses.
+
+    A segment outgrows its losses when it grows faster than the book while its loss ratio is above
+    that of the book.  Growth is against the year before; without premium then it is null.
+    """
+    cents = "decimal(18,2)"
+    of = F.broadcast if within(insureds) else (lambda df: df)
+    segments = of(insureds.select("insured_id", segment))
+    premium = policies.groupBy("insured_id", F.col("policy_year").alias("year")).agg(F.sum(F.col("written_premium").cast(cents)).alias("_p"))
+    losses = loss_runs.groupBy("insured_id", F.col("policy_year").alias("year")).agg(F.sum(F.col("total_incurred").cast(cents)).alias("_l"))
+    none = lambda c: F.lit(None).cast("decimal(28,2)").alias(c)
+    both = premium.select("insured_id", "year", "_p", none("_l")).unionByName(losses.select("insured_id", "year", none("_p"), "_l"))
+    years = both.join(segments, "insured_id", "left").groupBy(segment, "year").agg(*[F.sum(c).cast("double").alias(c) for c in ("_p", "_l")])
+    # From here on one row per segment and year.
+    total = years.groupBy("year").agg(*[F.sum(F.col(c).cast("decimal(28,2)")).cast("double").alias(f"all{c}") for c in ("_p", "_l")])
+    before = years.select(segment, (F.col("year") + 1).alias("year"), F.col("_p").alias("_before"))
+    before_all = total.select((F.col("year") + 1).alias("year"), F.col("all_p").alias("_before_all"))
+    rows = join_same(years, before, [segment, "year"], "left").join(total, "year").join(before_all, "year", "left")
+    change = lambda now, then: F.try_divide((F.col(now) - F.col(then)) * 100, F.col(then))
+    ratio = lambda part, whole: F.try_divide(F.coalesce(part, F.lit(0.0)) * 100, F.col(whole))
+    growing = (change("_p", "_before") > change("all_p", "_before_all")) & (ratio("_l", "_p") > ratio("all_l", "all_p"))
+    return rows.select(
+        segment,
+        "year",
+        F.col("_p").alias("premium"),
+        F.round(change("_p", "_before"), 4).alias("growth_pct"),
+        F.round(ratio("_l", "_p"), 4).alias("loss_ratio"),
+        F.coalesce(growing, F.lit(False)).alias("outgrows_losses"),
+    )
+
+
+def conversion(submissions: DataFrame, by: str) -> DataFrame:
+    """How many submissions got how far, and the rates from step to step, per value of ``by``.
+
+    Quoted are those with an offer: status Quoted, Bound or Lost.
+    """
+    status = F.col("submission_status")
+    reached = {
+        "n_reviewed": ~status.isin("Received", "New"),
+        "n_quoted": status.isin("Quoted", "Bound", "Lost"),
+        "n_bound": status == "Bound",
+        "n_declined": status == "Declined",
+    }
+    counted = submissions.groupBy(by).agg(F.count(F.lit(1)).alias("n_submissions"), *[F.count_if(c).alias(n) for n, c in reached.items()])
+    rate = lambda part, whole: F.round(F.try_divide(F.col(part) * F.lit(100.0), F.col(whole).cast("double")), 4)
+    return counted.withColumns(
+        {
+            "quote_pct": rate("n_quoted", "n_submissions"),
+            "bind_pct": rate("n_bound", "n_quoted"),
+            "conversion_pct": rate("n_bound", "n_submissions"),
+            "decline_pct": rate("n_declined", "n_submissions"),
+        }
     )
 
 

@@ -373,6 +373,26 @@ def r11(spark, sf):
     return access.visible_counts(chunks(spark, sf), access.role_policy(spark))
 
 
+@query(
+    "r11_unexpected_categories",
+    _sql(
+        """SELECT p.role, coalesce(string_agg(DISTINCT h.category, '|' ORDER BY h.category), '') AS categories,
+                  coalesce(string_agg(DISTINCT h.category, '|' ORDER BY h.category) FILTER (NOT EXISTS (
+                    SELECT 1 FROM role_policy a WHERE a.role = p.role AND a.category IN ('all', h.category))), '') AS unexpected
+           FROM (SELECT DISTINCT role FROM role_policy) p
+           LEFT JOIN (SELECT q.role, c.category FROM ranked r JOIN questions q ON q.query_id = r.query_id JOIN chunks c ON c.chunk_id = r.ckey) h ON h.role = p.role
+           GROUP BY p.role""",
+        _CHILD_RANK,
+    ),
+)
+def r11_unexpected(spark, sf):
+    # What the roles would see if searches did not filter.
+    stored = _stored_chunks(spark, sf)
+    hits = search.with_details(_child_hits(spark, sf, stored=stored), stored, _max_hits(spark, sf))
+    roles = table(spark, sf, "questions").select("query_id", "role")
+    return access.seen_categories(hits.join(roles, "query_id"), access.role_policy(spark))
+
+
 @query(
     "r12_precision",
     with_models(

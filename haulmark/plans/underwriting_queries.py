@@ -607,6 +607,30 @@ def u20(spark, sf):
     return uw.portfolio_mix(table(spark, sf, "policies"), table(spark, sf, "insureds"), "primary_commodity")
 
 
+@query(
+    "u20_segment_growth",
+    _sql(
+        """SELECT primary_commodity, year, premium, round((premium - before) * 100 / nullif(before, 0), 4) AS growth_pct,
+                  round(coalesce(incurred, 0) * 100 / nullif(premium, 0), 4) AS loss_ratio,
+                  coalesce((premium - before) * 100 / nullif(before, 0) > (all_premium - all_before) * 100 / nullif(all_before, 0)
+                    AND coalesce(incurred, 0) * 100 / nullif(premium, 0) > coalesce(all_incurred, 0) * 100 / nullif(all_premium, 0), FALSE) AS outgrows_losses
+           FROM grown""",
+        "policies",
+        "loss_runs",
+        "insureds",
+        seg="""SELECT i.primary_commodity, year, CAST(sum(p) AS DOUBLE) AS premium, CAST(sum(l) AS DOUBLE) AS incurred FROM (
+                 SELECT insured_id, policy_year AS year, CAST(written_premium AS DECIMAL(18, 2)) AS p, NULL AS l FROM policies
+                 UNION ALL SELECT insured_id, policy_year, NULL, CAST(total_incurred AS DECIMAL(18, 2)) FROM loss_runs) x LEFT JOIN insureds i ON i.insured_id = x.insured_id
+               GROUP BY ALL""",
+        book="""SELECT year, CAST(sum(CAST(premium AS DECIMAL(28, 2))) AS DOUBLE) AS all_premium, CAST(sum(CAST(incurred AS DECIMAL(28, 2))) AS DOUBLE) AS all_incurred FROM seg GROUP BY year""",
+        grown="""SELECT s.*, b.all_premium, b.all_incurred, s2.premium AS before, b2.all_premium AS all_before FROM seg s JOIN book b ON b.year = s.year
+                 LEFT JOIN seg s2 ON s2.primary_commodity IS NOT DISTINCT FROM s.primary_commodity AND s2.year = s.year - 1 LEFT JOIN book b2 ON b2.year = s.year - 1""",
+    ),
+)
+def u20_growth(spark, sf):
+    return uw.segment_growth(table(spark, sf, "policies"), table(spark, sf, "loss_runs"), table(spark, sf, "insureds"), "primary_commodity")
+
+
 @query(
     "u21_latest_periods",
     _sql(
@@ -680,3 +704,19 @@ def u25(spark, sf):
 )
 def u26(spark, sf):
     return uw.submission_funnel(table(spark, sf, "submissions"))
+
+
+@query(
+    "u26_conversion",
+    _sql(
+        """SELECT broker_name, n_submissions, n_reviewed, n_quoted, n_bound, n_declined, round(100.0e0 * n_quoted / n_submissions, 4) AS quote_pct,
+                  round(100.0e0 * n_bound / nullif(n_quoted, 0), 4) AS bind_pct, round(100.0e0 * n_bound / n_submissions, 4) AS conversion_pct,
+                  round(100.0e0 * n_declined / n_submissions, 4) AS decline_pct
+           FROM (SELECT broker_name, count(*) AS n_submissions, count(*) FILTER (submission_status NOT IN ('Received', 'New')) AS n_reviewed,
+                        count(*) FILTER (submission_status IN ('Quoted', 'Bound', 'Lost')) AS n_quoted, count(*) FILTER (submission_status = 'Bound') AS n_bound,
+                        count(*) FILTER (submission_status = 'Declined') AS n_declined FROM submissions GROUP BY broker_name)""",
+        "submissions",
+    ),
+)
+def u26_conversion(spark, sf):
+    return uw.conversion(table(spark, sf, "submissions"), "broker_name")

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from haulmark.operators import access, underwriting
 from haulmark.operators import questions as qs
 
 NAMES = "insured_id string, company_name string, safety_rating string, csa_unsafe_driving double, csa_hos double, csa_vehicle_maint double, dashcam_coverage_pct double, fleet_size int"
@@ -28,3 +29,21 @@ def test_policies_by_the_ratio_of_their_year(spark):
     policies = spark.createDataFrame([("P1", "I1", 2020, "L"), ("P2", "I1", 2021, "L"), ("P3", None, 2020, "L")], "policy_id string, insured_id string, policy_year int, line_of_business string")
     runs = spark.createDataFrame([("I1", 2020, 120.0), ("I1", 2021, None), (None, 2020, 300.0)], "insured_id string, policy_year int, loss_ratio double")
     assert [r.policy_id for r in qs.policies_above_ratio(policies, runs).collect()] == ["P1"]
+
+
+def test_growth_conversion_and_seen_categories(spark):
+    insureds = spark.createDataFrame([("I1", "Grain"), ("I2", "Steel")], "insured_id string, kind string")
+    policies = spark.createDataFrame([("I1", 2020, 100.0), ("I1", 2021, 300.0), ("I2", 2020, 100.0), ("I2", 2021, 100.0), ("I9", 2021, 50.0)], "insured_id string, policy_year int, written_premium double")
+    runs = spark.createDataFrame([("I1", 2021, 270.0), ("I2", 2021, 10.0), ("I2", 2022, 5.0)], "insured_id string, policy_year int, total_incurred double")
+    rows = {(r.kind, r.year): r for r in underwriting.segment_growth(policies, runs, insureds, "kind").collect()}
+    assert set(rows) == {("Grain", 2020), ("Grain", 2021), ("Steel", 2020), ("Steel", 2021), ("Steel", 2022), (None, 2021)}
+    assert (rows["Grain", 2021].growth_pct, rows["Grain", 2021].loss_ratio, rows["Grain", 2021].outgrows_losses) == (200.0, 90.0, True)
+    assert not rows["Steel", 2021].outgrows_losses and rows["Grain", 2020].growth_pct is None and rows["Steel", 2022].loss_ratio is None
+    subs = spark.createDataFrame([("b", s) for s in ("New", "Quoted", "Bound", "Lost", "Declined", None)] + [(None, "New")], "broker string, submission_status string")
+    got = {r.broker: r for r in underwriting.conversion(subs, "broker").collect()}
+    assert (got["b"].n_submissions, got["b"].n_quoted, got["b"].n_bound, got["b"].bind_pct) == (6, 3, 1, 33.3333)
+    assert got[None].bind_pct is None and got[None].conversion_pct == 0.0
+    policy = spark.createDataFrame([("all", None), ("few", ["a"]), ("idle", ["a"])], "role string, allowed array<string>")
+    hits = spark.createDataFrame([("all", "b"), ("few", "b"), ("few", "a"), ("few", "b")], "role string, category string")
+    seen = {r.role: (r.categories, r.unexpected) for r in access.seen_categories(hits, policy).collect()}
+    assert seen == {"all": (["b"], []), "few": (["a", "b"], ["b"]), "idle": ([], [])}
