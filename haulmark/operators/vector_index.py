@@ -10,7 +10,8 @@ An index is a folder of four tables:
 
 A query looks into the ``probes`` cells whose centres are nearest and gets exact cosines of the
 vectors there, so only candidates can be missed, never misjudged; with as many probes as cells the
-result is the exact one.  Categories that a query may not see are left out before ranking.
+result is the exact one.  The usual number is set when the index is built: as many as searches
+within the sample need to find 95 % of their neighbours.  Categories that a query may not see are left out before ranking.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from haulmark.sources.sizing import broadcast_if_small, fresh_path
 SAMPLE = 20_000
 MAX_CELLS = 1024
 ROUNDS = 10
+RECALL = 0.95
 _HASH = ["h1", "h2"]
 _GROUP = ["category", "cell", "block", "q_block"]
 
@@ -45,6 +47,7 @@ class VectorIndex:
     key_type: str
     vector_type: str
     centres: np.ndarray
+    probes: int
 
     def read(self, name: str) -> DataFrame:
         """A table of the index; the types of folder names are not left to inference."""
@@ -62,16 +65,11 @@ class VectorIndex:
     def cells(self) -> int:
         return len(self.centres)
 
-    @property
-    def probes(self) -> int:
-        """Cells that a query looks into unless told otherwise: a quarter, at least eight."""
-        return min(self.cells, max(8, self.cells // 4))
-
 
 def open_index(spark: SparkSession, path: str, key: str) -> VectorIndex:
     rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
     kinds = dict(spark.read.parquet(f"{path}/vectors").dtypes)
-    return VectorIndex(spark, path, key, kinds[key], kinds["v"], np.array([r.centre for r in rows]).reshape(len(rows), -1))
+    return VectorIndex(spark, path, key, kinds[key], kinds["v"], np.array([r.centre for r in rows]).reshape(len(rows), -1), rows[0].probes if rows else 0)
 
 
 def _fit(vectors: np.ndarray, cells: int) -> np.ndarray:
@@ -91,6 +89,18 @@ def _fit(vectors: np.ndarray, cells: int) -> np.ndarray:
     return centres
 
 
+def _calibrated(vectors: np.ndarray, centres: np.ndarray) -> int:
+    """Probes at which searches for some vectors of the sample find ``RECALL`` of their neighbours."""
+    asking = np.linspace(0, len(vectors) - 1, min(len(vectors), 500)).astype(int)
+    scores = vectors[asking] @ vectors.T
+    scores[np.arange(len(asking)), asking] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, : fv.SEARCH_RESULTS]
+    place = np.argsort(_nearest(centres, vectors[asking], len(centres)), axis=1)
+    cell = _nearest(centres, vectors, 1)[:, 0]
+    needed = np.take_along_axis(place, cell[near], axis=1) + 1
+    return int(np.quantile(needed, RECALL, method="higher"))
+
+
 def _nearest(centres: np.ndarray, vectors: np.ndarray, count: int) -> np.ndarray:
     """The ``count`` nearest cells of every vector, nearest first."""
     order = np.argsort(-np.round(vectors @ centres.T, 9), axis=1, kind="stable")
@@ -130,11 +140,12 @@ def build(
         known = unit_vectors(picked.column("v").combine_chunks())
         count = cells or max(1, min(MAX_CELLS, round(len(known) ** 0.5)))
         centres = _fit(known, min(count, len(known)))
+        probes = _calibrated(known, centres)
     else:
-        centres = np.zeros((0, 1))
+        centres, probes = np.zeros((0, 1)), 0
     path = fresh_path(spark, name)
-    index = VectorIndex(spark, path, key, dict(corpus.dtypes)[key], dict(corpus.dtypes)[vector], centres)
-    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").write.parquet(f"{path}/centres")
+    index = VectorIndex(spark, path, key, dict(corpus.dtypes)[key], dict(corpus.dtypes)[vector], centres, probes)
+    spark.createDataFrame([(i, c.tolist(), probes) for i, c in enumerate(centres)], "cell int, centre array<double>, probes int").write.parquet(f"{path}/centres")
     placed = _with_cells(rows, "v", centres, 1).withColumn("cell", F.col("cells")[0])
     by = ["category", "cell"]
     folded = placed.groupBy(*by, *_HASH).agg(F.first("v").alias("v"), F.min(key).alias(key))
