@@ -11,7 +11,7 @@ An index is a folder of four tables:
 A query looks into the ``probes`` cells whose centres are nearest and gets exact cosines of the
 vectors there, so only candidates can be missed, never misjudged; with as many probes as cells the
 result is the exact one.  The usual number is set when the index is built: as many as searches
-within the sample need to find 95 % of their neighbours.  Categories that a query may not see are left out before ranking.
+within the sample need to find 95 % of their neighbours, and a quarter of the cells at least.  Categories that a query may not see are left out before ranking.
 """
 
 from __future__ import annotations
@@ -140,7 +140,8 @@ def build(
         known = unit_vectors(picked.column("v").combine_chunks())
         count = cells or max(1, min(MAX_CELLS, round(len(known) ** 0.5)))
         centres = _fit(known, min(count, len(known)))
-        probes = _calibrated(known, centres)
+        # Questions may lie apart from what is stored, so never less than a quarter of the cells.
+        probes = min(len(centres), max(8, len(centres) // 4, _calibrated(known, centres)))
     else:
         centres, probes = np.zeros((0, 1)), 0
     path = fresh_path(spark, name)
