@@ -245,6 +245,10 @@ OPERATION_TARGETS = {
 
 # --- fixed values: underwriting ----------------------------------------------
 LARGE_LOSS = 250000
+RESERVE_COMMITTEE_CLAIM = 650000
+# The source names no cargo of high value: a parameter of the referral rules.
+HIGH_VALUE_CARGO = ["Automobiles", "Electronics", "Pharmaceuticals"]
+CSA_SCORES = ["csa_unsafe_driving", "csa_hos", "csa_vehicle_maint", "csa_driver_fitness"]
 REQUIRED_DOCUMENTS = [
     "ACORD 125",
     "Loss runs",

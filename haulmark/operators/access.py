@@ -52,6 +52,16 @@ def seen_categories(hits: DataFrame, policy: DataFrame) -> DataFrame:
     return both.select("role", "categories", unexpected.alias("unexpected"))
 
 
+def rows_of_user(rows: DataFrame, entitlements: DataFrame, user_id: str, column: str = "broker_name") -> DataFrame:
+    """Row filter: the rows a broker user may see, each once, with the columns of ``rows``.
+
+    ``entitlements`` (user_id, ``column``) is read for this user only; a row without a value in
+    ``column`` is seen by nobody, a user without entitlements sees nothing.
+    """
+    own = entitlements.where(F.col("user_id") == user_id).select(column)
+    return rows.join(broadcast_if_small(own), column, "left_semi").select(rows.columns)
+
+
 def entitled_rows(rows: DataFrame, entitlements: DataFrame, column: str = "broker_name") -> DataFrame:
     """Every (user, row) pair a broker user may see; filter on ``user_id`` for one user."""
     return rows.join(entitlements.select("user_id", column).distinct(), column)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -319,29 +320,45 @@ def loss_trend(metrics: DataFrame, segments: DataFrame, segment: str) -> DataFra
 # ---- referral, drivers, renewal ---------------------------------------------
 
 
-def referral_triggers(submissions: DataFrame, insureds: DataFrame, drivers: DataFrame, claims: DataFrame) -> DataFrame:
-    """Seven referral rules per submission with an insured, as codes, and the tier they route to."""
+def referral_triggers(
+    submissions: DataFrame,
+    insureds: DataFrame,
+    drivers: DataFrame,
+    claims: DataFrame,
+    policies: DataFrame,
+    high_value: list[str] | None = None,
+) -> DataFrame:
+    """The referral rules a submission with an insured breaks, as codes, and the tier they route to.
+
+    A CSA score is the worst of the four; cargo is referred as HAZMAT or as of high value.  An
+    insured with an active policy that is not to be renewed goes to the Reserve Committee, also
+    when no rule is broken.  A value that is missing breaks no rule.
+    """
+    high_value = fv.HIGH_VALUE_CARGO if high_value is None else high_value
     driver_share = drivers.groupBy("insured_id").agg(
         (F.count_if(F.col("driver_status") == "Excluded") / F.count(F.lit(1))).alias("_excluded")
     )
     worst_claim = claims.groupBy("insured_id").agg(
         F.max("total_incurred").alias("_max_claim"), F.max("catastrophic_flag").alias("_fatal")
     )
-    account = insureds.select(
-        "insured_id", "csa_unsafe_driving", "csa_hos", "csa_vehicle_maint", "years_in_business"
+    dropped = policies.where("policy_status = 'Active'").groupBy("insured_id").agg(
+        F.bool_or(F.col("renewal_status") == "Non-Renew").alias("_non_renewed")
     )
+    account = insureds.select("insured_id", *fv.CSA_SCORES, "years_in_business")
     both = (
         submissions.join(account, "insured_id")
         .join(driver_share, "insured_id", "left")
         .join(worst_claim, "insured_id", "left")
+        .join(dropped, "insured_id", "left")
     )
     ratio = normalize_ratio(F.col("loss_ratio_3yr"))
-    csa = F.greatest("csa_unsafe_driving", "csa_hos", "csa_vehicle_maint")
+    csa = F.greatest(*fv.CSA_SCORES)
     codes = F.array_compact(
         F.array(
             F.when(ratio > 0.60, F.lit("LOSS_RATIO")),
             F.when(csa > 50, F.lit("CSA_SCORE")),
             F.when(F.col("primary_commodity").contains("Petroleum"), F.lit("HAZMAT")),
+            F.when(F.col("primary_commodity").isin(high_value), F.lit("HIGH_VALUE_CARGO")),
             F.when(F.col("_excluded") > 0.10, F.lit("EXCLUDED_DRIVERS")),
             F.when(F.col("_fatal"), F.lit("FATALITY")),
             F.when(F.col("years_in_business") < 2, F.lit("NEW_VENTURE")),
@@ -349,8 +366,13 @@ def referral_triggers(submissions: DataFrame, insureds: DataFrame, drivers: Data
         )
     )
     tier = (
-        F.when(F.array_contains("triggers", "FATALITY") | (F.col("_max_claim") >= 650000), "Reserve Committee")
-        .when(F.array_contains("triggers", "HAZMAT"), "CCO")
+        F.when(
+            F.array_contains("triggers", "FATALITY")
+            | F.coalesce(F.col("_max_claim") >= fv.RESERVE_COMMITTEE_CLAIM, F.lit(False))
+            | F.coalesce("_non_renewed", F.lit(False)),
+            "Reserve Committee",
+        )
+        .when(F.arrays_overlap("triggers", F.array(F.lit("HAZMAT"), F.lit("HIGH_VALUE_CARGO"))), "CCO")
         .when(F.array_contains("triggers", "LOSS_RATIO") | F.array_contains("triggers", "CSA_SCORE"), "VP UW")
         .when(F.size("triggers") > 0, "Claims Director")
         .otherwise("NONE")
@@ -382,11 +404,16 @@ def worst_driver(flagged: DataFrame) -> DataFrame:
 
 
 def renewal_outcome(policies: DataFrame, loss_runs: DataFrame, claims: DataFrame, referrals: DataFrame) -> DataFrame:
-    """Auto-Renew, Non-Renew or Review Required for every active policy."""
+    """Auto-Renew, Non-Renew or Review Required for every active policy.
+
+    Not renewed: a catastrophic claim, a claim referred for suspected fraud, or a latest loss ratio
+    above 90 %.  Renewed without review: below 50 % and never referred.  A missing ratio is reviewed.
+    """
     last = top_n(loss_runs, ["insured_id"], [F.desc("policy_year")], 1).select(
         "insured_id", F.col("loss_ratio").alias("_ratio")
     )
-    losses = claims.groupBy("insured_id").agg(F.max("catastrophic_flag").alias("_cat"))
+    bad = F.coalesce("catastrophic_flag", F.lit(False)) | F.coalesce("siu_referral", F.lit(False))
+    losses = claims.groupBy("insured_id").agg(F.bool_or(bad).alias("_bad"))
     referred = referrals.groupBy("insured_id").agg(F.count(F.lit(1)).alias("_refs"))
     both = (
         policies.where(F.col("policy_status") == "Active")
@@ -396,7 +423,7 @@ def renewal_outcome(policies: DataFrame, loss_runs: DataFrame, claims: DataFrame
     )
     refs = F.coalesce("_refs", F.lit(0))
     outcome = (
-        F.when(F.coalesce("_cat", F.lit(False)) | (F.col("_ratio") > 90), "Non-Renew")
+        F.when(F.coalesce("_bad", F.lit(False)) | (F.col("_ratio") > 90), "Non-Renew")
         .when((F.col("_ratio") < 50) & (refs == 0), "Auto-Renew")
         .otherwise("Review Required")
     )
@@ -520,37 +547,68 @@ def submission_funnel(submissions: DataFrame) -> DataFrame:
 # ---- pricing and appetite ----------------------------------------------------
 
 
-def premium_indication(
-    accounts: DataFrame,
-    base_rate: float,
-    territory: DataFrame,
-    commodity: DataFrame,
-    expense_load: float,
-) -> DataFrame:
-    """Base x fleet x territory x commodity, plus surcharge, less credits, plus expense.
+@dataclass(frozen=True)
+class Rates:
+    """Rates of an indication, as shares of the manual premium.
 
-    ``territory`` (state_domicile, territory_factor) and ``commodity`` (primary_commodity,
-    commodity_factor) are rate tables; a value that is not listed has factor 1.
+    Every band list holds (bound, share), highest bound first: the first bound that the value is
+    above (``deductible``, ``dashcam``, ``years``: at or above) decides; below all of them it is 0.
+    """
+
+    base: float
+    expense: float
+    loss: tuple[tuple[float, float], ...] = ((90, 0.50), (70, 0.25), (55, 0.10))
+    csa: tuple[tuple[float, float], ...] = ((80, 0.25), (65, 0.20), (50, 0.15))
+    deductible: tuple[tuple[float, float], ...] = ((5000, 0.10),)
+    dashcam: tuple[tuple[float, float], ...] = ((100, 0.10), (50, 0.05))
+    years: tuple[tuple[float, float], ...] = ((20, 0.05),)
+
+
+def _share(value: Column, bands: tuple[tuple[float, float], ...], reached: bool = False) -> Column:
+    cases = [F.when(value >= bound if reached else value > bound, F.lit(float(share))) for bound, share in bands]
+    return F.coalesce(*cases, F.lit(0.0))
+
+
+def rating_accounts(insureds: DataFrame, loss_runs: DataFrame, policies: DataFrame) -> DataFrame:
+    """Insureds with loss_ratio_pct (mean of the last three loss runs) and deductible (the least of
+    the active policies); both are null where there is nothing to take them from."""
+    latest = top_n(multi_year_ratio(loss_runs), ["insured_id"], [F.desc("policy_year")], 1)
+    ratio = latest.select("insured_id", F.col("three_year_ratio").alias("loss_ratio_pct"))
+    chosen = policies.where("policy_status = 'Active'").groupBy("insured_id").agg(F.min("deductible").alias("deductible"))
+    return insureds.join(ratio, "insured_id", "left").join(chosen, "insured_id", "left")
+
+
+def premium_indication(accounts: DataFrame, rates: Rates, territory: DataFrame, commodity: DataFrame) -> DataFrame:
+    """Base x fleet x territory x commodity, plus surcharges for losses and CSA scores, less credits
+    for deductible, cameras and years in business, plus expense.
+
+    ``accounts`` are those of ``rating_accounts``.  ``territory`` (state_domicile, territory_factor)
+    and ``commodity`` (primary_commodity, commodity_factor) are rate tables; a value that is not
+    listed has factor 1, a missing one no surcharge and no credit.
     """
     rated = accounts.join(broadcast_if_small(territory), "state_domicile", "left").join(
         broadcast_if_small(commodity), "primary_commodity", "left"
     )
     manual = (
-        F.lit(base_rate)
+        F.lit(rates.base)
         * F.col("fleet_size")
         * F.coalesce("territory_factor", F.lit(1.0))
         * F.coalesce("commodity_factor", F.lit(1.0))
     )
-    surcharge = F.when(F.col("csa_unsafe_driving") > 50, 0.20).otherwise(0.0)
-    credit = F.when(F.col("dashcam_coverage_pct") >= 100, 0.10).when(
-        F.col("dashcam_coverage_pct") >= 50, 0.05
-    ).otherwise(0.0) + F.when(F.col("years_in_business") >= 20, 0.05).otherwise(0.0)
+    loss = _share(F.col("loss_ratio_pct"), rates.loss)
+    csa = _share(F.greatest(*fv.CSA_SCORES), rates.csa)
+    credit = (
+        _share(F.col("deductible"), rates.deductible, reached=True)
+        + _share(F.col("dashcam_coverage_pct"), rates.dashcam, reached=True)
+        + _share(F.col("years_in_business"), rates.years, reached=True)
+    )
     return rated.select(
         "insured_id",
         F.round(manual, 2).alias("manual_premium"),
-        F.round(manual * surcharge, 2).alias("surcharge"),
+        F.round(manual * loss, 2).alias("loss_surcharge"),
+        F.round(manual * csa, 2).alias("csa_surcharge"),
         F.round(manual * credit, 2).alias("credits"),
-        F.round(manual * (1 + surcharge - credit) + expense_load, 2).alias("indicated_premium"),
+        F.round(manual * (1 + loss + csa - credit) + rates.expense, 2).alias("indicated_premium"),
     )
 
 

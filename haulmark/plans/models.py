@@ -163,6 +163,7 @@ MODELS: dict[str, str] = {
                CAST(CAST(round(abs(c.c_acctbal) * 10) AS BIGINT) % 1000 AS DOUBLE) / 10 AS csa_unsafe_driving,
                CAST(CAST(round(abs(c.c_acctbal) * 7) AS BIGINT) % 1000 AS DOUBLE) / 10 AS csa_hos,
                CAST(CAST(round(abs(c.c_acctbal) * 3) AS BIGINT) % 1000 AS DOUBLE) / 10 AS csa_vehicle_maint,
+               CAST(CAST(round(abs(c.c_acctbal) * 13) AS BIGINT) % 1000 AS DOUBLE) / 10 AS csa_driver_fitness,
                CAST(c.c_custkey * 37 % 101 AS DOUBLE) AS dashcam_coverage_pct,
                CASE WHEN c.c_custkey % 5 = 0 THEN NULL ELSE 'Samsara' END AS telematics_provider,
                CASE c.c_custkey % 6 WHEN 0 THEN 'Non-standard' WHEN 1 THEN 'Decline' WHEN 2 THEN 'Preferred' ELSE 'Acceptable' END AS risk_tier,
@@ -175,6 +176,7 @@ MODELS: dict[str, str] = {
                CASE o_orderstatus WHEN 'O' THEN 'Active' WHEN 'F' THEN 'Expired' ELSE 'Cancelled' END AS policy_status,
                CAST(o_orderdate AS DATE) AS effective_date, CAST(CAST(o_orderdate AS DATE) + INTERVAL '1' YEAR AS DATE) AS expiration_date,
                o_totalprice AS written_premium,
+               CASE o_orderkey % 4 WHEN 0 THEN 1000.0e0 WHEN 1 THEN 2500.0e0 WHEN 2 THEN 5000.0e0 ELSE 10000.0e0 END AS deductible,
                CASE o_orderkey % 5 WHEN 0 THEN 'Non-Renew' WHEN 1 THEN 'Review Required' ELSE 'Auto-Renew' END AS renewal_status,
                CAST(year(o_orderdate) AS INT) AS policy_year
         FROM {orders}""",
@@ -188,7 +190,7 @@ MODELS: dict[str, str] = {
                CASE l_suppkey % 5 WHEN 0 THEN 'Suit Filed' WHEN 1 THEN 'Pre-Suit' WHEN 2 THEN 'Settled' ELSE 'None' END AS litigation_status,
                l_extendedprice AS total_incurred, round(l_extendedprice * l_quantity / 50, 0) AS total_paid,
                l_extendedprice - round(l_extendedprice * l_quantity / 50, 0) AS case_reserves,
-               l_partkey % 97 = 0 AS catastrophic_flag, l_extendedprice >= 80000 AS large_loss_flag,
+               l_partkey % 97 = 0 AS catastrophic_flag, l_partkey % 89 = 0 AS siu_referral, l_extendedprice >= 80000 AS large_loss_flag,
                CAST(year(l_shipdate) AS INT) AS loss_year, CAST(l_linenumber AS INT) AS line_no
         FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey WHERE l_returnflag = 'R'""",
     "loss_runs": """

@@ -217,6 +217,19 @@ def u23(spark, sf):
     return access.entitled_rows(submissions, entitled)
 
 
+@query(
+    "u23_rows_of_user",
+    with_models(
+        """SELECT broker_name, submission_id, submission_status FROM submissions WHERE right(broker_name, 1) = '7'""",
+        "submissions",
+    ),
+)
+def u23_one(spark, sf):
+    submissions = table(spark, sf, "submissions").select("broker_name", "submission_id", "submission_status")
+    user = F.concat(F.lit("user "), F.right("broker_name", F.lit(1))).alias("user_id")
+    return access.rows_of_user(submissions, submissions.select(user, "broker_name").distinct(), "user 7")
+
+
 @query(
     "s10_overwrite_partitions",
     """SELECT doc_id, lang, n_chars FROM documents WHERE lang <> 'en'

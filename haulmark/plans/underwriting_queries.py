@@ -322,13 +322,15 @@ def u09(spark, sf):
 
 
 _TRIGGERS = {
-    "trig": f"""SELECT s.submission_id, s.insured_id, {_RATIO} AS ratio, greatest(i.csa_unsafe_driving, i.csa_hos, i.csa_vehicle_maint) AS csa,
-               s.primary_commodity, d.share, c.fatal, i.years_in_business, c.max_claim
+    "trig": f"""SELECT s.submission_id, s.insured_id, {_RATIO} AS ratio, greatest(i.csa_unsafe_driving, i.csa_hos, i.csa_vehicle_maint, i.csa_driver_fitness) AS csa,
+               s.primary_commodity, d.share, c.fatal, i.years_in_business, c.max_claim, p.dropped
         FROM submissions s JOIN insureds i ON s.insured_id = i.insured_id
         LEFT JOIN (SELECT insured_id, count(*) FILTER (WHERE driver_status = 'Excluded') / count(*) AS share FROM drivers GROUP BY insured_id) d ON d.insured_id = s.insured_id
-        LEFT JOIN (SELECT insured_id, max(total_incurred) AS max_claim, bool_or(catastrophic_flag) AS fatal FROM claims GROUP BY insured_id) c ON c.insured_id = s.insured_id""",
+        LEFT JOIN (SELECT insured_id, max(total_incurred) AS max_claim, bool_or(catastrophic_flag) AS fatal FROM claims GROUP BY insured_id) c ON c.insured_id = s.insured_id
+        LEFT JOIN (SELECT insured_id, bool_or(renewal_status = 'Non-Renew') AS dropped FROM policies WHERE policy_status = 'Active' GROUP BY insured_id) p ON p.insured_id = s.insured_id""",
     "codes": """SELECT *, concat_ws('|', CASE WHEN ratio > 0.60 THEN 'LOSS_RATIO' END, CASE WHEN csa > 50 THEN 'CSA_SCORE' END,
-               CASE WHEN contains(primary_commodity, 'Petroleum') THEN 'HAZMAT' END, CASE WHEN share > 0.10 THEN 'EXCLUDED_DRIVERS' END,
+               CASE WHEN contains(primary_commodity, 'Petroleum') THEN 'HAZMAT' END,
+               CASE WHEN primary_commodity IN ('Automobiles', 'Electronics', 'Pharmaceuticals') THEN 'HIGH_VALUE_CARGO' END, CASE WHEN share > 0.10 THEN 'EXCLUDED_DRIVERS' END,
                CASE WHEN fatal THEN 'FATALITY' END, CASE WHEN years_in_business < 2 THEN 'NEW_VENTURE' END,
                CASE WHEN max_claim > 250000 THEN 'LARGE_CLAIM' END) AS triggers FROM trig""",
 }
@@ -337,18 +339,19 @@ _TRIGGERS = {
 @query(
     "u10_referral_triggers",
     _sql(
-        """SELECT submission_id, insured_id, triggers, CASE WHEN contains(triggers, 'FATALITY') OR max_claim >= 650000 THEN 'Reserve Committee'
-                  WHEN contains(triggers, 'HAZMAT') THEN 'CCO' WHEN contains(triggers, 'LOSS_RATIO') OR contains(triggers, 'CSA_SCORE') THEN 'VP UW'
+        """SELECT submission_id, insured_id, triggers, CASE WHEN contains(triggers, 'FATALITY') OR max_claim >= 650000 OR dropped THEN 'Reserve Committee'
+                  WHEN contains(triggers, 'HAZMAT') OR contains(triggers, 'HIGH_VALUE_CARGO') THEN 'CCO' WHEN contains(triggers, 'LOSS_RATIO') OR contains(triggers, 'CSA_SCORE') THEN 'VP UW'
                   WHEN triggers <> '' THEN 'Claims Director' ELSE 'NONE' END AS tier FROM codes""",
         "submissions",
         "insureds",
         "drivers",
         "claims",
+        "policies",
         **_TRIGGERS,
     ),
 )
 def u10(spark, sf):
-    return uw.referral_triggers(*[table(spark, sf, t) for t in ("submissions", "insureds", "drivers", "claims")])
+    return uw.referral_triggers(*[table(spark, sf, t) for t in ("submissions", "insureds", "drivers", "claims", "policies")])
 
 
 _FLAGGED = {
@@ -394,7 +397,7 @@ def u11_worst(spark, sf):
                   WHEN l.loss_ratio < 50 AND COALESCE(r.n, 0) = 0 THEN 'Auto-Renew' ELSE 'Review Required' END AS outcome
            FROM policies p
            LEFT JOIN (SELECT insured_id, loss_ratio FROM (SELECT *, row_number() OVER (PARTITION BY insured_id ORDER BY policy_year DESC) AS rn FROM loss_runs) WHERE rn = 1) l ON l.insured_id = p.insured_id
-           LEFT JOIN (SELECT insured_id, bool_or(catastrophic_flag) AS cat FROM claims GROUP BY insured_id) c ON c.insured_id = p.insured_id
+           LEFT JOIN (SELECT insured_id, bool_or(COALESCE(catastrophic_flag, FALSE) OR COALESCE(siu_referral, FALSE)) AS cat FROM claims GROUP BY insured_id) c ON c.insured_id = p.insured_id
            LEFT JOIN (SELECT insured_id, count(*) AS n FROM referrals GROUP BY insured_id) r ON r.insured_id = p.insured_id
            WHERE p.policy_status = 'Active'""",
         "policies",
@@ -538,22 +541,31 @@ _values = lambda rows: ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in row
 @query(
     "u17_premium_indication",
     _sql(
-        """SELECT insured_id, round(m, 2) AS manual_premium, round(m * s, 2) AS surcharge, round(m * c, 2) AS credits, round(m * (1 + s - c) + 500.0e0, 2) AS indicated_premium
-           FROM (SELECT insured_id, 7500.0e0 * fleet_size * COALESCE(t.f, 1.0e0) * COALESCE(k.f, 1.0e0) AS m,
-                        CASE WHEN csa_unsafe_driving > 50 THEN 0.20e0 ELSE 0.0e0 END AS s,
-                        CASE WHEN dashcam_coverage_pct >= 100 THEN 0.10e0 WHEN dashcam_coverage_pct >= 50 THEN 0.05e0 ELSE 0.0e0 END + CASE WHEN years_in_business >= 20 THEN 0.05e0 ELSE 0.0e0 END AS c
+        """SELECT insured_id, round(m, 2) AS manual_premium, round(m * l, 2) AS loss_surcharge, round(m * s, 2) AS csa_surcharge, round(m * c, 2) AS credits, round(m * (1 + l + s - c) + 500.0e0, 2) AS indicated_premium
+           FROM (SELECT i.insured_id, 7500.0e0 * fleet_size * COALESCE(t.f, 1.0e0) * COALESCE(k.f, 1.0e0) AS m,
+                        CASE WHEN l.ratio > 90 THEN 0.50e0 WHEN l.ratio > 70 THEN 0.25e0 WHEN l.ratio > 55 THEN 0.10e0 ELSE 0.0e0 END AS l,
+                        CASE WHEN greatest(csa_unsafe_driving, csa_hos, csa_vehicle_maint, csa_driver_fitness) > 80 THEN 0.25e0
+                             WHEN greatest(csa_unsafe_driving, csa_hos, csa_vehicle_maint, csa_driver_fitness) > 65 THEN 0.20e0
+                             WHEN greatest(csa_unsafe_driving, csa_hos, csa_vehicle_maint, csa_driver_fitness) > 50 THEN 0.15e0 ELSE 0.0e0 END AS s,
+                        CASE WHEN p.deductible >= 5000 THEN 0.10e0 ELSE 0.0e0 END + CASE WHEN dashcam_coverage_pct >= 100 THEN 0.10e0 WHEN dashcam_coverage_pct >= 50 THEN 0.05e0 ELSE 0.0e0 END + CASE WHEN years_in_business >= 20 THEN 0.05e0 ELSE 0.0e0 END AS c
                  FROM insureds i LEFT JOIN (VALUES """
         + _values(_TERRITORY)
         + ") AS t(n, f) ON t.n = i.state_domicile LEFT JOIN (VALUES "
         + _values(_COMMODITY)
-        + ") AS k(n, f) ON k.n = i.primary_commodity)",
+        + """) AS k(n, f) ON k.n = i.primary_commodity
+             LEFT JOIN (SELECT insured_id, CAST(sum(CAST(loss_ratio AS DECIMAL(18, 4))) AS DOUBLE) / count(loss_ratio) AS ratio
+                        FROM (SELECT *, row_number() OVER (PARTITION BY insured_id ORDER BY policy_year DESC) AS rn FROM loss_runs) WHERE rn <= 3 GROUP BY insured_id) l ON l.insured_id = i.insured_id
+             LEFT JOIN (SELECT insured_id, min(deductible) AS deductible FROM policies WHERE policy_status = 'Active' GROUP BY insured_id) p ON p.insured_id = i.insured_id)""",
         "insureds",
+        "loss_runs",
+        "policies",
     ),
 )
 def u17(spark, sf):
     territory = spark.createDataFrame(_TERRITORY, "state_domicile string, territory_factor double")
     commodity = spark.createDataFrame(_COMMODITY, "primary_commodity string, commodity_factor double")
-    return uw.premium_indication(table(spark, sf, "insureds"), 7500.0, territory, commodity, 500.0)
+    accounts = uw.rating_accounts(*[table(spark, sf, t) for t in ("insureds", "loss_runs", "policies")])
+    return uw.premium_indication(accounts, uw.Rates(base=7500.0, expense=500.0), territory, commodity)
 
 
 _REQUIRED = "[" + ", ".join(f"'{d}'" for d in fv.REQUIRED_DOCUMENTS) + "]"
