@@ -118,6 +118,20 @@ def run_hash(items: np.ndarray, width: int) -> np.ndarray:
     return mix(value)
 
 
+class RunHashes:
+    """Hashes of runs of neighbouring items at chosen places, from one running sum."""
+
+    def __init__(self, items: np.ndarray):
+        up, self.down = _power_tables(len(items))
+        self.total = np.zeros(len(items) + 1, dtype=np.uint64)
+        np.cumsum(items * up[: len(items)], out=self.total[1:])
+
+    def of(self, starts: np.ndarray, width: int) -> np.ndarray:
+        """Hash of ``width`` items from every start; runs that end past the last item are cut."""
+        ends = np.minimum(starts + width, len(self.total) - 1)
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts])
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, TextSlice]]:
     """First row, row after the last, and texts of every slice of a string column."""
     if isinstance(column, pa.ChunkedArray):
