@@ -9,9 +9,9 @@ suffix of the interval, which is all that deletion has to know of the order: whi
 a prefix, and which of them comes first.  A suffix that is alone in its interval is in none of the
 deeper ones and drops out, so levels shrink and end with the longest repeated run.
 
-Every line that lies in a run of at least ``min_lines`` lines of which an earlier copy exists is
-deleted; ``repeated_runs`` also gives the maximal runs, with the exact length of the common prefix
-of a run and its source, found by going down the levels.
+The longest common prefixes reveal the maximal runs of at least ``min_lines`` lines of which an
+earlier copy exists, and all lines of these are deleted.  A run of one line is deleted, too, where
+the line has at least ``long_line`` words; shorter lines stay when they are repeated alone.
 
 The order is that of doc_id (null first), then of the text's key, then of lines; runs end with
 their text.  Everything is DataFrame functions; names are counted and joined and never gathered,
@@ -30,14 +30,18 @@ from haulmark.llm.tables import keep, text_key
 from haulmark.sources.sizing import broadcast_if_small
 
 MIN_LINES = 2
+LONG_LINE = 50
 _HAS_WORD = r"[^\x20\x09-\x0D]"
+_WORD = _HAS_WORD + "+"
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, start (place of the first line) and lines (number in the text, id) of
-    every different document; places follow the order of documents without gaps."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("id"), x.rlike(_HAS_WORD).alias("word")))
-    held = F.transform(F.filter(lines, lambda x: x["word"]), lambda x: F.struct(x["i"].alias("i"), x["id"].alias("id")))
+def line_table(docs: DataFrame, long_line: int = LONG_LINE) -> DataFrame:
+    """doc_id, text_key, start (place of the first line) and lines (number in the text, id, whether
+    it has ``long_line`` words) of every different document; places follow the order of documents
+    without gaps."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("id"), F.regexp_count(x, F.lit(_WORD)).alias("words")))
+    kept = lambda x: F.struct(x["i"].alias("i"), x["id"].alias("id"), (x["words"] >= long_line).alias("long"))
+    held = F.transform(F.filter(lines, lambda x: x["words"] > 0), kept)
     given = docs.where("text IS NOT NULL").select("doc_id", text_key().alias("text_key"), held.alias("lines"))
     unique = keep(given, "lines").groupBy("doc_id", "text_key").agg(F.first("lines").alias("lines"))
     ordered = unique.repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
@@ -56,14 +60,24 @@ def _named(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(groups, by).select("pos", "left", "doc", F.col("first").alias("name"))
 
 
+def _positions(table: DataFrame) -> DataFrame:
+    """pos, left (lines to the end of the text), doc, id and long of all lines."""
+    at = table.select("start", "n", F.posexplode("lines").alias("i", "line"))
+    return at.select(
+        (F.col("start") + F.col("i")).alias("pos"), (F.col("n") - F.col("i")).alias("left"), F.col("start").alias("doc"), "line.id", "line.long"
+    )
+
+
+def long_copies(table: DataFrame) -> DataFrame:
+    """pos, doc, source and length of the long lines of which an earlier copy exists."""
+    named = _named(_positions(table).where("long"), ["id"]).where("name < pos")
+    return named.select("pos", "doc", F.col("name").alias("source"), F.lit(1).cast("long").alias("length"))
+
+
 def doubling_levels(table: DataFrame) -> list[DataFrame]:
     """For k = 0, 1, ...: pos, left (lines to the end of the text), doc (its first place) and name
     of all suffixes whose first 2**k lines occur elsewhere, too."""
-    at = table.select("start", "n", F.posexplode("lines").alias("i", "line"))
-    positions = at.select(
-        (F.col("start") + F.col("i")).alias("pos"), (F.col("n") - F.col("i")).alias("left"), F.col("start").alias("doc"), F.col("line.id").alias("id")
-    )
-    levels = [keep(_named(positions, ["id"]), "level")]
+    levels = [keep(_named(_positions(table), ["id"]), "level")]
     while not levels[-1].isEmpty():
         step = 1 << (len(levels) - 1)
         level = levels[-1]
@@ -93,40 +107,50 @@ def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame | None:
 
 
 def repeated_runs(levels: list[DataFrame], min_lines: int = MIN_LINES) -> DataFrame | None:
-    """pos, source and length of runs that go on a copy of the run at ``source``.
+    """pos, doc, source and length of the maximal runs of which an earlier copy lies at ``source``.
 
-    A run begins where the line before it doesn't continue the same copy.  The source is the first
-    member of the deepest interval that has an earlier member; the length is exact.
+    A run begins where the line before it doesn't continue the same copy, so no run holds a later
+    copy that is in none of them.  The source is the first member of the deepest interval that has
+    an earlier member (of ``min_lines`` lines where no deeper one has); the length is the exact
+    common prefix of the two, found by going down the levels.  A name that lies in the next text
+    doesn't lengthen a run.
     """
     later = later_copies(levels, min_lines)
     if later is None:
         return None
     before = later.select((F.col("pos") + 1).alias("pos"), (F.col("name") + 1).alias("continued"))
-    begins = keep(later.join(before, "pos", "left").where("continued IS NULL OR continued <> name").select("pos"), "begins")
-    runs = begins.select("pos", F.lit(None).cast("long").alias("source"), F.lit(0).cast("long").alias("length"))
+    # Single lines next to each other may lie in two texts: each begins a run.
+    new = F.lit(min_lines == 1) | F.col("continued").isNull() | (F.col("continued") != F.col("name"))
+    begins = keep(later.join(before, "pos", "left").where(new).select("pos", "doc", F.col("name").alias("first")), "begins")
+    runs = begins.select("pos", "doc", "first", F.lit(None).cast("long").alias("source"), F.lit(0).cast("long").alias("length"))
     for k in reversed(range(len(levels))):
-        names = levels[k].select(F.col("pos").alias("at"), "name")
-        other = names.select(F.col("at").alias("at2"), F.col("name").alias("name2"))
+        if k == min_lines.bit_length() - 1:
+            length = F.when(F.col("source").isNull(), F.lit(min_lines).cast("long")).otherwise(F.col("length"))
+            runs = runs.withColumns({"length": length, "source": F.coalesce("source", "first")})
+        names = levels[k].select(F.col("pos").alias("at"), F.col("doc").alias("doc_at"), "name")
+        other = names.select(F.col("at").alias("at2"), F.col("doc_at").alias("doc_at2"), F.col("name").alias("name2"))
         known = runs.withColumn("at", F.col("pos") + F.col("length")).withColumn("at2", F.col("source") + F.col("length"))
         met = known.join(names, "at", "left").join(other, "at2", "left")
         opened = F.col("source").isNull() & (F.col("name") < F.col("pos"))
-        longer = opened | (F.col("name") == F.col("name2"))
+        goes_on = (F.col("name") == F.col("name2")) & (F.col("doc_at") == F.col("doc")) & (F.col("doc_at2") <= F.col("source"))
         runs = met.select(
             "pos",
+            "doc",
+            "first",
             F.when(opened, F.col("name")).otherwise(F.col("source")).alias("source"),
-            (F.col("length") + F.when(longer, 1 << k).otherwise(0)).alias("length"),
+            (F.col("length") + F.when(opened | goes_on, 1 << k).otherwise(0)).alias("length"),
         )
         runs = keep(runs, "runs")
-    return runs
+    return runs.select("pos", "doc", "source", "length")
 
 
-def deleted_lines(table: DataFrame, later: DataFrame, min_lines: int) -> DataFrame:
+def deleted_lines(table: DataFrame, runs: DataFrame) -> DataFrame:
     """doc_id, text_key and spans (first and last line number in the text) of what is deleted."""
-    order = Window.partitionBy("doc").orderBy("pos")
-    gap = F.coalesce(F.col("pos") - F.lag("pos").over(order) > min_lines, F.lit(True))
-    islands = later.select("doc", "pos", F.when(gap, F.col("pos")).alias("begin"))
+    order = Window.partitionBy("doc").orderBy("pos", "length")
+    reach = F.max(F.col("pos") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = runs.select("doc", "pos", "length", F.when(reach.isNull() | (F.col("pos") > reach), F.col("pos")).alias("begin"))
     islands = islands.withColumn("begin", F.last("begin", ignorenulls=True).over(order))
-    spans = islands.groupBy("doc", "begin").agg((F.max("pos") + min_lines - 1).alias("end"))
+    spans = islands.groupBy("doc", "begin").agg((F.max(F.col("pos") + F.col("length")) - 1).alias("end"))
     by_doc = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     # A text without lines begins where the next one does.
     found = table.where("n > 0").join(by_doc, F.col("start") == F.col("doc"))
@@ -134,14 +158,14 @@ def deleted_lines(table: DataFrame, later: DataFrame, min_lines: int) -> DataFra
     return found.select("doc_id", "text_key", F.transform("spans", lambda s: F.struct(number(s["begin"]).alias("first"), number(s["end"]).alias("last"))).alias("spans"))
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
     """The rows of ``docs`` with all columns, ``text`` without later copies of runs of lines."""
-    return _applied(docs, min_lines).select(*[F.col("new").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return _applied(docs, min_lines, long_line).select(*[F.col("new").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def line_counts(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_counts(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
     """doc_id, n_lines, n_deleted and text (what is left) of every row."""
-    return _applied(docs, min_lines).select(
+    return _applied(docs, min_lines, long_line).select(
         F.col("row.doc_id").alias("doc_id"),
         F.coalesce(F.size(F.split("row.text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce("n_deleted", F.lit(0)).cast("long").alias("n_deleted"),
@@ -149,14 +173,14 @@ def line_counts(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
 
 
-def _applied(docs: DataFrame, min_lines: int) -> DataFrame:
+def _applied(docs: DataFrame, min_lines: int, long_line: int) -> DataFrame:
     """row (all columns), new (text that is left) and n_deleted."""
-    table = keep(line_table(docs), "line-table")
-    later = later_copies(doubling_levels(table), min_lines)
+    table = keep(line_table(docs, long_line), "line-table")
+    runs = repeated_runs(doubling_levels(table), min_lines)
+    single = long_copies(table)
+    runs = single if runs is None else runs.unionByName(single)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    if later is None:
-        return rows.select("row", F.col("row.text").alias("new"), F.lit(0).alias("n_deleted"))
-    spans = keep(deleted_lines(table, later, min_lines), "spans")
+    spans = keep(deleted_lines(table, runs), "spans")
     rows = rows.withColumn("key", text_key("row.text")).alias("r")
     joined = rows.join(broadcast_if_small(spans.alias("s")), F.expr("r.row.doc_id <=> s.doc_id AND r.key = s.text_key"), "left").select("row", "spans")
     # The generator keeps the split from being planned into the function over the spans.

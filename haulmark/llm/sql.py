@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haulmark.llm import chat_format, source_mixing
+from haulmark.llm import chat_format, line_dedup, source_mixing
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,7 +74,10 @@ ranked AS (
   WHERE following IS NOT NULL),
 gone AS (
   SELECT DISTINCT h.doc_id, h.i FROM held h
-  JOIN ranked r ON r.doc_id = h.doc_id AND r.copy > 1 AND h.p IN (r.p, r.p + 1)),
+  JOIN ranked r ON r.doc_id = h.doc_id AND r.copy > 1 AND h.p IN (r.p, r.p + 1)
+  UNION
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS copy FROM held
+    WHERE len(regexp_extract_all(line, '{_WORD}')) >= {line_dedup.LONG_LINE}) WHERE copy > 1),
 kept AS (
   SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.i) AS text FROM spread s ANTI JOIN gone g
   ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id),

@@ -126,7 +126,7 @@ def test_blocks_return_fewer_links_than_members(spark):
     assert 0 < between < blocks * 200
 
 
-def plain_line_dedup(rows):
+def plain_line_dedup(rows, long_line=line_dedup.LONG_LINE):
     seen, result = set(), {}
     for i, t in sorted({(i, t) for i, t, _ in rows if t is not None}, key=lambda r: (r[0], key(r[1]))):
         lines = t.split("\n")
@@ -137,6 +137,11 @@ def plain_line_dedup(rows):
             if pair in seen:
                 gone |= {p, p + 1}
             seen.add(pair)
+        for p, k in enumerate(held):
+            if len(WORD.findall(lines[k])) >= long_line:
+                if lines[k] in seen:
+                    gone.add(p)
+                seen.add(lines[k])
         cut = {held[p] for p in gone}
         for p in gone:
             if p + 1 in gone:
