@@ -88,7 +88,8 @@ def claims_on_terms(claims: DataFrame, policies: DataFrame) -> DataFrame:
     """
     terms = policies.select("policy_id", "insured_id", "effective_date", "expiration_date")
     covers = (F.col("loss_date") >= F.col("effective_date")) & (F.col("loss_date") < F.col("expiration_date"))
-    own = terms.select(F.col("policy_id").alias("_own"), "effective_date", "expiration_date")
+    # Sizes are guessed from the files, without the rows that months add: no broadcast of either.
+    own = terms.select(F.col("policy_id").alias("_own"), "effective_date", "expiration_date").hint("merge")
     matched = claims.join(own, F.col("policy_id") == F.col("_own"), "left")
     matched = matched.withColumn("_own", F.when(covers, F.col("_own"))).drop("effective_date", "expiration_date")
 
@@ -96,7 +97,7 @@ def claims_on_terms(claims: DataFrame, policies: DataFrame) -> DataFrame:
     laid = terms.where("expiration_date > effective_date").withColumn("_month", F.explode(months))
     other = laid.select(F.col("policy_id").alias("_term"), F.col("insured_id").alias("_insured"), "effective_date", "expiration_date", "_month")
     asked = matched.where("_own IS NULL").select("claim_id", "insured_id", "loss_date", F.trunc("loss_date", "month").alias("_at"))
-    met = asked.join(other, (F.col("insured_id") == F.col("_insured")) & (F.col("_at") == F.col("_month")) & covers)
+    met = asked.join(other.hint("merge"), (F.col("insured_id") == F.col("_insured")) & (F.col("_at") == F.col("_month")) & covers)
     latest = met.groupBy("claim_id").agg(F.max(F.struct("effective_date", "_term"))["_term"].alias("_other"))
     found = join_same(matched, latest, ["claim_id"], "left")
     return found.select(*claims.columns, F.coalesce("_own", "_other").alias("term_policy_id"))

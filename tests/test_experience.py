@@ -72,3 +72,11 @@ def test_claims_meet_the_term_in_force(frames):
     assert sum(r.num_claims for r in terms) == len(claims)
     assert {r.policy_id for r in terms} - {None} == {x[0] for x in policies}
     assert any(r.policy_id is None and r.insured_id for r in terms)
+
+
+def test_terms_laid_out_by_months_are_not_broadcast(frames):
+    # The guessed size of the laid out terms does not count the rows that months add.
+    _, _, p, c = frames
+    plan = experience.claims_on_terms(c, p)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "_month" in line and "Join" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
