@@ -103,3 +103,10 @@ def test_no_pair_join_and_linear_rows(spark):
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     # Ten times the accounts in equally many profiles: the lists that profiles meet stay as long.
     assert accounts.similar(accounts.account_probes(cohorts), cohorts).select(F.countDistinct("similar_id")).first()[0] <= 97 * 11
+
+
+def test_exploded_lists_and_ranges_are_not_broadcast(spark):
+    cohorts = spark.createDataFrame(book(1, 30), SCHEMA)
+    plan = accounts.similar(accounts.account_probes(cohorts), cohorts)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "_node" in line and "Join" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
