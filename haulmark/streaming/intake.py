@@ -12,10 +12,11 @@ PREFIXES = 64
 MAX_FILE_BYTES = 250 * 1000 * 1000
 
 
-def table_stream(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
-    """Parquet files of one table as a stream."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Parquet files of one table as a stream; the table is one file or a folder of files."""
+    # A stream takes a single file only by a pattern; braces around the name match just the name.
+    path = f"{folder.rstrip('/')}/{{{name}}}"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

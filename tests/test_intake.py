@@ -1,5 +1,7 @@
 """Exactly-once intake by key, and files over several deliveries."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,13 @@ def test_deliveries_are_read_once_and_large_files_listed(spark, tmp_path, place)
     (folder / "c.txt").write_text("ten chars.")
     (folder / "other.bin").write_text("no")
     assert run("second") == [*first, ("c.txt", 10, b"ten chars.", False, "second")]
+
+
+def test_a_table_streams_from_one_file_or_from_a_folder_of_files(spark, tmp_path):
+    spark.range(20).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    shutil.copy(next((tmp_path / "many.parquet").glob("part-*")), tmp_path / "one.parquet")
+    one = spark.read.parquet(str(tmp_path / "one.parquet")).count()
+    for name, rows in (("many", 20), ("one", one)):
+        out = str(tmp_path / f"out-{name}")
+        intake.run_available(intake.table_stream(spark, str(tmp_path), f"{name}.parquet"), out, f"{out}-checkpoint")
+        assert spark.read.parquet(out).count() == rows
