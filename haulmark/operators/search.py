@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulmark import fixed_values as fv
+from haulmark.functions.arrays import tally
 from haulmark.functions.ranking import top_n
 from haulmark.functions.text import terms
 from haulmark.sources.sizing import BROADCAST_ROWS, fresh_path, within
@@ -49,12 +50,19 @@ def index_stats(index: DataFrame) -> DataFrame:
 
 def postings(index: DataFrame, key: str = "chunk_id", *carry: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """Term frequencies per chunk, of the terms in ``vocabulary`` when one is given."""
-    tokens = index.select(key, *carry, "n_terms", F.explode_outer("terms").alias("term")).where(
-        F.col("term").isNotNull()
-    )
-    if vocabulary is not None:
-        tokens = tokens.join(vocabulary, "term", "left_semi")
-    return tokens.groupBy(key, *carry, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = tallied(index, key, *carry, "n_terms")
+    return found.join(vocabulary, "term", "left_semi") if vocabulary is not None else found
+
+
+def tallied(index: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, term and tf of rows with ``terms``; rows with the same keys count as one.
+
+    Terms are counted inside a row, so what is grouped are texts, not a row for every word.
+    """
+    held = index.groupBy(*keys).agg(F.flatten(F.collect_list("terms")).alias("_terms"))
+    # The outer generator is not pushed into the scan; rows without terms go afterwards.
+    spread = held.select(*keys, F.explode_outer(tally(F.col("_terms"), "term", "tf")).alias("_t"))
+    return spread.where("_t.term IS NOT NULL").select(*keys, "_t.term", "_t.tf")
 
 
 def query_terms(queries: DataFrame, question: str = "question", *carry: str) -> DataFrame:
