@@ -16,19 +16,28 @@ new index of one segment.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haulmark import fixed_values as fv
 from haulmark.functions.ranking import top_n
 from haulmark.functions.text import terms
-from haulmark.operators.search import QUERY_TERM_ROWS, SALTS, query_terms
+from haulmark.operators.search import QUERY_TERM_ROWS, SALTS, query_terms, tallied
 from haulmark.sources.sizing import broadcast_if_small, fresh_path, within
 
 PARTS = 32
 
+# Scores and hits that a task of a search holds at a time.
+_CELLS = 1 << 21
+_HITS = 1 << 20
+
 
 @dataclass(frozen=True)
 class Postings:
@@ -61,16 +70,16 @@ class Postings:
         return F.pmod(F.xxhash64(term), F.lit(self.parts)).cast("int")
 
 
-def _words(chunks: DataFrame, key: str, text: str, category: str | None) -> DataFrame:
+def _words(chunks: DataFrame, key: str, text: str, category: str | None, placed: bool = False) -> DataFrame:
+    """key, category, terms and n_terms; ``placed`` by key, for which the texts travel, not their terms."""
     label = F.coalesce(F.col(category), F.lit("")) if category else F.lit("")
-    found = F.coalesce(terms(F.col(text)), F.array().cast("array<string>"))
-    return chunks.select(key, label.alias("category"), found.alias("terms")).withColumn("n_terms", F.size("terms"))
+    rows = chunks.select(key, label.alias("category"), F.col(text).alias("_text"))
+    found = F.coalesce(terms(F.col("_text")), F.array().cast("array<string>"))
+    return (rows.repartition(key) if placed else rows).select(key, "category", found.alias("terms")).withColumn("n_terms", F.size("terms"))
 
 
 def _counts(words: DataFrame, key: str) -> DataFrame:
-    # The outer generator is not pushed into the scan; chunks without terms go afterwards.
-    spread = words.select(key, "category", "n_terms", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
-    return spread.groupBy(key, "category", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tallied(words, key, "category", "n_terms").select(key, "category", "n_terms", "term", "tf")
 
 
 def _append(df: DataFrame, path: str, *by: str) -> None:
@@ -78,13 +87,13 @@ def _append(df: DataFrame, path: str, *by: str) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def _add_segment(index: Postings, segment: int, added: DataFrame, removed: DataFrame | None) -> None:
-    """Write one segment from the words of added and of removed chunks."""
+def _add_segment(index: Postings, segment: int, placed: DataFrame, added: DataFrame, removed: DataFrame | None) -> None:
+    """Write one segment from the words of added (also ``placed`` by key) and of removed chunks."""
     number = F.lit(segment).cast("long")
-    posted = _counts(added, index.key).withColumn("part", index.part_of(F.col("term"))).withColumn("segment", number)
+    posted = _counts(placed, index.key).withColumn("part", index.part_of(F.col("term"))).withColumn("segment", number)
     # Rebalancing splits a large part over several files and puts small ones together.
-    placed = posted.hint("rebalance", "category", "part").sortWithinPartitions("category", "part", "term")
-    _append(placed, f"{index.path}/postings", "category", "part")
+    dealt = posted.hint("rebalance", "category", "part").sortWithinPartitions("category", "part", "term")
+    _append(dealt, f"{index.path}/postings", "category", "part")
     signed = added.withColumn("sign", F.lit(1).cast("long"))
     if removed is not None:
         signed = signed.unionByName(removed.withColumn("sign", F.lit(-1).cast("long")))
@@ -110,7 +119,7 @@ def build(
     words = _words(chunks, key, text, category)
     # Nothing is deleted yet; the empty table gives the folder its columns.
     _append(words.select(key, F.lit(0).cast("long").alias("segment")).limit(0), f"{index.path}/gone")
-    _add_segment(index, 0, words, None)
+    _add_segment(index, 0, _words(chunks, key, text, category, placed=True), words, None)
     return index
 
 
@@ -120,7 +129,8 @@ def refresh(index: Postings, removed: DataFrame, added: DataFrame, text: str = "
     An updated chunk is in both.  The frames are the deletes and adds of a change feed.
     """
     segment = index.segments()[-1] + 1
-    _add_segment(index, segment, _words(added, index.key, text, category), _words(removed, index.key, text, category))
+    known = (index.key, text, category)
+    _add_segment(index, segment, _words(added, *known, placed=True), _words(added, *known), _words(removed, *known))
     return index
 
 
@@ -205,18 +215,111 @@ def search(
     weighted = wanted.join(hint(known) if small else known, "term").select("query_id", *carry, "term", idf.alias("idf"))
 
     seen = _visible(queries, allowed) if allowed else None
-    found = live_postings(index, read if seen is None else read & seen).join(vocabulary, "term", "left_semi")
-    on = ["term"]
+    live = live_postings(index, read if seen is None else read & seen)
+    tf = F.col("tf").cast("double")
+    share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_terms") / mean))
     if small:
-        found = found.repartition(index.key)
+        scored = _scored_in_tasks(live.withColumn("share", share), weighted, index.key, n, allowed)
     else:
         weighted = weighted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = found.withColumn("_salt", F.pmod(F.xxhash64(index.key), F.lit(SALTS)).cast("int"))
-        on.append("_salt")
-    hits = found.join(hint(weighted), on)
-    if allowed:
-        hits = hits.where(F.col(allowed).isNull() | F.array_contains(allowed, F.col("category")))
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_terms") / mean))
-    scored = hits.groupBy("query_id", index.key).agg(F.round(F.sum(part), 4).alias("score"))
+        found = live.join(vocabulary, "term", "left_semi").withColumn("_salt", F.pmod(F.xxhash64(index.key), F.lit(SALTS)).cast("int"))
+        hits = found.join(weighted, ["term", "_salt"])
+        if allowed:
+            hits = hits.where(F.col(allowed).isNull() | F.array_contains(allowed, F.col("category")))
+        scored = hits.groupBy("query_id", index.key).agg(F.round(F.sum(F.col("idf") * share), 4).alias("score"))
     return top_n(scored, ["query_id"], [F.desc("score"), F.asc(index.key)], n)
+
+
+def _scored_in_tasks(found: DataFrame, weighted: DataFrame, key: str, n: int, allowed: str | None) -> DataFrame:
+    """query_id, key and score of the chunks that can be among the best ``n`` of a question.
+
+    ``weighted`` has a counted, small number of rows.  Postings are sorted by key, so a task sums
+    the scores of some chunks at a time for all questions, and only passes on those that ``n``
+    chunks with smaller keys don't equal or beat: pairs of chunks and questions are never rows.
+    """
+    spark = found.sparkSession
+    rows = weighted.orderBy("term").collect()
+    vocabulary = sorted({r.term for r in rows})
+    number = {term: i for i, term in enumerate(vocabulary)}
+    questions = {q: i for i, q in enumerate(dict.fromkeys(r.query_id for r in rows))}
+    policies = {p: i for i, p in enumerate(dict.fromkeys(_policy(r, allowed) for r in rows))}
+    term_of = np.array([number[r.term] for r in rows], np.int64)
+    starts = np.searchsorted(term_of, np.arange(len(vocabulary) + 1))
+    question_of = np.array([questions[r.query_id] for r in rows], np.int64)
+    idf = np.array([r.idf for r in rows], np.float64)
+    policy_of = np.array([policies[_policy(r, allowed)] for r in rows], np.int64)
+    n_questions, seen = len(questions), list(policies)
+    masked = any(p is not None for p in seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((n_questions, n), -np.inf)
+
+        def emitted(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = part.column("key").combine_chunks()
+            first = np.flatnonzero(_changes(keys))
+            chunk = np.cumsum(_changes(keys)) - 1
+            term = part.column("term_no").to_numpy()
+            share = part.column("share").to_numpy()
+            labels = part.column("category").combine_chunks().dictionary_encode() if masked else None
+            if masked:
+                sees = np.array([[p is None or c in p for p in seen] for c in labels.dictionary.to_pylist()], bool)
+                label = labels.indices.to_numpy()
+            # Some chunks at a time, so that neither the scores nor the hits take much memory.
+            hits = np.concatenate([[0], np.cumsum(starts[term + 1] - starts[term])])
+            ends, begin = np.append(first, len(term)), 0
+            while begin < len(first):
+                room = np.searchsorted(hits[ends], hits[ends[begin]] + _HITS, side="right") - 1
+                end = max(begin + 1, min(int(room), begin + max(1, _CELLS // max(1, n_questions)), len(first)))
+                rows = slice(ends[begin], ends[end])
+                sizes = starts[term[rows] + 1] - starts[term[rows]]
+                posting = np.repeat(np.arange(rows.start, rows.stop), sizes)
+                place = np.arange(len(posting)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[term[posting]]
+                if masked:
+                    kept = sees[label[posting], policy_of[place]]
+                    posting, place = posting[kept], place[kept]
+                cell = question_of[place] * (end - begin) + chunk[posting] - begin
+                score = np.bincount(cell, idf[place] * share[posting], n_questions * (end - begin)).reshape(n_questions, -1)
+                hit = score > 0
+                score = np.floor(score * 1e4 + 0.5) / 1e4
+                q, c = np.nonzero(hit & (score > best[:, -1:]))
+                value = score[q, c]
+                order = np.lexsort((c, -value, q))
+                q, c, value = q[order], c[order], value[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                q, c, value = q[rank < n], c[rank < n], value[rank < n]
+                for asked in np.unique(q):
+                    best[asked] = -np.sort(-np.concatenate([best[asked], value[q == asked]]))[:n]
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array(q), keys.take(pa.array(first[begin + c])), pa.array(value)], names=["_q", key, "score"])
+                begin = end
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            # The last chunk of a batch may go on in the next one.
+            last = int(np.flatnonzero(_changes(table.column("key").combine_chunks()))[-1]) if table.num_rows else 0
+            held = table.slice(last)
+            if last:
+                yield from emitted(table.slice(0, last))
+        if held is not None and held.num_rows:
+            yield from emitted(held)
+
+    numbers = spark.createDataFrame(list(number.items()), "term string, term_no long")
+    carry = ["category"] if masked else []
+    met = found.join(F.broadcast(numbers), "term").select(F.col(key).alias("key"), *carry, "term_no", "share")
+    scored = met.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"_q long, `{key}` {dict(found.dtypes)[key]}, score double")
+    schema = T.StructType([T.StructField("_q", T.LongType()), weighted.schema["query_id"]])
+    named = spark.createDataFrame([(i, q) for q, i in questions.items()], schema)
+    return scored.join(F.broadcast(named), "_q").drop("_q")
+
+
+def _policy(row: Row, allowed: str | None) -> frozenset[str] | None:
+    return frozenset(row[allowed]) if allowed and row[allowed] is not None else None
+
+
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; null equals null."""
+    a, b = keys[1:], keys[:-1]
+    same = pc.if_else(pc.and_(a.is_null(), b.is_null()), True, pc.fill_null(pc.equal(a, b), False))
+    return np.concatenate([[True], ~same.to_numpy(zero_copy_only=False).astype(bool)]) if len(keys) else np.zeros(0, bool)

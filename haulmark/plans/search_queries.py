@@ -27,7 +27,7 @@ def _max_hits(spark, sf, n=N):
 
 def child_index(spark, sf, by_role=False, stored=None):
     """Keyword index of all child chunks."""
-    source = chunks(spark, sf) if stored is None else stored
+    source = _stored_chunks(spark, sf) if stored is None else stored
     corpus = source.where("chunk_type = 'child'").select("chunk_id", "chunk_text", "category")
     return postings.build(corpus, category="category" if by_role else None)
 

@@ -111,3 +111,27 @@ def test_empty_index(spark, asked):
     postings.refresh(index, empty, spark.createDataFrame([("a", "word1 word2", "x")], CHUNK))
     assert {r[1] for r in found(postings.search(index, asked, 3))} <= {"a"}
     assert postings.sizes(index) == (1, 2)
+
+
+def test_pairs_of_chunks_and_questions_are_never_rows(spark, monkeypatch):
+    """Ties, copies, keys that repeat or are null: the same as the join of postings and questions."""
+    rows = chunks_of(7, range(300)) + [(f"t{i:03d}", "word1 word2 tie", "a") for i in range(60)]
+    rows += [(None, "word3 word1", "a"), (None, "word3 none", "b"), *chunks_of(8, range(20))]
+    index = postings.build(spark.createDataFrame(rows, CHUNK), category="category", parts=4)
+    asked = questions(spark, [(1, "word1 word2 tie", None), (1, "word2", ["b"]), (2, "word3 word5", ["a"]), (None, "word1 word9 word3", ["a", "b"]), (4, "absent", None)])
+    ranked = lambda **how: sorted(map(repr, postings.search(index, asked, 8, **how).select("query_id", "chunk_id", "score", "rank").collect()))
+    monkeypatch.setattr(postings, "_CELLS", 5)
+    monkeypatch.setattr(postings, "_HITS", 7)
+    for allowed in (None, "allowed"):
+        assert ranked(allowed=allowed) == ranked(allowed=allowed, query_term_rows=0)
+    plan = postings.search(index, asked, 8)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*query_id", plan)
+
+
+def test_words_are_counted_inside_a_chunk(spark):
+    """No row per word is grouped: the only shuffle before the last is that of the texts."""
+    words = postings._words(spark.createDataFrame([("a", "x y x", "c"), ("a", "x y x", "c"), ("b", "", "c"), ("n", None, "c")], CHUNK), "chunk_id", "chunk_text", "category", placed=True)
+    counted = postings._counts(words, "chunk_id")
+    assert sorted(tuple(r) for r in counted.collect()) == [("a", "c", 3, "x", 4), ("a", "c", 3, "y", 2)]
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*term#", plan)
