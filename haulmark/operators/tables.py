@@ -19,17 +19,17 @@ def upsert(target: DataFrame, source: DataFrame, key: str, compare: str | None =
     """
     left = target.select(F.col(key), *([F.col(compare).alias("_old")] if compare else []))
     right = source.select(F.col(key), *([F.col(compare).alias("_new")] if compare else []))
-    # Matched and changed keys are source keys, so the one count bounds all three.
+    # Matched, changed and unchanged keys are source keys, so the one count bounds all of them.
     hint = F.broadcast if within(right) else (lambda df: df)
     matched = left.join(hint(right), key)
-    changed = matched.where(F.col("_old") != F.col("_new")) if compare else matched
-    changed = hint(changed.select(key))
-    seen = hint(matched.select(key))
-    return (
-        target.join(changed, key, "left_anti")
-        .unionByName(source.join(changed, key, "left_semi"))
-        .unionByName(source.join(seen, key, "left_anti"))
-    )
+    if not compare:
+        return target.join(hint(matched.select(key)), key, "left_anti").unionByName(source)
+    differs = F.coalesce(F.bool_or(F.col("_old") != F.col("_new")), F.lit(False))
+    decided = matched.groupBy(key).agg(differs.alias("_changed"))
+    changed = hint(decided.where("_changed").select(key))
+    unchanged = hint(decided.where("NOT _changed").select(key))
+    # Whole rows of the source travel once: those that are new or changed are all but the unchanged.
+    return target.join(changed, key, "left_anti").unionByName(source.join(unchanged, key, "left_anti"))
 
 
 def insert_new(target: DataFrame, source: DataFrame, key: str) -> DataFrame:

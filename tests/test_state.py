@@ -273,3 +273,18 @@ def test_retention_keeps_rows_without_a_time(spark):
 def test_a_temporary_folder_serves_one_machine_only():
     assert on_one_machine("local[8]") and on_one_machine("local-cluster[2,1,1024]")
     assert not on_one_machine("yarn") and not on_one_machine("spark://host:7077") and not on_one_machine("k8s://host")
+
+
+@pytest.mark.parametrize("compare", [None, "h"])
+def test_upsert_joins_the_rows_of_the_source_once(spark, compare, monkeypatch):
+    monkeypatch.setattr(tables, "within", lambda df: False)
+    schema = "k long, h string"
+    old = [(1, "a"), (2, "b"), (2, "x"), (3, None), (4, "d"), (None, "n"), (7, "q")]
+    new = [(1, "a"), (2, "b"), (3, "c"), (4, "e"), (5, "f"), (5, "g"), (None, "m"), (7, None)]
+    keys = {k for k, _ in old if k} & {k for k, _ in new}
+    changed = {k for k in keys if not compare or any(a != b for i, a in old for j, b in new if i == j == k and a and b)}
+    want = [r for r in old if r[0] not in changed] + [r for r in new if r[0] in changed or r[0] not in keys]
+    got = tables.upsert(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "k", compare)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("LeftAnti") <= 2
