@@ -2,7 +2,7 @@
 
 An index is a folder of four tables:
 
-``postings``  term, key, tf, n_terms and segment, partitioned by category and by a hash of the
+``postings``  term, key, tf, n_terms, rows and segment, partitioned by category and by a hash of the
               term (``part``) and sorted by term inside a file
 ``terms``     changes of the document frequency of terms, partitioned by ``part``
 ``gone``      keys that a segment deleted; postings of earlier segments don't count for them
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulmark import fixed_values as fv
+from haulmark.functions.arrays import tally
 from haulmark.functions.ranking import top_n
 from haulmark.functions.text import terms
 from haulmark.operators.search import QUERY_TERM_ROWS, SALTS, query_terms, tallied
-from haulmark.sources.sizing import broadcast_if_small, fresh_path, within
+from haulmark.sources.sizing import broadcast_if_small, fresh_path, materialize, within
 
 PARTS = 32
 
@@ -78,8 +79,35 @@ def _words(chunks: DataFrame, key: str, text: str, category: str | None, placed:
     return (rows.repartition(key) if placed else rows).select(key, "category", found.alias("terms")).withColumn("n_terms", F.size("terms"))
 
 
-def _counts(words: DataFrame, key: str) -> DataFrame:
-    return tallied(words, key, "category", "n_terms").select(key, "category", "n_terms", "term", "tf")
+def _counts(words: DataFrame, key: str, rows: bool = False) -> DataFrame:
+    """key, category, n_terms, term and tf, of rows with the same first three together; ``rows``: how many of them hold the term."""
+    carry = [key, "category", "n_terms"]
+    if not rows:
+        return tallied(words, *carry).select(*carry, "term", "tf")
+    held = words.groupBy(*carry).agg(
+        F.flatten(F.collect_list("terms")).alias("_all"), F.flatten(F.collect_list(F.array_distinct("terms"))).alias("_held")
+    )
+    # Both tallies are of the same terms in the same order.
+    both = F.arrays_zip(tally(F.col("_all"), "term", "tf").alias("a"), tally(F.col("_held"), "term", "rows").alias("b"))
+    return held.select(*carry, F.explode_outer(both).alias("_t")).where("_t.a.term IS NOT NULL").select(*carry, "_t.a.term", "_t.a.tf", "_t.b.rows")
+
+
+def _posted(chunks: DataFrame, key: str, text: str, category: str | None) -> DataFrame:
+    """``_counts`` with rows.  A chunk is counted where it lies; only rows whose key (by its hash)
+    occurs again travel to be counted together."""
+    place = F.xxhash64(key)
+    repeated = materialize(chunks.groupBy(place.alias("_place")).count().where("count > 1").select("_place"), "repeated-keys")
+    if not within(repeated):
+        return _counts(_words(chunks, key, text, category, placed=True), key, rows=True)
+    single, again = chunks, None
+    if not repeated.isEmpty():
+        known = F.broadcast(repeated)
+        single = chunks.join(known, place == known["_place"], "left_anti")
+        again = chunks.join(known, place == known["_place"], "left_semi")
+    # The outer generator is not pushed into the scan; rows without terms go afterwards.
+    spread = _words(single, key, text, category).select(key, "category", "n_terms", F.explode_outer(tally(F.col("terms"), "term", "tf")).alias("_t"))
+    posted = spread.where("_t.term IS NOT NULL").select(key, "category", "n_terms", "_t.term", "_t.tf", F.lit(1).cast("long").alias("rows"))
+    return posted if again is None else posted.unionByName(_counts(_words(again, key, text, category, placed=True), key, rows=True))
 
 
 def _append(df: DataFrame, path: str, *by: str) -> None:
@@ -87,27 +115,29 @@ def _append(df: DataFrame, path: str, *by: str) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def _add_segment(index: Postings, segment: int, placed: DataFrame, added: DataFrame, removed: DataFrame | None) -> None:
-    """Write one segment from the words of added (also ``placed`` by key) and of removed chunks."""
-    number = F.lit(segment).cast("long")
-    posted = _counts(placed, index.key).withColumn("part", index.part_of(F.col("term"))).withColumn("segment", number)
+def _add_segment(index: Postings, segment: int, posted: DataFrame, n_added: int, removed: DataFrame | None) -> None:
+    """Write one segment from the postings of added chunks and the words of removed ones.
+
+    Texts are split into words once: frequencies and sizes are summed from the written postings.
+    """
+    spark, number = index.spark, F.lit(segment).cast("long")
+    posted = posted.withColumn("part", index.part_of(F.col("term"))).withColumn("segment", number)
     # Rebalancing splits a large part over several files and puts small ones together.
     dealt = posted.hint("rebalance", "category", "part").sortWithinPartitions("category", "part", "term")
     _append(dealt, f"{index.path}/postings", "category", "part")
-    signed = added.withColumn("sign", F.lit(1).cast("long"))
+    stored = spark.read.schema("term string, tf long, rows long, segment long, part int").parquet(f"{index.path}/postings")
+    stored = stored.where(F.col("segment") == segment)
+    changed = stored.groupBy("part", "term").agg(F.sum("rows").alias("df"))
+    n_chunks, n_terms = n_added, stored.agg(F.sum("tf")).first()[0] or 0
     if removed is not None:
-        signed = signed.unionByName(removed.withColumn("sign", F.lit(-1).cast("long")))
         _append(removed.select(index.key, number.alias("segment")).distinct(), f"{index.path}/gone")
-    changed = signed.select("sign", F.explode_outer(F.array_distinct("terms")).alias("term")).where("term IS NOT NULL")
-    changed = changed.groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
-    changed = changed.withColumn("part", index.part_of(F.col("term"))).withColumn("segment", number)
+        lost = removed.select(F.explode_outer(F.array_distinct("terms")).alias("term")).where("term IS NOT NULL").groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        changed = changed.unionByName(lost.select(index.part_of(F.col("term")).alias("part"), "term", "df")).groupBy("part", "term").agg(F.sum("df").alias("df"))
+        row = removed.agg(F.count(F.lit(1)), F.sum("n_terms")).first()
+        n_chunks, n_terms = n_chunks - row[0], n_terms - (row[1] or 0)
+    changed = changed.where("df <> 0").withColumn("segment", number)
     _append(changed.hint("rebalance", "part").sortWithinPartitions("part", "term"), f"{index.path}/terms", "part")
-    sizes = signed.agg(
-        number.alias("segment"),
-        F.coalesce(F.sum("sign"), F.lit(0)).alias("n_chunks"),
-        F.coalesce(F.sum(F.col("sign") * F.col("n_terms")), F.lit(0)).alias("n_terms"),
-    )
-    _append(sizes, f"{index.path}/segments")
+    _append(spark.createDataFrame([(segment, n_chunks, n_terms)], "segment long, n_chunks long, n_terms long"), f"{index.path}/segments")
 
 
 def build(
@@ -116,10 +146,9 @@ def build(
     """Index of all chunks, written to the shared folder."""
     spark = chunks.sparkSession
     index = Postings(spark, fresh_path(spark, name), key, dict(chunks.dtypes)[key], parts)
-    words = _words(chunks, key, text, category)
     # Nothing is deleted yet; the empty table gives the folder its columns.
-    _append(words.select(key, F.lit(0).cast("long").alias("segment")).limit(0), f"{index.path}/gone")
-    _add_segment(index, 0, _words(chunks, key, text, category, placed=True), words, None)
+    _append(chunks.select(key, F.lit(0).cast("long").alias("segment")).limit(0), f"{index.path}/gone")
+    _add_segment(index, 0, _posted(chunks, key, text, category), chunks.count(), None)
     return index
 
 
@@ -128,9 +157,11 @@ def refresh(index: Postings, removed: DataFrame, added: DataFrame, text: str = "
 
     An updated chunk is in both.  The frames are the deletes and adds of a change feed.
     """
-    segment = index.segments()[-1] + 1
+    # The number of an interrupted segment is not used again.
+    begun = index.read("postings").agg(F.max("segment")).first()[0] or 0
+    segment = max(index.segments()[-1], begun) + 1
     known = (index.key, text, category)
-    _add_segment(index, segment, _words(added, *known, placed=True), _words(added, *known), _words(removed, *known))
+    _add_segment(index, segment, _posted(added, *known), added.count(), _words(removed, *known))
     return index
 
 

@@ -135,3 +135,35 @@ def test_words_are_counted_inside_a_chunk(spark):
     assert sorted(tuple(r) for r in counted.collect()) == [("a", "c", 3, "x", 4), ("a", "c", 3, "y", 2)]
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Aggregate\(keys=\[[^\]]*term#", plan)
+
+
+def test_texts_are_split_into_words_once_and_stay_where_they_lie(spark, monkeypatch):
+    """A segment calls for the words of its added chunks once; only rows whose key repeats are placed."""
+    calls = []
+    words = postings._words
+    monkeypatch.setattr(postings, "_words", lambda *a, placed=False: (calls.append(placed), words(*a, placed=placed))[1])
+    frame = lambda rows: spark.createDataFrame(rows, CHUNK)
+    index = postings.build(frame([("a", "x y x", "c"), ("b", "x", "c"), ("c", None, "c")]))
+    assert calls == [False]
+    assert sorted(map(tuple, postings.frequencies(index).collect())) == [("x", 2), ("y", 1)] and postings.sizes(index) == (3, 4)
+    twice = [("a", "x y x", "c"), ("a", "x y x", "c"), ("a", "x", "c"), (None, "x", "c"), (None, "x z", "d"), ("b", "y", "c"), ("n", "", "c")]
+    calls.clear()
+    index = postings.build(frame(twice), category="category")
+    assert calls == [False, True]
+    want = [("a", "c", "x", 1, 1), ("a", "c", "x", 4, 3), ("a", "c", "y", 2, 3), ("b", "c", "y", 1, 1), (None, "c", "x", 1, 1), (None, "d", "x", 1, 2), (None, "d", "z", 1, 2)]
+    live = lambda: sorted(map(tuple, postings.live_postings(index).select("chunk_id", "category", "term", "tf", "n_terms").collect()), key=repr)
+    assert live() == sorted(want, key=repr)
+    assert sorted(map(tuple, postings.frequencies(index).collect())) == [("x", 5), ("y", 3), ("z", 1)] and postings.sizes(index) == (7, 11)
+    first, monkeyed = live(), postings.within
+    monkeypatch.setattr(postings, "within", lambda df, *n: False if "_place" in df.columns else monkeyed(df, *n))
+    index = postings.build(frame(twice), category="category")
+    assert live() == first and sorted(map(tuple, postings.frequencies(index).collect())) == [("x", 5), ("y", 3), ("z", 1)]
+
+
+def test_the_number_of_an_interrupted_segment_is_not_used_again(spark):
+    frame = lambda rows: spark.createDataFrame(rows, CHUNK)
+    index = postings.build(frame([("a", "x y", "c")]))
+    lost = postings._counts(postings._words(frame([("q", "x", "c")]), "chunk_id", "chunk_text", None), "chunk_id", rows=True)
+    postings._append(lost.withColumn("part", index.part_of(F.col("term"))).withColumn("segment", F.lit(1).cast("long")), f"{index.path}/postings", "category", "part")
+    postings.refresh(index, frame([]), frame([("b", "x", "c")]))
+    assert index.segments() == [0, 2] and sorted(map(tuple, postings.frequencies(index).collect())) == [("x", 2), ("y", 1)]
