@@ -122,7 +122,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), lists], names=["doc_id", "text_key", "n", "keys"])
 
     given = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
-    return given.mapInArrow(run, "doc_id long, text_key string, n long, keys array<long>")
+    return in_batches(given, run, "doc_id long, text_key string, n long, keys array<long>")
 
 
 def _banded(a: list[int], b: list[int], band: int) -> int:
@@ -203,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, c
             linked = pa.array([similarity(x, y, threshold) > 0 for x, y in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(linked)
 
-    return joined.mapInArrow(run, "a long, b long")
+    return in_batches(joined, run, "a long, b long")
 
 
 def _fits(n1, n2, threshold: float):

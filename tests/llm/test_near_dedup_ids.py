@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from haulmark.llm import near_dedup
+from haulmark.llm import near_dedup, tables
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -38,3 +38,17 @@ def test_a_null_id_does_not_delete_its_class(spark):
     rows = [(None, " ".join(words)), (5, " ".join([*words[:-1], "end"])), (None, "another text of its own")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id or 0, len(r.text.split())) for r in near_dedup.deduplicated(docs).collect()) == [(0, 5), (5, 60)]
+
+
+@pytest.mark.parametrize("step", ["sketch", "verified"])
+def test_batches_of_texts_are_bounded_from_the_first_call_of_a_session(spark, step):
+    """Not only after a step that comes later has lowered the session's limit."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(limit, "64m")
+    texts = spark.createDataFrame([(0, "one two three four five six"), (1, "one two three four five six")], "node long, text string")
+    if step == "sketch":
+        rows = near_dedup.sketch(texts.withColumnRenamed("node", "doc_id"))
+    else:
+        rows = near_dedup.verified(spark.createDataFrame([(0, 1)], "a long, b long"), texts)
+    assert int(spark.conf.get(limit).rstrip("b")) <= tables.BATCH_BYTES
+    assert rows.count() == (2 if step == "sketch" else 1)
