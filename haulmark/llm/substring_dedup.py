@@ -4,19 +4,23 @@ The tokens of a text are its five-word shingles.  For one hash function, a compa
 (l, c, r) stands for all subsequences between l and r that contain c: their min-hash is the hash
 of c.  The windows of a text are the nodes of the Cartesian tree over its hashes; only those at
 least as wide as the shortest passage are made, about 2 n / width of them.  Windows of different
-texts with the same hash are joined: each with the first text of its hash, with the one before it
-in the order of documents, and with the first ones that also agree on the half passage before the
-least shingle, on that after it, or on both.  So a hash that thousands of texts share gives at
-most five pairs a window, and an exact repeat among many drifted versions still meets its own
-first copy: of any passage of the least width, the half before or after its least shingle lies
-inside.
-
-A text is looked at further when, over one of its passages, windows of at least ``MIN_HASHES`` of
-the ``HASHES`` functions overlap that are shared with earlier texts.  Each of its pairs is verified on the words: the passages are
+texts with the same hash are joined in two rounds.  In the first, each meets the first text of its
+hash, the one before it in the order of documents, and the first ones that also agree on the half
+passage before the least shingle, on that after it, or on both: at most five pairs a window,
+however many texts share a hash.  In the second, windows whose least shingle lies in no verified
+passage meet all earlier windows of their hash, in blocks of ``BLOCK`` windows inside tasks; only
+pairs are passed on of which one holds a stretch of the other, of the least width and around
+the least shingle, in 8 of 9 shingles.
+
+A pair of the first round is looked at further when, over one passage, windows of at least
+``MIN_HASHES`` of the ``HASHES`` functions overlap; one is enough in the second, which has seen the
+shingles.  Each pair is verified on the words: the passages are
 segments in which nearly all shingles occur in the earlier text, and they count when the Jaccard
 similarity of the two passages' shingles is ``THRESHOLD`` or more and the passage has at least
 ``MIN_WORDS`` words.  A pair of passages at 0.8 shares fewer than two of five hashes about once in
-150 times; equal passages share all.
+150 times; equal passages share all.  What a window with a verified passage at its least shingle
+could add is a little more of the same passage from another source; such windows don't go on to
+the second round, which keeps it small where a passage has many copies.
 
 A later equal text is one passage as long as the text, whatever its length, if it has a word.
 
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulmark.llm.tables import keep, text_key
+from haulmark.llm.tables import in_batches, keep, text_key
 from haulmark.llm.tokens import SHINGLE, RunHashes, mix, slices
 from haulmark.sources.sizing import broadcast_if_small
 
@@ -44,6 +48,10 @@ MIN_HASHES = 2
 MIN_WORDS = 50
 THRESHOLD = 0.8
 
+# Windows of a hash that meet those of another block in one task, and how many of them at a time as matrices.
+BLOCK = 4096
+_ROWS = 512
+
 _SEEDS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -123,10 +131,12 @@ def compact_windows(values: np.ndarray, ptr: np.ndarray, width: int) -> tuple[np
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, bit (of the hash function), begin, least, end, doc_id and tag of all compact windows.
+    """key, span, spot, doc_id and tag of all compact windows, packed since all of them are shuffled.
 
-    ``around`` holds 16 bits of a hash of the shingles up to the least one and 16 of those from it
-    on, each for half a passage of the least width, or 0 where the text ends before.
+    ``key`` ends in the number of the hash function, ``span`` is begin and end, and ``spot`` the
+    place of the least shingle and ``around``: 16 bits of a hash of the shingles up to the least one
+    and 16 of those from it on, each for half a passage of the least width, or 0 where the text
+    ends before.
     """
     width = min_words - SHINGLE + 1
     half = -(-width // 2)
@@ -150,50 +160,52 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     after = np.where(least + half <= stop, runs.of(least, half), np.uint64(0))
                     around = (before >> np.uint64(48) << np.uint64(16)) | (after >> np.uint64(48))
                     arrays = [
-                        pa.array(mix(value[least] + seed).view(np.int64)),
-                        pa.array(np.full(len(least), 1 << number, np.int32)),
-                        pa.array((begin - base).astype(np.int32)),
-                        pa.array((least - base).astype(np.int32)),
-                        pa.array((end - base).astype(np.int32)),
-                        pa.array(around.astype(np.uint32).view(np.int32)),
+                        pa.array((mix(value[least] + seed) & ~np.uint64(7) | np.uint64(number)).view(np.int64)),
+                        pa.array((begin - base) << 32 | (end - base)),
+                        pa.array((least - base) << 32 | around.astype(np.int64)),
                         ids.take(text),
                         tags.take(text),
                     ]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "bit", "begin", "least", "end", "around", "doc_id", "tag"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "span", "spot", "doc_id", "tag"])
+
+    return docs.mapInArrow(run, "key long, span long, spot long, doc_id long, tag long")
+
+
+def together(found: DataFrame) -> DataFrame:
+    """The windows of keys that different texts share, and ``n``, how many windows have the key."""
+    by_key = Window.partitionBy("key")
+    counted = found.repartition("key").withColumns({"n": F.count(F.lit(1)).over(by_key), "low": F.min("tag").over(by_key), "high": F.max("tag").over(by_key)})
+    return counted.where("low <> high").drop("low", "high")
 
-    return docs.mapInArrow(run, "key long, bit int, begin int, least int, end int, around int, doc_id long, tag long")
 
+def _unpacked() -> Column:
+    """The window as a struct: me (doc_id, tag), begin, least and end."""
+    high = lambda name: F.shiftright(name, 32).cast("int")
+    end = F.col("span").bitwiseAND(0xFFFFFFFF).cast("int")
+    return F.struct(F.struct("doc_id", "tag").alias("me"), high("span").alias("begin"), high("spot").alias("least"), end.alias("end"))
 
-def candidates(found: DataFrame, min_words: int = MIN_WORDS, min_hashes: int = MIN_HASHES) -> DataFrame:
-    """Pairs (later, earlier) of documents that share enough windows, and where to look in both.
+
+def candidates(met: DataFrame, min_words: int = MIN_WORDS, min_hashes: int = MIN_HASHES) -> DataFrame:
+    """Pairs (later, earlier) of documents of the first round that share enough windows, and where
+    to look in both; ``met`` are the windows of ``together``.
 
     Windows of a document overlap in a passage of the least width only if they hold the same point
-    of a grid of that width, so the interval join is a grouping by grid points.  A shared passage
-    holds the least shingle of both windows and is no longer than the shorter one, which bounds the
-    ranges by the shorter window.
+    of a grid of that width, so the interval join is a grouping by grid points.
     """
-    place = [F.col("doc_id").asc_nulls_first(), F.col("tag"), F.col("begin")]
+    place = [F.col("doc_id").asc_nulls_first(), F.col("tag"), F.col("span")]
     order = Window.partitionBy("key").orderBy(*place)
     until = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    seen = found.withColumn("window", F.struct(F.struct("doc_id", "tag").alias("me"), "begin", "least", "end"))
-    met = seen.select(
-        "*", F.first("window").over(until(order)).alias("first"), F.lag("window").over(order).alias("before"), F.lead("bit").over(order).alias("after")
-    ).where("before IS NOT NULL OR after IS NOT NULL")
-    # The rows lie by key already: these windows sort what is left and shuffle nothing.
-    halves = {"to": F.shiftrightunsigned("around", 16), "on": F.col("around").bitwiseAND(0xFFFF)}
-    met = met.withColumns(halves)
-    for half in (*halves, "around"):
+    # Dealt by key before the columns are unpacked; the windows below sort and shuffle nothing.
+    around = F.col("spot").bitwiseAND(0xFFFFFFFF)
+    seen = met.repartition("key").withColumns({"window": _unpacked(), "around": around, "to": F.shiftright(around, 16), "on": around.bitwiseAND(0xFFFF)})
+    seen = seen.withColumns({"first": F.first("window").over(until(order)), "before": F.lag("window").over(order)})
+    for half in ("to", "on", "around"):
         same = until(Window.partitionBy("key", half).orderBy(*place))
-        met = met.withColumn(f"first_{half}", F.when(F.col(half) != 0, F.first("window").over(same)))
+        seen = seen.withColumn(f"first_{half}", F.when(F.col(half) != 0, F.first("window").over(same)))
     others = F.array_distinct(F.array_compact(F.array("first", "before", "first_to", "first_on", "first_around")))
-    pairs = met.where("before IS NOT NULL").select("bit", F.col("window").alias("x"), F.explode(others).alias("y"))
-    pairs = pairs.where("NOT (x.me <=> y.me)").withColumn("reach", F.least(F.expr("x.end - x.begin"), F.expr("y.end - y.begin")))
-    low = lambda side: F.greatest(F.col(f"{side}.begin"), F.col(f"{side}.least") - F.col("reach"))
-    high = lambda side: F.least(F.col(f"{side}.end"), F.col(f"{side}.least") + F.col("reach"))
-    pairs = pairs.select(
-        F.col("x.me").alias("later"), F.col("y.me").alias("earlier"), "bit",
-        low("x").alias("begin_x"), high("x").alias("end_x"), low("y").alias("begin_y"), high("y").alias("end_y"),
-    )
+    bit = F.expr("shiftleft(1, CAST(key & 7 AS INT))")
+    pairs = seen.where("before IS NOT NULL").select(bit.alias("bit"), F.col("window").alias("x"), F.explode(others).alias("y"))
+    pairs = pairs.where("NOT (x.me <=> y.me)").select(F.col("x.me").alias("later"), F.col("y.me").alias("earlier"), "bit", *_where_to_look())
     width = min_words - SHINGLE + 1
     points = F.sequence(F.ceil(F.col("begin_x") / width), F.greatest(F.ceil(F.col("end_x") / width) - 1, F.ceil(F.col("begin_x") / width)))
     shared = pairs.select("*", F.explode(points).alias("point")).groupBy("later", "earlier", "point").agg(
@@ -202,6 +214,15 @@ def candidates(found: DataFrame, min_words: int = MIN_WORDS, min_hashes: int = M
     return shared.where(F.col("hashes") >= min_hashes).groupBy("later", "earlier").agg(*_ranges())
 
 
+def _where_to_look() -> list[Column]:
+    """Ranges of the windows x and y in which a shared passage can lie: it holds the least shingle
+    of both and is no longer than the shorter one."""
+    reach = F.expr("least(x.end - x.begin, y.end - y.begin)")
+    low = lambda side: F.greatest(F.col(f"{side}.begin"), F.col(f"{side}.least") - reach)
+    high = lambda side: F.least(F.col(f"{side}.end"), F.col(f"{side}.least") + reach)
+    return [low("x").alias("begin_x"), high("x").alias("end_x"), low("y").alias("begin_y"), high("y").alias("end_y")]
+
+
 def _ranges() -> list[Column]:
     return [f(name).alias(name) for f, name in ((F.min, "begin_x"), (F.max, "end_x"), (F.min, "begin_y"), (F.max, "end_y"))]
 
@@ -336,6 +357,172 @@ def verified(pairs: DataFrame, texts: DataFrame, min_words: int = MIN_WORDS, thr
     return excerpts.join(texts.withColumnRenamed("me", "later"), "later").mapInArrow(run, _PASSAGE)
 
 
+def open_windows(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Windows (key, window, open) of the hashes that still have partners for an open window: one
+    whose least shingle lies in no passage of ``found``.
+
+    Up to three windows of a hash have all met in the first round.
+    """
+    span = F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_words") - SHINGLE + 1).alias("b"))
+    spans = found.groupBy(F.struct("doc_id", "tag").alias("me")).agg(F.collect_list(span).alias("spans"))
+    placed = met.where("n > 3").select("key", F.struct("doc_id", "tag").alias("me"), _unpacked().alias("window")).join(spans, "me", "left")
+    settled = F.exists("spans", lambda p: (p["a"] <= F.col("window.least")) & (F.col("window.least") < p["b"]))
+    marked = placed.select("key", "window", (~F.coalesce(settled, F.lit(False))).alias("open")).distinct()
+    return marked.withColumn("any", F.max("open").over(Window.partitionBy("key"))).where("any").drop("any")
+
+
+def zones(members: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``members`` with the zone of every window: its shingles (32 bits each) up to the least width
+    to both sides of the least one, and the ``spot`` of that one among them."""
+    width = min_words - SHINGLE + 1
+    row = F.struct("key", "window.begin", "window.least", "window.end", "open")
+    wanted = members.groupBy("window.me").agg(F.collect_list(row).alias("rows"))
+    held = docs.select(F.struct("doc_id", "tag").alias("me"), "text").join(broadcast_if_small(wanted), "me")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, lists = batch.column("text"), batch.column("rows")
+            for r in range(batch.num_rows):
+                hashes = (_sequence(text[r].as_py()) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                rows = lists[r].values
+                begin, least, end = (rows.field(n).to_numpy().astype(np.int64) for n in ("begin", "least", "end"))
+                low, high = np.maximum(begin, least - width + 1), np.minimum(end, least + width)
+                ptr = np.concatenate([[0], np.cumsum(high - low)])
+                at = np.arange(ptr[-1]) + np.repeat(low - ptr[:-1], high - low)
+                zone = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(hashes[at]))
+                me = batch.column("me").take(pa.array(np.full(len(begin), r)))
+                arrays = [rows.field("key"), me, *(rows.field(n) for n in ("begin", "least", "end", "open")), pa.array((least - low).astype(np.int32)), zone]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "me", "begin", "least", "end", "open", "spot", "zone"])
+
+    schema = "key long, me struct<doc_id: long, tag: long>, begin int, least int, end int, open boolean, spot int, zone array<int>"
+    return in_batches(held.select("me", "text", "rows"), run, schema)
+
+
+class _Block:
+    """Windows of one hash with their zones, in numpy."""
+
+    def __init__(self, rows: pa.StructArray):
+        zone = rows.field("zone")
+        self.rows, self.open = rows, rows.field("open").to_numpy(zero_copy_only=False).astype(bool)
+        self.spot = rows.field("spot").to_numpy()
+        self.ptr = zone.offsets.to_numpy() - zone.offsets[0].as_py()
+        self.marks = zone.flatten().to_numpy()
+        self.owner = np.repeat(np.arange(len(rows)), np.diff(self.ptr))
+        doc = rows.field("me").field("doc_id")
+        self.named = doc.is_valid().to_numpy(zero_copy_only=False)
+        self.doc, self.tag = doc.fill_null(0).to_numpy(), rows.field("me").field("tag").to_numpy()
+
+    def zone(self, i: int) -> np.ndarray:
+        return self.marks[self.ptr[i] : self.ptr[i + 1]]
+
+
+def _after(x: _Block, i: np.ndarray, y: _Block, j: np.ndarray) -> np.ndarray:
+    """Where window i of x is of a later document than window j of y; null ids come first."""
+    doc, tag = x.doc[i], x.tag[i]
+    same = x.named[i] == y.named[j]
+    return (x.named[i] & ~y.named[j]) | (same & ((doc > y.doc[j]) | ((doc == y.doc[j]) & (tag > y.tag[j]))))
+
+
+def _stretch(held: np.ndarray, spot: int, width: int) -> bool:
+    """Whether 8 of 9 are held in some ``width`` or more neighbours around ``spot``."""
+    if len(held) < width:
+        return False
+    total = np.concatenate([[0], np.cumsum(np.where(held, 1, -8))])
+    high = np.maximum.accumulate(total[::-1])[::-1]
+    begin = np.arange(min(spot, len(held) - width) + 1)
+    return bool((high[np.maximum(begin + width, spot + 1)] >= total[begin]).any())
+
+
+def _meeting(x: _Block, y: _Block, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Open windows of x and windows of earlier documents in y whose zones share a stretch.
+
+    Windows of y with the same zone are one, the first.  Zones that hold too few of the other
+    block's shingles go first, so texts that only share a phrase cost no more than sorting them.
+    """
+    need = -(-8 * width // 9)
+    asked = x.open[x.owner] & np.isin(x.marks, y.marks)
+    rows = np.flatnonzero(np.bincount(x.owner[asked], minlength=len(x.rows)) >= need)
+    if not len(rows):
+        return rows, rows
+    asked &= np.isin(x.owner, rows)
+    offered = np.isin(y.marks, x.marks[asked])
+    order = np.lexsort((y.tag, y.doc, y.named))
+    others, seen = [], set()
+    for j in order[np.isin(order, y.owner[offered])]:
+        known = (int(y.spot[j]), y.zone(j).tobytes())
+        if known not in seen:
+            seen.add(known)
+            others.append(j)
+    others = np.array(others, np.int64)
+    found: list[tuple[int, int]] = []
+    for p in range(0, len(rows), _ROWS):
+        mine = rows[p : p + _ROWS]
+        own = asked & np.isin(x.owner, mine)
+        known, x_at = np.unique(x.marks[own], return_inverse=True)
+        for q in range(0, len(others), _ROWS):
+            theirs = others[q : q + _ROWS]
+            place = np.full(len(y.rows), -1)
+            place[theirs] = np.arange(len(theirs))
+            at = np.minimum(np.searchsorted(known, y.marks), len(known) - 1)
+            hit = offered & (place[y.owner] >= 0) & (known[at] == y.marks)
+            common = np.zeros((len(mine), len(theirs)), np.float32)
+            for begin in range(0, len(known), 1 << 13):
+                size = min(1 << 13, len(known) - begin)
+                one, two = np.zeros((len(mine), size), np.float32), np.zeros((len(theirs), size), np.float32)
+                inside = (x_at >= begin) & (x_at < begin + size)
+                np.add.at(one, (np.searchsorted(mine, x.owner[own][inside]), x_at[inside] - begin), 1)
+                inside = hit & (at >= begin) & (at < begin + size)
+                two[place[y.owner[inside]], at[inside] - begin] = 1
+                common += one @ two.T
+            i, j = np.nonzero(common >= need)
+            i, j = mine[i], theirs[j]
+            later = _after(x, i, y, j)
+            pairs = zip(i[later].tolist(), j[later].tolist(), strict=True)
+            found += [(i, j) for i, j in pairs if _stretch(np.isin(x.zone(i), y.zone(j)), int(x.spot[i]), width)]
+    got = np.array(found, np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
+
+
+def late_candidates(members: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Pairs (later, earlier) of the second round and where to look in both; ``members`` are those
+    of ``open_windows``.
+
+    The windows of a hash are one block, or if they are many, dealt into blocks of about ``BLOCK`` of
+    which every two meet in a task.
+    """
+    width = min_words - SHINGLE + 1
+    split = keep(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "split-hashes")
+    row = F.struct("me", "begin", "least", "end", "open", "spot", "zone")
+    small = members if split.isEmpty() else members.join(broadcast_if_small(split), "key", "left_anti")
+    rows = zones(small, docs, min_words).groupBy("key").agg(F.collect_list(row).alias("xs")).where("size(xs) > 1")
+    sides = rows.select("xs", F.lit(None).cast(rows.schema["xs"].dataType).alias("ys"))
+    if not split.isEmpty():
+        large = zones(members.join(broadcast_if_small(split), "key", "left_semi"), docs, min_words).join(broadcast_if_small(split), "key")
+        block = F.pmod(F.xxhash64("me", "least"), F.col("blocks")).cast("int").alias("i")
+        dealt = keep(large.groupBy("key", "blocks", block).agg(F.collect_list(row).alias("xs")), "window-blocks")
+        one = dealt.select("key", "i", "xs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).where("i <> j")
+        two = dealt.select("key", F.col("i").alias("j"), F.col("xs").alias("ys"))
+        sides = sides.unionByName(dealt.select("xs", F.lit(None).cast(rows.schema["xs"].dataType).alias("ys")))
+        sides = sides.unionByName(one.join(two, ["key", "j"]).select("xs", "ys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = _Block(batch.column("xs")[r].values)
+                y = _Block(batch.column("ys")[r].values) if batch.column("ys")[r].is_valid else x
+                i, j = _meeting(x, y, width)
+                if len(i):
+                    arrays = []
+                    for side, at in ((x, i), (y, j)):
+                        picked = side.rows.take(pa.array(at))
+                        arrays.append(pa.StructArray.from_arrays([picked.field(n) for n in ("me", "begin", "least", "end")], ["me", "begin", "least", "end"]))
+                    yield pa.RecordBatch.from_arrays(arrays, names=["x", "y"])
+
+    kind = "struct<me: struct<doc_id: long, tag: long>, begin: int, least: int, end: int>"
+    pairs = in_batches(sides, run, f"x {kind}, y {kind}")
+    return pairs.select(F.col("x.me").alias("later"), F.col("y.me").alias("earlier"), *_where_to_look()).groupBy("later", "earlier").agg(*_ranges())
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, first_word, n_words, source_id, source_first_word, source_n_words and similarity of
     every maximal passage of a document that an earlier document holds."""
@@ -346,11 +533,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     placed = keyed.join(broadcast_if_small(copied.withColumn("copied", F.lit(True))), "text_key", "left")
     single = placed.where(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "tag", "text")
     copies = placed.where(F.col("copied") & ~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    pairs = keep(candidates(windows(single, min_words), min_words), "passage-pairs")
-    wanted = pairs.select(F.col("later").alias("me")).unionByName(pairs.select(F.col("earlier").alias("me"))).distinct()
-    held = single.select(F.struct("doc_id", "tag").alias("me"), "text").join(broadcast_if_small(wanted), "me")
-    texts = keep(held.groupBy("me").agg(F.first("text").alias("text")), "passage-texts")
-    found = verified(pairs, texts, min_words, threshold)
+
+    def looked_at(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("later").alias("me")).unionByName(pairs.select(F.col("earlier").alias("me"))).distinct()
+        held = single.select(F.struct("doc_id", "tag").alias("me"), "text").join(broadcast_if_small(wanted), "me")
+        texts = keep(held.groupBy("me").agg(F.first("text").alias("text")), "passage-texts")
+        return keep(verified(pairs, texts, min_words, threshold), "passages")
+
+    met = keep(together(windows(single, min_words)), "shared-windows")
+    found = looked_at(keep(candidates(met, min_words), "passage-pairs"))
+    members = keep(open_windows(met, found), "open-windows")
+    late = keep(late_candidates(members, single, min_words), "passage-pairs")
+    found = found.unionByName(looked_at(late))
     # Passages of one document: those inside another are left out.
     order = Window.partitionBy("doc_id", "tag").orderBy("first_word", F.desc("n_words"), F.col("source_id").asc_nulls_first(), "source_first_word")
     end = F.col("first_word") + F.col("n_words")

@@ -130,3 +130,43 @@ def test_repetitive_and_null_texts(spark):
     rows = [(1, "la " * 30_000), (2, "la " * 30_001), (None, "la " * 60), (3, None), (4, ""), (5, "la " * 49)]
     found = {r.doc_id for r in sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found <= {1, 2} and 2 in found
+
+
+@pytest.fixture(scope="module")
+def hidden(spark):
+    """Passages whose only earlier copy, with a changed word, lies among texts that hold 44 words of them."""
+    rng = random.Random(33)
+    rows, wanted = [], {}
+    for versions in (8, 16, 32):
+        for family in range(15):
+            passage, base = words(rng, 80), len(rows)
+            twin = versions // 2
+            for v in range(versions):
+                begin = (0, 12, 24, 36)[v % 4]
+                part = changed(rng, passage, {rng.randrange(80)}) if v == twin else passage[begin : begin + 44]
+                rows.append((base + v, " ".join(words(rng, 60) + part + words(rng, 40))))
+            rows.append((base + versions, " ".join(words(rng, 50) + passage + words(rng, 60))))
+            wanted[base + versions] = base + twin
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return wanted, docs, sd.repeated_passages(docs).collect()
+
+
+def test_the_one_earlier_copy_among_parts_of_the_passage(hidden):
+    wanted, _, found = hidden
+    hit = [d for d, source in wanted.items() if any(r.doc_id == d and r.source_id == source and r.n_words >= 50 for r in found)]
+    assert len(hit) >= 0.95 * len(wanted), (len(hit), len(wanted))
+
+
+def test_blocks_give_what_one_block_gives(hidden, monkeypatch):
+    _, docs, found = hidden
+    monkeypatch.setattr(sd, "BLOCK", 5)
+    assert sorted(sd.repeated_passages(docs).collect()) == sorted(found)
+
+
+def test_stretches_by_the_definition():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        held = rng.random(rng.integers(1, 30)) < 0.85
+        spot, width = int(rng.integers(0, len(held))), int(rng.integers(1, 12))
+        want = any(9 * held[a:b].sum() >= 8 * (b - a) for a in range(spot + 1) for b in range(max(a + width, spot + 1), len(held) + 1))
+        assert sd._stretch(held, spot, width) == want
