@@ -9,8 +9,8 @@ hash, the one before it in the order of documents, and the first ones that also
 passage before the least shingle, on that after it, or on both: at most five pairs a window,
 however many texts share a hash.  In the second, windows whose least shingle lies in no verified
 passage meet all earlier windows of their hash, in blocks of ``BLOCK`` windows inside tasks; only
-pairs are passed on of which one holds a stretch of the other, of the least width and around
-the least shingle, in 8 of 9 shingles.
+pairs are passed on that hold a common passage around the least shingle, and of these none for a
+stretch inside of one that the window has.
 
 A pair of the first round is looked at further when, over one passage, windows of at least
 ``MIN_HASHES`` of the ``HASHES`` functions overlap; one is enough in the second, which has seen the
@@ -48,7 +48,7 @@ MIN_HASHES = 2
 MIN_WORDS = 50
 THRESHOLD = 0.8
 
-# Windows of a hash that meet those of another block in one task, and how many of them at a time as matrices.
+# Windows of a hash that meet those of another block in one task, and how many at a time as matrices.
 BLOCK = 4096
 _ROWS = 512
 
@@ -172,9 +172,11 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def together(found: DataFrame) -> DataFrame:
-    """The windows of keys that different texts share, and ``n``, how many windows have the key."""
+    """The windows of keys that different texts share, ``n``, how many windows have the key, and their place among these."""
     by_key = Window.partitionBy("key")
-    counted = found.repartition("key").withColumns({"n": F.count(F.lit(1)).over(by_key), "low": F.min("tag").over(by_key), "high": F.max("tag").over(by_key)})
+    place = F.row_number().over(by_key.orderBy(F.col("doc_id").asc_nulls_first(), "tag", "span"))
+    placed = found.repartition("key").withColumn("place", place)
+    counted = placed.withColumns({"n": F.max("place").over(by_key), "low": F.min("tag").over(by_key), "high": F.max("tag").over(by_key)})
     return counted.where("low <> high").drop("low", "high")
 
 
@@ -361,13 +363,14 @@ def open_windows(met: DataFrame, found: DataFrame) -> DataFrame:
     """Windows (key, window, open) of the hashes that still have partners for an open window: one
     whose least shingle lies in no passage of ``found``.
 
-    Up to three windows of a hash have all met in the first round.
+    Up to three windows of a hash have all met in the first round, and the first has none to meet.
     """
     span = F.struct(F.col("first_word").alias("a"), (F.col("first_word") + F.col("n_words") - SHINGLE + 1).alias("b"))
     spans = found.groupBy(F.struct("doc_id", "tag").alias("me")).agg(F.collect_list(span).alias("spans"))
-    placed = met.where("n > 3").select("key", F.struct("doc_id", "tag").alias("me"), _unpacked().alias("window")).join(spans, "me", "left")
+    placed = met.where("n > 3").select("key", "place", F.struct("doc_id", "tag").alias("me"), _unpacked().alias("window")).join(spans, "me", "left")
     settled = F.exists("spans", lambda p: (p["a"] <= F.col("window.least")) & (F.col("window.least") < p["b"]))
-    marked = placed.select("key", "window", (~F.coalesce(settled, F.lit(False))).alias("open")).distinct()
+    is_open = (F.col("place") > 1) & ~F.coalesce(settled, F.lit(False))
+    marked = placed.groupBy("key", "window").agg(F.max(is_open).alias("open"))
     return marked.withColumn("any", F.max("open").over(Window.partitionBy("key"))).where("any").drop("any")
 
 
@@ -381,17 +384,17 @@ def zones(members: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, lists = batch.column("text"), batch.column("rows")
-            for r in range(batch.num_rows):
-                hashes = (_sequence(text[r].as_py()) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows = lists[r].values
+            for first, last, part in slices(batch.column("text")):
+                hashes, at = part.shingles()
+                ptr = np.searchsorted(part.word_doc[at], np.arange(part.n_docs + 1))
+                lists, mes = (batch.column(c).slice(first, last - first) for c in ("rows", "me"))
+                rows, doc = lists.flatten(), np.repeat(np.arange(last - first), np.diff(lists.offsets.to_numpy()))
                 begin, least, end = (rows.field(n).to_numpy().astype(np.int64) for n in ("begin", "least", "end"))
                 low, high = np.maximum(begin, least - width + 1), np.minimum(end, least + width)
-                ptr = np.concatenate([[0], np.cumsum(high - low)])
-                at = np.arange(ptr[-1]) + np.repeat(low - ptr[:-1], high - low)
-                zone = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(hashes[at]))
-                me = batch.column("me").take(pa.array(np.full(len(begin), r)))
-                arrays = [rows.field("key"), me, *(rows.field(n) for n in ("begin", "least", "end", "open")), pa.array((least - low).astype(np.int32)), zone]
+                stops = np.concatenate([[0], np.cumsum(high - low)])
+                picked = hashes[np.arange(stops[-1]) + np.repeat(ptr[doc] + low - stops[:-1], high - low)]
+                zone = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array((picked >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                arrays = [rows.field("key"), mes.take(pa.array(doc)), *(rows.field(n) for n in ("begin", "least", "end", "open")), pa.array((least - low).astype(np.int32)), zone]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "me", "begin", "least", "end", "open", "spot", "zone"])
 
     schema = "key long, me struct<doc_id: long, tag: long>, begin int, least int, end int, open boolean, spot int, zone array<int>"
@@ -423,21 +426,29 @@ def _after(x: _Block, i: np.ndarray, y: _Block, j: np.ndarray) -> np.ndarray:
     return (x.named[i] & ~y.named[j]) | (same & ((doc > y.doc[j]) | ((doc == y.doc[j]) & (tag > y.tag[j]))))
 
 
-def _stretch(held: np.ndarray, spot: int, width: int) -> bool:
-    """Whether 8 of 9 are held in some ``width`` or more neighbours around ``spot``."""
-    if len(held) < width:
-        return False
-    total = np.concatenate([[0], np.cumsum(np.where(held, 1, -8))])
-    high = np.maximum.accumulate(total[::-1])[::-1]
-    begin = np.arange(min(spot, len(held) - width) + 1)
-    return bool((high[np.maximum(begin + width, spot + 1)] >= total[begin]).any())
-
-
-def _meeting(x: _Block, y: _Block, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Open windows of x and windows of earlier documents in y whose zones share a stretch.
-
-    Windows of y with the same zone are one, the first.  Zones that hold too few of the other
-    block's shingles go first, so texts that only share a phrase cost no more than sorting them.
+def _stretches(held: np.ndarray, spot: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and end of the longest stretch around ``spot`` of each row in which 8 of 9 are
+    held; both 0 where none has ``width`` places."""
+    n = held.shape[1]
+    total = np.concatenate([np.zeros((len(held), 1), np.int32), np.cumsum(np.where(held, 1, -8), axis=1, dtype=np.int32)], axis=1)
+    best, first, end = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
+    stops = np.arange(n + 1)
+    for begin in range(min(spot, n - width) + 1):
+        low = max(begin + width, spot + 1)
+        good = total[:, low:] >= total[:, begin, None]
+        stop = np.where(good, stops[low:], 0).max(axis=1)
+        longer = stop - begin > best
+        best[longer], first[longer], end[longer] = stop[longer] - begin, begin, stop[longer]
+    return first, end
+
+
+def _meeting(x: _Block, y: _Block, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Open windows of x and windows of earlier documents in y whose zones hold a common passage.
+
+    Zones that hold too few of the other block's shingles go first, so texts that only share a
+    phrase cost no more than sorting them.  Windows of y with the same zone are one, the first.  A
+    window of x takes those of y with the longest stretch first, and no further one whose stretch
+    lies inside a passage it has, so the number of pairs follows that of the windows.
     """
     need = -(-8 * width // 9)
     asked = x.open[x.owner] & np.isin(x.marks, y.marks)
@@ -454,6 +465,7 @@ def _meeting(x: _Block, y: _Block, width: int) -> tuple[np.ndarray, np.ndarray]:
             seen.add(known)
             others.append(j)
     others = np.array(others, np.int64)
+    had: dict[int, list[tuple[int, int]]] = {}
     found: list[tuple[int, int]] = []
     for p in range(0, len(rows), _ROWS):
         mine = rows[p : p + _ROWS]
@@ -465,25 +477,51 @@ def _meeting(x: _Block, y: _Block, width: int) -> tuple[np.ndarray, np.ndarray]:
             place[theirs] = np.arange(len(theirs))
             at = np.minimum(np.searchsorted(known, y.marks), len(known) - 1)
             hit = offered & (place[y.owner] >= 0) & (known[at] == y.marks)
+            holds = np.zeros((len(theirs), len(known)), bool)
+            holds[place[y.owner[hit]], at[hit]] = True
             common = np.zeros((len(mine), len(theirs)), np.float32)
             for begin in range(0, len(known), 1 << 13):
-                size = min(1 << 13, len(known) - begin)
-                one, two = np.zeros((len(mine), size), np.float32), np.zeros((len(theirs), size), np.float32)
-                inside = (x_at >= begin) & (x_at < begin + size)
+                one = np.zeros((len(mine), min(1 << 13, len(known) - begin)), np.float32)
+                inside = (x_at >= begin) & (x_at < begin + one.shape[1])
                 np.add.at(one, (np.searchsorted(mine, x.owner[own][inside]), x_at[inside] - begin), 1)
-                inside = hit & (at >= begin) & (at < begin + size)
-                two[place[y.owner[inside]], at[inside] - begin] = 1
-                common += one @ two.T
-            i, j = np.nonzero(common >= need)
-            i, j = mine[i], theirs[j]
-            later = _after(x, i, y, j)
-            pairs = zip(i[later].tolist(), j[later].tolist(), strict=True)
-            found += [(i, j) for i, j in pairs if _stretch(np.isin(x.zone(i), y.zone(j)), int(x.spot[i]), width)]
-    got = np.array(found, np.int64).reshape(-1, 2)
-    return got[:, 0], got[:, 1]
-
-
-def late_candidates(members: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+                common += one @ holds[:, begin : begin + one.shape[1]].T.astype(np.float32)
+            for i, shared in zip(mine.tolist(), common, strict=True):
+                j = np.flatnonzero(shared >= need)
+                j = j[_after(x, np.full(len(j), i), y, theirs[j])]
+                if not len(j):
+                    continue
+                zone, mine_had = x.zone(i), had.setdefault(i, [])
+                where = np.minimum(np.searchsorted(known, zone), len(known) - 1)
+                a, b = _stretches(holds[j][:, where] & (known[where] == zone), int(x.spot[i]), width)
+                for r in np.argsort(a - b, kind="stable").tolist():
+                    if b[r] > a[r] and not any(c <= a[r] and b[r] <= d for c, d in mine_had):
+                        got = [(g[0], g[0] + g[1] - SHINGLE + 1) for g in passages(zone, y.zone(theirs[j[r]]), width + SHINGLE - 1, threshold)]
+                        if any(not any(c <= g and h <= d for c, d in mine_had) for g, h in got):
+                            mine_had += got
+                            found.append((i, int(theirs[j[r]])))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _promising(lists: pa.ListArray, need: int) -> np.ndarray:
+    """Of many blocks at a time, those with an open window of which others hold enough shingles."""
+    rows = lists.flatten()
+    zone = rows.field("zone")
+    block = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    owner = np.repeat(np.arange(len(rows)), np.diff(zone.offsets.to_numpy()))
+    marks = mix(zone.flatten().to_numpy().view(np.uint32).astype(np.uint64) | block[owner].astype(np.uint64) << np.uint64(32))
+    # Equal shingles of a block lie together, those of a window in its order.
+    order = np.argsort(marks, kind="stable")
+    ranked, who = marks[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(ranked)))
+    common = np.repeat(who[starts] != who[starts + sizes - 1], sizes) if len(ranked) else np.zeros(0, bool)
+    shared = np.bincount(who[common], minlength=len(rows))
+    good = (shared >= need) & rows.field("open").to_numpy(zero_copy_only=False).astype(bool)
+    return np.unique(block[good])
+
+
+def late_candidates(members: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (later, earlier) of the second round and where to look in both; ``members`` are those
     of ``open_windows``.
 
@@ -507,10 +545,12 @@ def late_candidates(members: DataFrame, docs: DataFrame, min_words: int = MIN_WO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
+            paired = batch.column("ys").is_valid().to_numpy(zero_copy_only=False)
+            good = np.flatnonzero(paired) if paired.all() else np.union1d(np.flatnonzero(paired), _promising(batch.column("xs"), -(-8 * width // 9)))
+            for r in good.tolist():
                 x = _Block(batch.column("xs")[r].values)
-                y = _Block(batch.column("ys")[r].values) if batch.column("ys")[r].is_valid else x
-                i, j = _meeting(x, y, width)
+                y = _Block(batch.column("ys")[r].values) if paired[r] else x
+                i, j = _meeting(x, y, width, threshold)
                 if len(i):
                     arrays = []
                     for side, at in ((x, i), (y, j)):
@@ -543,7 +583,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     met = keep(together(windows(single, min_words)), "shared-windows")
     found = looked_at(keep(candidates(met, min_words), "passage-pairs"))
     members = keep(open_windows(met, found), "open-windows")
-    late = keep(late_candidates(members, single, min_words), "passage-pairs")
+    late = keep(late_candidates(members, single, min_words, threshold), "passage-pairs")
     found = found.unionByName(looked_at(late))
     # Passages of one document: those inside another are left out.
     order = Window.partitionBy("doc_id", "tag").orderBy("first_word", F.desc("n_words"), F.col("source_id").asc_nulls_first(), "source_first_word")

@@ -165,8 +165,14 @@ def test_blocks_give_what_one_block_gives(hidden, monkeypatch):
 
 def test_stretches_by_the_definition():
     rng = np.random.default_rng(5)
-    for _ in range(400):
-        held = rng.random(rng.integers(1, 30)) < 0.85
-        spot, width = int(rng.integers(0, len(held))), int(rng.integers(1, 12))
-        want = any(9 * held[a:b].sum() >= 8 * (b - a) for a in range(spot + 1) for b in range(max(a + width, spot + 1), len(held) + 1))
-        assert sd._stretch(held, spot, width) == want
+    for _ in range(200):
+        held = rng.random((4, rng.integers(1, 30))) < 0.85
+        n = held.shape[1]
+        spot, width = int(rng.integers(0, n)), int(rng.integers(1, 12))
+        a, b = sd._stretches(held, spot, width)
+        for row, begin, end in zip(held, a, b):
+            want = [
+                q - p for p in range(spot + 1) for q in range(max(p + width, spot + 1), n + 1) if 9 * row[p:q].sum() >= 8 * (q - p)
+            ]
+            assert end - begin == max(want, default=0)
+            assert begin == end or begin <= spot < end and 9 * row[begin:end].sum() >= 8 * (end - begin)
