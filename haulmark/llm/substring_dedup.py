@@ -51,6 +51,8 @@ THRESHOLD = 0.8
 # Windows of a hash that meet those of another block in one task, and how many at a time as matrices.
 BLOCK = 4096
 _ROWS = 512
+# Shingles that so many pairs of such windows share are counted pair by pair.
+_FEW = 64
 
 _SEEDS = mix(np.arange(101, 101 + HASHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -407,7 +409,7 @@ class _Block:
     def __init__(self, rows: pa.StructArray):
         zone = rows.field("zone")
         self.rows, self.open = rows, rows.field("open").to_numpy(zero_copy_only=False).astype(bool)
-        self.spot = rows.field("spot").to_numpy()
+        self.spot, self.least = rows.field("spot").to_numpy(), rows.field("least").to_numpy()
         self.ptr = zone.offsets.to_numpy() - zone.offsets[0].as_py()
         self.marks = zone.flatten().to_numpy()
         self.owner = np.repeat(np.arange(len(rows)), np.diff(self.ptr))
@@ -442,6 +444,35 @@ def _stretches(held: np.ndarray, spot: int, width: int) -> tuple[np.ndarray, np.
     return first, end
 
 
+def _shared(x_row: np.ndarray, x_at: np.ndarray, y_row: np.ndarray, y_at: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
+    """How many places of every window of x hold a shingle of every window of y.
+
+    Shingles of a few pairs are counted pair by pair, those of many as a product of matrices.
+    """
+    n_x, n_y, n_marks = shape
+    pair = np.unique(y_at * n_y + y_row)
+    y_at, y_row = pair // n_y, pair % n_y
+    n_pairs = np.bincount(x_at, minlength=n_marks) * np.bincount(y_at, minlength=n_marks)
+    order = np.argsort(x_at, kind="stable")
+    starts = np.searchsorted(x_at[order], np.arange(n_marks + 1))
+    few = n_pairs[y_at] <= _FEW
+    sizes = np.where(few, starts[y_at + 1] - starts[y_at], 0)
+    at = np.arange(sizes.sum()) + np.repeat(starts[y_at] - (np.cumsum(sizes) - sizes), sizes)
+    cell = x_row[order][at] * n_y + np.repeat(y_row, sizes)
+    common = np.bincount(cell, minlength=n_x * n_y).reshape(n_x, n_y).astype(np.float32)
+    many = np.flatnonzero(n_pairs > _FEW)
+    number = np.full(n_marks, -1)
+    number[many] = np.arange(len(many))
+    for begin in range(0, len(many), 1 << 13):
+        size = min(1 << 13, len(many) - begin)
+        one, two = np.zeros((n_x, size), np.float32), np.zeros((n_y, size), np.float32)
+        for side, row, col in ((one, x_row, number[x_at]), (two, y_row, number[y_at])):
+            inside = (col >= begin) & (col < begin + size)
+            np.add.at(side, (row[inside], col[inside] - begin), 1)
+        common += one @ two.T
+    return common
+
+
 def _meeting(x: _Block, y: _Block, width: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Open windows of x and windows of earlier documents in y whose zones hold a common passage.
 
@@ -457,7 +488,7 @@ def _meeting(x: _Block, y: _Block, width: int, threshold: float) -> tuple[np.nda
         return rows, rows
     asked &= np.isin(x.owner, rows)
     offered = np.isin(y.marks, x.marks[asked])
-    order = np.lexsort((y.tag, y.doc, y.named))
+    order = np.lexsort((y.least, y.tag, y.doc, y.named))
     others, seen = [], set()
     for j in order[np.isin(order, y.owner[offered])]:
         known = (int(y.spot[j]), y.zone(j).tobytes())
@@ -479,12 +510,7 @@ def _meeting(x: _Block, y: _Block, width: int, threshold: float) -> tuple[np.nda
             hit = offered & (place[y.owner] >= 0) & (known[at] == y.marks)
             holds = np.zeros((len(theirs), len(known)), bool)
             holds[place[y.owner[hit]], at[hit]] = True
-            common = np.zeros((len(mine), len(theirs)), np.float32)
-            for begin in range(0, len(known), 1 << 13):
-                one = np.zeros((len(mine), min(1 << 13, len(known) - begin)), np.float32)
-                inside = (x_at >= begin) & (x_at < begin + one.shape[1])
-                np.add.at(one, (np.searchsorted(mine, x.owner[own][inside]), x_at[inside] - begin), 1)
-                common += one @ holds[:, begin : begin + one.shape[1]].T.astype(np.float32)
+            common = _shared(np.searchsorted(mine, x.owner[own]), x_at, place[y.owner[hit]], at[hit], (len(mine), len(theirs), len(known)))
             for i, shared in zip(mine.tolist(), common, strict=True):
                 j = np.flatnonzero(shared >= need)
                 j = j[_after(x, np.full(len(j), i), y, theirs[j])]

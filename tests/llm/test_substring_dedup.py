@@ -176,3 +176,13 @@ def test_stretches_by_the_definition():
             ]
             assert end - begin == max(want, default=0)
             assert begin == end or begin <= spot < end and 9 * row[begin:end].sum() >= 8 * (end - begin)
+
+
+@pytest.mark.parametrize("few", [0, 3, 10**9])
+def test_common_shingles_are_counted_alike(few, monkeypatch):
+    monkeypatch.setattr(sd, "_FEW", few)
+    rng = np.random.default_rng(few % 7)
+    x, y = rng.integers(0, 30, (9, 12)), rng.integers(0, 30, (7, 12))
+    rows = [np.repeat(np.arange(len(side)), 12) for side in (x, y)]
+    got = sd._shared(rows[0], x.ravel(), rows[1], y.ravel(), (9, 7, 30))
+    assert (got == [[np.isin(a, b).sum() for b in y] for a in x]).all()
