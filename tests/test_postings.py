@@ -167,3 +167,21 @@ def test_the_number_of_an_interrupted_segment_is_not_used_again(spark):
     postings._append(lost.withColumn("part", index.part_of(F.col("term"))).withColumn("segment", F.lit(1).cast("long")), f"{index.path}/postings", "category", "part")
     postings.refresh(index, frame([]), frame([("b", "x", "c")]))
     assert index.segments() == [0, 2] and sorted(map(tuple, postings.frequencies(index).collect())) == [("x", 2), ("y", 1)]
+
+
+def test_lists_of_a_block_are_stored_and_no_key_is_in_two_blocks(spark, asked, monkeypatch):
+    """One row a term, category and block, not one a posting; blocks of any size give the same hits."""
+    rows = chunks_of(11, range(300)) + [(f"d{i % 9}", f"word1 word2 again{i}", "abcd"[i % 4]) for i in range(40)] + [(None, "word3 word1", "a")] * 3
+    frame = spark.createDataFrame(rows, CHUNK).coalesce(1)
+    index = postings.build(frame, category="category", parts=4)
+    assert index.read("postings").count() * 3 < postings.live_postings(index).count()
+    known = lambda i: (sorted(map(tuple, postings.frequencies(i).collect())), postings.sizes(i))
+    ranked = lambda i, **how: sorted(map(repr, found_rows(i, **how)))
+    found_rows = lambda i, **how: postings.search(i, asked, 8, allowed="allowed", **how).select("query_id", "chunk_id", "score", "rank").collect()
+    want = ranked(index, query_term_rows=0)
+    assert ranked(index) == want
+    monkeypatch.setattr(postings, "_BLOCK_WORDS", 50)
+    small = postings.build(frame, category="category", parts=4)
+    blocks = small.read("postings").select("block", F.explode_outer("keys").alias("k")).groupBy("k").agg(F.countDistinct("block").alias("n"))
+    assert blocks.where("n > 1").isEmpty() and small.read("postings").select("block").distinct().count() > 20
+    assert known(small) == known(index) and ranked(small) == want
