@@ -239,7 +239,8 @@ def build(
 def refresh(index: Postings, removed: DataFrame, added: DataFrame, text: str = "chunk_text", category: str | None = None) -> Postings:
     """Take ``removed`` chunks (with the text they were indexed by) out and ``added`` ones in.
 
-    An updated chunk is in both.  The frames are the deletes and adds of a change feed.
+    An updated chunk is in both: a key the index holds is never only added, since a search sums the
+    postings of a key in one segment.  The frames are the deletes and adds of a change feed.
     """
     # The number of an interrupted segment is not used again.
     begun = index.read("postings").agg(F.max("segment")).first()[0] or 0
